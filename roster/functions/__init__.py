@@ -12,7 +12,7 @@ from roster.functions.numbers import (
 )
 from roster.functions.text import (
     blank_to_null, column, company_key, fix_mojibake, is_blank, slug, strip, strip_accents,
-    strip_quotes, text,
+    strip_quotes, text, windows_1252,
 )
 
 __all__ = [name for name in dir() if not name.startswith("_")]

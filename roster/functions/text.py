@@ -85,6 +85,12 @@ def _single_byte_marks() -> tuple[str, str]:
     return "".join(shown), "".join(raw)
 
 
+def windows_1252(c: Column | str) -> Column:
+    """Text read as ISO-8859-1 with the characters windows-1252 has at 0x80-0x9F."""
+    shown, raw = _single_byte_marks()
+    return F.translate(text(c), raw, shown)
+
+
 def fix_mojibake(c: Column | str) -> Column:
     """Repair UTF-8 text that was read as a single-byte charset; anything else stays as it is."""
     value = text(c)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +23,12 @@ def local_session(app: str = "roster", cores: int | str = "*", memory: str = "16
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, so retries never recompute it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, where jobs keep what must outlive an executor.
 
-    The folder is the one named by ``spark.checkpoint.dir``. A private folder is made only in
-    local mode; on a cluster an unset folder is an error, since executors need shared storage.
+    A private folder is made only in local mode; on a cluster an unset folder is an error, since
+    executors need shared storage.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -37,4 +37,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="roster-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and read it back, so retries never recompute it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
