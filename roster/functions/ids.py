@@ -22,7 +22,7 @@ def digits(c: Column | str) -> Column:
 def cpf(c: Column | str, blank_is_null: bool = False) -> Column:
     """Person id: digits padded to 11, never cut. Blank gives eleven zeros unless ``blank_is_null``."""
     d = digits(c)
-    padded = F.when(F.length(d) < CPF_DIGITS, F.lpad(d, CPF_DIGITS, "0")).otherwise(d)
+    padded = F.lpad(d, F.greatest(F.length(d), F.lit(CPF_DIGITS)), "0")
     return F.when(d != "", padded) if blank_is_null else padded
 
 
