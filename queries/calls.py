@@ -38,7 +38,7 @@ PAIRS = f"""v AS (SELECT event_id, user_id, date_trunc('second', ts) AS ts, valu
 d AS (SELECT event_id, user_id, date_trunc('second', ts) AS ts, value FROM events WHERE event_type = 'purchase'),
 cand AS (SELECT v.user_id AS u, v.event_id AS i, d.event_id AS j, abs(epoch_us(v.ts) - epoch_us(d.ts)) AS dist,
     row_number() OVER (PARTITION BY v.user_id ORDER BY abs(epoch_us(v.ts) - epoch_us(d.ts)), v.event_id, d.event_id) AS n
-  FROM v JOIN d ON v.user_id = d.user_id AND abs(epoch_us(v.ts) - epoch_us(d.ts)) <= {TOLERANCE} * 1000000),
+  FROM v JOIN d ON v.user_id = d.user_id AND abs(epoch_us(v.ts) - epoch_us(d.ts)) <= {TOLERANCE}000000),
 fold AS (
   SELECT DISTINCT u, 0::BIGINT AS n, []::BIGINT[] AS used_i, []::BIGINT[] AS used_j, []::BIGINT[] AS dists FROM cand
   UNION ALL
@@ -74,10 +74,10 @@ def _(t):
 @query(
     "calls_absent",
     """SELECT event_id AS row FROM events WHERE event_type = 'signup' AND user_id NOT IN
-    (SELECT user_id FROM events WHERE event_type = 'click' AND value > 20)""",
+    (SELECT user_id FROM events WHERE event_type = 'click' AND value > 150)""",
 )
 def _(t):
-    called = voip(t).where(R.parse_decimal("price") > 20)
+    called = voip(t).where(R.parse_decimal("price") > 150)
     return calls.calls_absent(_calls(t, "signup", "(51) 9"), called, "fone", "numero").select("row")
 
 
@@ -107,10 +107,10 @@ def _(t):
       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS seconds,
       round(CAST(sum(CASE WHEN value >= 1 THEN greatest(0.025, CAST(value AS DECIMAL(18,2)) / 60 * 0.05) ELSE 0 END) AS DOUBLE), 4) AS charge,
       count(*) FILTER (WHERE value >= 1) AS charged_rows, count(*) FILTER (WHERE value < 1) AS free_rows
-    FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 20)""",
+    FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 150)""",
 )
 def _(t):
-    called = voip(t).where(R.parse_decimal("price") > 20)
+    called = voip(t).where(R.parse_decimal("price") > 150)
     absent = calls.calls_absent(_calls(t, "signup", "(51) 9"), called, "fone", "numero")
     report = calls.absent_report(absent, "fone", "ts", "seconds")
     return report.withColumns(

@@ -128,7 +128,7 @@ def _(t):
 
 @query(
     "company_key",
-    """SELECT doc_id, md5(trim(regexp_replace(translate(replace(strip_accents(upper(text)), '.', ''), '-,&', '   '),
+    """SELECT doc_id, md5(trim(regexp_replace(translate(replace(strip_accents(upper(replace(text, 'ß', 'SS'))), '.', ''), '-,&', '   '),
     '\\s+', ' ', 'g'))) AS key_hash FROM documents""",
 )
 def _(t):

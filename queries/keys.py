@@ -204,10 +204,10 @@ def _(t):
     """SELECT 'fone' AS phone_column, 'Banco Cod' AS bank_column, max(event_id) AS last_row FROM events""",
 )
 def _(t):
-    """The finders pick the columns by name and content; a badly filled ``numero`` is passed over."""
+    """The finders pick the columns by name and content; a ``telefone`` without phones is passed over."""
     rows = t.events.select(
         F.col("event_id"),
-        F.col("event_type").alias("numero"),
+        F.col("event_type").alias("telefone"),
         joined("(51) 9", F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("fone"),
         F.lpad(F.col("user_id").cast("string"), 3, "0").alias("Banco Cod"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from roster.functions.text import column, is_blank, strip, text
+from roster.functions.text import column, strip, text
 
 # Fixed values.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -46,27 +46,31 @@ def fixed(x: Column | str, places: int) -> Column:
     ``format_string`` rounds the shortest decimal form half up. That differs only when this form
     ends in a 5 right after the wanted places (2.675 is really a little less). For those values the
     double is split into two parts whose scaled values are exact, which tells on which side of the
-    tie it lies.
+    tie it lies; one that must go down is moved a hair towards zero before it is formatted.
     """
     value = column(x).cast("double")
-    shown = F.abs(value).try_cast("decimal(38,18)").cast("string")
+    size = F.abs(value)
     scale = F.lit(float(10 ** (places + 1)))
-    tie = F.regexp_extract(shown, rf"^\d+\.\d{{{places}}}5(?=0*$)", 0)
-    head = F.abs(value).cast("float").cast("double")
-    excess = head * scale - F.replace(tie, F.lit("."), F.lit("")).try_cast("double")
-    rest = (head - F.abs(value)) * scale
-    kept = F.regexp_replace(tie, r"\.?5$", "")
-    even = kept.rlike("[02468]$")
-    down = (excess < rest) | ((excess == rest) & even)
-    sign = F.when(value < 0, "-").otherwise("")
-    return F.when((tie != "") & down, F.concat(sign, kept)).otherwise(
-        F.when(value.isNotNull(), F.format_string(f"%.{places}f", value))
-    )
+    units = F.rint(size * scale)
+    last = units % 20  # 5: the kept digit is even, 15: it is odd
+    head = size.cast("float").cast("double")
+    beyond = (head * scale - units) - (head - size) * scale
+    limit = F.when(last == 5, 1e-300).when(last == 15, 0.0).otherwise(float("-inf"))
+    down = (units / scale == size) & (beyond < limit)
+    moved = value * F.when(down, 1 - 1e-13).otherwise(1.0)
+    # two sure references make the generated code compute the number once
+    present = F.greatest(value, size).isNotNull()
+    return F.when(present, F.format_string(f"%.{places}f", moved))
 
 
 def excel_number(c: Column | str, places: int = 2) -> Column:
     """Number text with a decimal point and fixed places; unreadable gives empty text."""
-    return F.coalesce(fixed(parse_br_number(c), places), F.lit(""))
+    return excel_text(parse_br_number(c), places)
+
+
+def excel_text(amount: Column | str, places: int = 2) -> Column:
+    """``excel_number`` of an amount that is already read."""
+    return F.coalesce(fixed(amount, places), F.lit(""))
 
 
 def to_float_capped(c: Column | str, limit: float = SUSPICIOUS) -> Column:
@@ -77,9 +81,18 @@ def to_float_capped(c: Column | str, limit: float = SUSPICIOUS) -> Column:
 
 def br_money2(c: Column | str) -> Column:
     """Two places with a decimal comma; blank gives ``0,00``, unreadable text stays."""
-    value = strip(c)
-    amount = F.translate(fixed(plain_number(_localised(value)), 2), ".", ",")
-    return F.when(is_blank(c), "0,00").otherwise(F.coalesce(amount, value))
+    return money2_text(c, money2_amount(c))
+
+
+def money2_amount(c: Column | str) -> Column:
+    """The number ``br_money2`` reads."""
+    return plain_number(_localised(strip(c)))
+
+
+def money2_text(c: Column | str, amount: Column | str) -> Column:
+    """``br_money2`` of a text whose amount is already read."""
+    shown = F.translate(fixed(amount, 2), ".", ",")
+    return F.coalesce(shown, F.nullif(strip(c), F.lit("")), F.lit("0,00"))
 
 
 def price3(c: Column | str) -> Column:
@@ -110,11 +123,10 @@ def money_br(c: Column | str, places: int = 3) -> Column:
     """Money text such as ``R$ 72.262,262``; missing gives a dash."""
     value = column(c).cast("double")
     amount = fixed(F.abs(value), places)
-    grouped = F.regexp_replace(F.substring_index(amount, ".", 1), r"(?<=\d)(?=(\d{3})+$)", ".")
-    body = F.concat(grouped, F.lit(","), F.element_at(F.split(amount, r"\."), -1)) if places else grouped
-    return F.when(value < 0, F.concat(F.lit("R$ -"), body)).otherwise(
-        F.coalesce(F.concat(F.lit("R$ "), body), F.lit(MISSING))
-    )
+    sign = F.when(value < 0, "R$ -").otherwise("R$ ")
+    whole = F.regexp_replace(F.substring_index(amount, ".", 1), r"(?<=\d)(?=(\d{3})+$)", ".")
+    tail = F.concat(F.lit(","), F.substring_index(amount, ".", -1)) if places else F.lit("")
+    return F.coalesce(F.concat(sign, whole, tail), F.lit(MISSING))
 
 
 def tariff(seconds: Column | str) -> Column:

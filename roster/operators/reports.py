@@ -50,24 +50,32 @@ def date_span(df: DataFrame, ts: str) -> DataFrame:
 
 
 def row_total(parts: Sequence[str], limit: float = SUSPICIOUS) -> Column:
-    """Sum of the parts of a row, two places; a total above ``limit`` counts as a reading error."""
+    """Sum of the parts of a row; parts that are unreadable or above ``limit`` count 0."""
     total = F.lit(0.0)
     for name in parts:
         total = total + to_float_capped(name, limit)
-    rounded = fixed(total, 2).cast("double")
-    return F.when(F.abs(total) > limit, 0.0).otherwise(rounded)
+    return total
 
 
 def recompute_totals(
     df: DataFrame, totals: Mapping[str, Sequence[str]] | None = None, limit: float = SUSPICIOUS
 ) -> DataFrame:
-    """Replace each total column that exists by the sum of its parts.
+    """Replace each total column that exists by the sum of its parts, two places.
 
+    A total above ``limit`` counts as a reading error and becomes 0.
     Without ``totals`` the used and balance totals and their parts are found by name.
     """
     totals = find_total_columns(df.columns) if totals is None else totals
     present = {t: [p for p in parts if p in df.columns] for t, parts in totals.items() if t in df.columns}
-    return df.withColumns({t: row_total(parts, limit) for t, parts in present.items()}) if present else df
+    if not present:
+        return df
+    sums = {t: f"_t{i}" for i, t in enumerate(present)}
+    summed = df.withColumns({sums[t]: row_total(parts, limit) for t, parts in present.items()})
+    rounded = {
+        t: F.when(F.abs(F.col(s)) <= limit, fixed(F.col(s), 2).cast("double")).otherwise(0.0)
+        for t, s in sums.items()
+    }
+    return summed.withColumns(rounded).drop(*sums.values())
 
 
 def conversion_check(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from roster.functions.ids import cpf, phone
-from roster.functions.numbers import br_money2, decimal_comma, excel_number
+from roster.functions.numbers import (
+    decimal_comma, excel_text, money2_amount, money2_text, parse_br_number,
+)
 from roster.functions.text import column, fix_mojibake, strip_quotes, text
 
 
@@ -144,7 +146,22 @@ def apply_excel_numbers(df: DataFrame, names: Sequence[str], places: int = 2) ->
     present = [c for c in names if c in df.columns]
     if not present:
         raise ValueError("none of the chosen columns is in the table")
-    return df.withColumns({c: excel_number(c, places) for c in present})
+    return _read_then_write(df, present, parse_br_number, lambda c, n: excel_text(n, places))
+
+
+def _read_then_write(
+    df: DataFrame,
+    names: Sequence[str],
+    read: Callable[[str], Column],
+    write: Callable[[str, Column], Column],
+) -> DataFrame:
+    """Read numbers in one projection and format them in the next.
+
+    Formatting refers to the number several times; with the number as a column it is read once.
+    """
+    helpers = {c: f"_n{i}" for i, c in enumerate(names)}
+    numbers = df.withColumns({h: read(c) for c, h in helpers.items()})
+    return numbers.withColumns({c: write(c, F.col(h)) for c, h in helpers.items()}).drop(*helpers.values())
 
 
 # Money columns of the margin layout.
@@ -158,7 +175,7 @@ MONEY_COLUMNS = (
 def normalize_money(df: DataFrame, names: Sequence[str] = MONEY_COLUMNS) -> DataFrame:
     """Two-place decimal-comma text in whichever of the money columns exist."""
     present = [c for c in names if c in df.columns]
-    return df.withColumns({c: br_money2(c) for c in present}) if present else df
+    return _read_then_write(df, present, money2_amount, money2_text) if present else df
 
 
 # Columns that hold bank texts.
