@@ -277,12 +277,12 @@ def _(t):
 
 @query(
     "age_checked",
-    f"SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN {SQL_AGE} END AS idade FROM orders",
+    f"SELECT o_orderkey, CAST(CASE WHEN o_orderstatus <> 'P' THEN {SQL_AGE} END AS DOUBLE) AS idade FROM orders",
 )
 def _(t):
     raw = F.when(F.col("o_orderstatus") == "P", "1790-01-01").otherwise(date_text())
     dated = t.orders.select("o_orderkey", raw.alias("nasc"))
-    return ages.add_age_checked(dated, "nasc", AS_OF).select("o_orderkey", "idade")
+    return ages.add_age_checked(dated, "nasc", AS_OF).select("o_orderkey", F.col("idade").cast("double"))
 
 
 @query("refresh_age", f"SELECT o_orderkey, {SQL_AGE} AS \"Idade\" FROM orders")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from roster.functions.text import column, strip, text
 
 # Fixed values.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
 SUSPICIOUS = 100000.0  # amounts above this are taken as reading errors
 TARIFF_PER_MINUTE = 0.05
 TARIFF_MINIMUM = 0.025
 MISSING = "—"
+DECIMAL_PLACES = 6  # decimals of up to so many places are never shown with an exponent
 MONTH, WEEK, DAY, HOUR, MINUTE = 30 * 86400, 7 * 86400, 86400, 3600, 60
 
 
@@ -21,23 +22,27 @@ def plain_number(c: Column | str) -> Column:
 
     The pattern keeps out forms a cast would take, such as ``1d``, ``NaN`` or ``Infinity``.
     """
-    return F.regexp_extract(strip(c), NUMBER, 0).try_cast("double")
+    return F.regexp_extract(text(c), NUMBER, 1).try_cast("double")
+
+
+def _swap(value: Column, old: str, new: str) -> Column:
+    return F.replace(value, F.lit(old), F.lit(new))
 
 
 def _localised(value: Column) -> Column:
     """With a comma the points are thousand marks and the comma is the decimal mark."""
-    return F.when(F.contains(value, F.lit(",")), F.translate(value, ",.", ".")).otherwise(value)
+    dotted = _swap(_swap(value, ".", ""), ",", ".")
+    return F.when(F.contains(value, F.lit(",")), dotted).otherwise(value)
 
 
 def parse_br_number(c: Column | str) -> Column:
     """Brazilian or US number text, with or without a currency sign, as double; bad text is null."""
-    bare = F.replace(F.replace(strip(c), F.lit("R$"), F.lit("")), F.lit("$"), F.lit(""))
-    return plain_number(_localised(strip(bare)))
+    return plain_number(_localised(_swap(_swap(text(c), "R$", ""), "$", "")))
 
 
 def parse_decimal(c: Column | str) -> Column:
     """Number text with a decimal comma or point (no thousand marks) as double; bad text is null."""
-    return plain_number(F.translate(strip(c), ",", "."))
+    return plain_number(_swap(text(c), ",", "."))
 
 
 def fixed(x: Column | str, places: int) -> Column:
@@ -60,7 +65,12 @@ def fixed(x: Column | str, places: int) -> Column:
     moved = value * F.when(down, 1 - 1e-13).otherwise(1.0)
     # two sure references make the generated code compute the number once
     present = F.greatest(value, size).isNotNull()
-    return F.when(present, F.format_string(f"%.{places}f", moved))
+    shown = F.format_string(f"%.{places}f", moved)
+    if places <= DECIMAL_PLACES:  # a decimal is the cheaper way, but its sign goes with a zero
+        sign = F.when(value < 0, "-").otherwise("")
+        plain = F.abs(moved).try_cast(f"decimal(38,{places})").cast("string")
+        shown = F.coalesce(F.concat(sign, plain), shown)
+    return F.when(present, shown)
 
 
 def excel_number(c: Column | str, places: int = 2) -> Column:
@@ -75,8 +85,9 @@ def excel_text(amount: Column | str, places: int = 2) -> Column:
 
 def to_float_capped(c: Column | str, limit: float = SUSPICIOUS) -> Column:
     """Number for totals: blank and bad text count 0, and so does anything above ``limit``."""
-    value = plain_number(_localised(strip(c)))
-    return F.when(F.abs(value) <= limit, value).otherwise(0.0)
+    value = plain_number(_localised(text(c)))
+    kept = value * (F.abs(value) <= limit).cast("double") + 0.0
+    return F.coalesce(kept, F.lit(0.0))
 
 
 def br_money2(c: Column | str) -> Column:
@@ -86,31 +97,31 @@ def br_money2(c: Column | str) -> Column:
 
 def money2_amount(c: Column | str) -> Column:
     """The number ``br_money2`` reads."""
-    return plain_number(_localised(strip(c)))
+    return plain_number(_localised(text(c)))
 
 
 def money2_text(c: Column | str, amount: Column | str) -> Column:
     """``br_money2`` of a text whose amount is already read."""
-    shown = F.translate(fixed(amount, 2), ".", ",")
+    shown = _swap(fixed(amount, 2), ".", ",")
     return F.coalesce(shown, F.nullif(strip(c), F.lit("")), F.lit("0,00"))
 
 
 def price3(c: Column | str) -> Column:
     """Three places with a decimal comma; unreadable gives empty text."""
-    return F.coalesce(F.translate(fixed(parse_decimal(c), 3), ".", ","), F.lit(""))
+    return F.coalesce(_swap(fixed(parse_decimal(c), 3), ".", ","), F.lit(""))
 
 
 def decimal_br(c: Column | str) -> Column:
     """Up to twelve places with a decimal comma, no trailing zeros; unreadable gives empty text."""
     short = F.regexp_replace(fixed(parse_decimal(c), 12), r"\.?0+$", "")
     signless = F.when(short == "-0", "0").otherwise(short)
-    return F.coalesce(F.translate(signless, ".", ","), F.lit(""))
+    return F.coalesce(_swap(signless, ".", ","), F.lit(""))
 
 
 def decimal_comma(c: Column | str) -> Column:
     """Points become commas; null and the text ``nan`` become empty."""
     value = text(c)
-    return F.when(value.isNull() | (value == "nan"), "").otherwise(F.translate(value, ".", ","))
+    return F.when(value.isNull() | (value == "nan"), "").otherwise(_swap(value, ".", ","))
 
 
 def int_br(c: Column | str) -> Column:

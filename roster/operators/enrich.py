@@ -11,20 +11,22 @@ from roster.functions.ids import bank_code, cnpj_text, cnpj_valid, cpf
 from roster.functions.text import column, company_key, fix_mojibake, is_blank, strip
 from roster.operators.dedupe import dedup_first
 from roster.operators.discover import find_key_column
-from roster.operators.lists import drop_listed
+from roster.operators.lists import drop_listed, on_keys
 
 Normaliser = Callable[[Column], Column]
 
 
 def _join_with_suffixes(
-    left: DataFrame, right: DataFrame, on: Column, how: str, right_columns: Sequence[str]
+    left: DataFrame, own: Column, right: DataFrame, how: str, right_columns: Sequence[str],
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Join where a name on both sides comes out as ``name_x`` and ``name_y``.
+    """Join key ``own`` to ``_key0``; a name on both sides comes out as ``name_x`` and ``name_y``.
 
     ``right`` carries its columns as ``_r0``, ``_r1``, … in the order of ``right_columns``.
     """
+    on = on_keys(1, null_safe)
     both = set(left.columns) & set(right_columns)
-    return left.join(right, on, how).select(
+    return left.withColumn("_on0", own).join(right, on, how).select(
         *[column(c).alias(f"{c}_x" if c in both else c) for c in left.columns],
         *[
             F.col(f"_r{i}").alias(f"{c}_y" if c in both else c)
@@ -34,7 +36,7 @@ def _join_with_suffixes(
 
 
 def _numbered(df: DataFrame, key: Column, columns: Sequence[str]) -> DataFrame:
-    return df.select(key.alias("_key"), *[column(c).alias(f"_r{i}") for i, c in enumerate(columns)])
+    return df.select(key.alias("_key0"), *[column(c).alias(f"_r{i}") for i, c in enumerate(columns)])
 
 
 def enrich_by_cpf(
@@ -56,8 +58,7 @@ def enrich_by_cpf(
     columns = [c for c in data.columns if c != data_key]
     extra = _numbered(data, normalise(column(data_key)), columns)
     own = normalise(column(key))
-    on = own.eqNullSafe(F.col("_key")) if null_safe else own == F.col("_key")
-    matched = _join_with_suffixes(base, extra, on, "inner", columns)
+    matched = _join_with_suffixes(base, own, extra, "inner", columns, null_safe)
     unmatched = drop_listed(base, [own], data, [normalise(column(data_key))], null_safe)
     return matched, unmatched
 
@@ -67,10 +68,10 @@ def join_companies(
 ) -> DataFrame:
     """Every valid id of the list with its company rows; ids without one get nulls."""
     data_key = data_key or find_key_column(data, ["cnpj", "cpf"])
-    valid = ids.where(cnpj_valid(key).isNotNull())
+    own = cnpj_valid(key)
     columns = data.columns
-    companies = _numbered(data, cnpj_valid(data_key), columns).where(F.col("_key").isNotNull())
-    return _join_with_suffixes(valid, companies, cnpj_valid(key) == F.col("_key"), "left", columns)
+    companies = _numbered(data, cnpj_valid(data_key), columns).where(F.col("_key0").isNotNull())
+    return _join_with_suffixes(ids.where(own.isNotNull()), own, companies, "left", columns)
 
 
 def _ids_by_name(ref: DataFrame, name: str, cnpj: str, order_by: Column | str) -> DataFrame:
@@ -108,8 +109,8 @@ def fill_cnpj_by_name(
         .agg(F.concat_ws("; ", F.transform(found, lambda x: x["_id"])).alias("_cell"))
     )
     current = column(target) if target in base.columns else F.lit("")
-    joined = base.join(cells, company_key(name) == F.col("_name"), "left")
-    return joined.withColumn(target, F.coalesce("_cell", current)).drop("_name", "_cell")
+    joined = base.withColumn("_own", company_key(name)).join(cells, F.col("_own") == F.col("_name"), "left")
+    return joined.withColumn(target, F.coalesce("_cell", current)).drop("_own", "_name", "_cell")
 
 
 def split_by_match_count(
@@ -132,7 +133,8 @@ def split_by_match_count(
     )
     if target not in base.columns:
         base = base.withColumn(target, F.lit(""))
-    counted = base.join(per_name, company_key(name) == F.col("_name"), "left")
+    named = base.withColumn("_own", company_key(name))
+    counted = named.join(per_name, F.col("_own") == F.col("_name"), "left").drop("_own")
     matched, several = F.col("_ids").isNotNull(), F.col("_ids") > 1
     listed = F.contains(F.coalesce(column(target), F.lit("")), F.lit(";"))
     helpers = ["_name", "_ids", "_only"]
@@ -169,8 +171,9 @@ def bank_names(
 ) -> DataFrame:
     """Add ``nome_banco`` by bank code; null when the code is unknown."""
     names = _last_per_code(banks, bank_code_col, order_by, _bank=fix_mojibake(name))
-    joined = base.join(names, bank_code(code) == F.col("_code"), "left")
-    return joined.withColumn("nome_banco", F.col("_bank")).drop("_code", "_bank")
+    coded = base.withColumn("_own", bank_code(code))
+    joined = coded.join(names, F.col("_own") == F.col("_code"), "left")
+    return joined.withColumn("nome_banco", F.col("_bank")).drop("_own", "_code", "_bank")
 
 
 # Source tags and columns of the bank tables.
@@ -192,16 +195,17 @@ def bank_names_layered(
     Columns are those of the two bank tables. ``fallback=None`` with ``tag_source=False`` is the
     form that knows one source only.
     """
-    own = bank_code(code)
+    own = F.col("_own")
     first = _last_per_code(
         primary, TABLE_CODE, order_by,
         _name1=fix_mojibake(TABLE_NAME), _full1=fix_mojibake(TABLE_FULL_NAME),
         _ispb1=column(TABLE_ISPB).cast("string"),
     ).withColumnRenamed("_code", "_code1")
-    joined = base.join(first, own == F.col("_code1"), "left")
+    coded = base.withColumn("_own", bank_code(code))
+    joined = coded.join(first, own == F.col("_code1"), "left")
     name, full = F.col("_name1"), F.col("_full1")
     source = F.when(F.col("_code1").isNotNull(), PRIMARY_SOURCE)
-    helpers = ["_code1", "_name1", "_full1", "_ispb1"]
+    helpers = ["_own", "_code1", "_name1", "_full1", "_ispb1"]
     if fallback is not None:
         second = _last_per_code(
             fallback, TABLE_CODE, order_by, _name2=fix_mojibake(TABLE_NAME)

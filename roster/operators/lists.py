@@ -25,10 +25,16 @@ def _distinct_keys(members: DataFrame, keys: Sequence[Column], null_safe: bool)
     return listed.distinct()
 
 
-def _on(keys: Sequence[Column], null_safe: bool) -> Column:
+def with_keys(base: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Add the keys as columns ``_on0``, …: a join on columns computes each key once per row, a
+    join on expressions computes it again for the exchange and for every comparison of the sort."""
+    return base.withColumns({f"_on{i}": k for i, k in enumerate(keys)})
+
+
+def on_keys(count: int, null_safe: bool) -> Column:
     pairs = [
-        k.eqNullSafe(F.col(f"_key{i}")) if null_safe else k == F.col(f"_key{i}")
-        for i, k in enumerate(keys)
+        F.col(f"_on{i}").eqNullSafe(F.col(f"_key{i}")) if null_safe else F.col(f"_on{i}") == F.col(f"_key{i}")
+        for i in range(count)
     ]
     return reduce(lambda a, b: a & b, pairs)
 
@@ -43,18 +49,30 @@ def mark_listed(
 ) -> DataFrame:
     """Add a boolean column: does the row's key occur in ``members``? One join, no row lost."""
     listed = _distinct_keys(members, member_keys, null_safe).withColumn("_hit", F.lit(True))
-    joined = base.join(listed, _on(keys, null_safe), "left")
+    joined = with_keys(base, keys).join(listed, on_keys(len(keys), null_safe), "left")
     return joined.select(*[column(c) for c in base.columns], F.col("_hit").isNotNull().alias(flag))
 
 
-def keep_listed(base, keys, members, member_keys, null_safe=False) -> DataFrame:
+def _filter_listed(base, keys, members, member_keys, null_safe, how) -> DataFrame:
     listed = _distinct_keys(members, member_keys, null_safe)
-    return base.join(listed, _on(keys, null_safe), "left_semi")
+    kept = with_keys(base, keys).join(listed, on_keys(len(keys), null_safe), how)
+    return kept.drop(*[f"_on{i}" for i in range(len(keys))])
 
 
-def drop_listed(base, keys, members, member_keys, null_safe=False) -> DataFrame:
-    listed = _distinct_keys(members, member_keys, null_safe)
-    return base.join(listed, _on(keys, null_safe), "left_anti")
+def keep_listed(
+    base: DataFrame, keys: Sequence[Column], members: DataFrame, member_keys: Sequence[Column],
+    null_safe: bool = False,
+) -> DataFrame:
+    """Rows whose key occurs in ``members``."""
+    return _filter_listed(base, keys, members, member_keys, null_safe, "left_semi")
+
+
+def drop_listed(
+    base: DataFrame, keys: Sequence[Column], members: DataFrame, member_keys: Sequence[Column],
+    null_safe: bool = False,
+) -> DataFrame:
+    """Rows whose key does not occur in ``members``."""
+    return _filter_listed(base, keys, members, member_keys, null_safe, "left_anti")
 
 
 def split_by_denylist(
