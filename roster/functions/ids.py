@@ -17,8 +17,7 @@ DDI_MIN_DIGITS = 12
 def digits(c: Column | str) -> Column:
     """Only the digits; full-width digits count as ASCII ones. Null stays null."""
     found = F.regexp_replace(text(c), "[^0-9０-９]", "")
-    ascii_only = F.octet_length(found) == F.length(found)
-    return F.when(ascii_only, found).otherwise(F.translate(found, "０１２３４５６７８９", "0123456789"))
+    return F.translate(found, "０１２３４５６７８９", "0123456789")
 
 
 def cpf(c: Column | str, blank_is_null: bool = False) -> Column:

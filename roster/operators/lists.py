@@ -18,11 +18,9 @@ from roster.functions.text import column, strip
 Normaliser = Callable[[Column], Column]
 
 
-def _distinct_keys(members: DataFrame, keys: Sequence[Column], null_safe: bool) -> DataFrame:
-    listed = members.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)])
-    if not null_safe:
-        listed = listed.dropna()
-    return listed.distinct()
+def _distinct_keys(members: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Each key once, so that a key repeated many times in a list is one row in the join."""
+    return members.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).distinct()
 
 
 def with_keys(base: DataFrame, keys: Sequence[Column]) -> DataFrame:
@@ -48,13 +46,13 @@ def mark_listed(
     null_safe: bool = False,
 ) -> DataFrame:
     """Add a boolean column: does the row's key occur in ``members``? One join, no row lost."""
-    listed = _distinct_keys(members, member_keys, null_safe).withColumn("_hit", F.lit(True))
+    listed = _distinct_keys(members, member_keys).withColumn("_hit", F.lit(True))
     joined = with_keys(base, keys).join(listed, on_keys(len(keys), null_safe), "left")
     return joined.select(*[column(c) for c in base.columns], F.col("_hit").isNotNull().alias(flag))
 
 
 def _filter_listed(base, keys, members, member_keys, null_safe, how) -> DataFrame:
-    listed = _distinct_keys(members, member_keys, null_safe)
+    listed = _distinct_keys(members, member_keys)
     kept = with_keys(base, keys).join(listed, on_keys(len(keys), null_safe), how)
     return kept.drop(*[f"_on{i}" for i in range(len(keys))])
 
