@@ -11,12 +11,11 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from roster.functions.text import column, is_blank, strip, text
+from roster.functions.text import column, strip, text
 
 _TIME = r"(?: (?:[01]?\d|2[0-3]):[0-5]?\d:(?:[0-5]?\d|6[01]))"
 _D, _Y = r"(\d{1,2})", r"(\d{4})"
 _OLD, _NEW = r"(69|[7-9]\d)", r"([0-5]\d|6[0-8])"  # two-digit years: 69-99 are 19xx, 00-68 are 20xx
-EPOCH_DAY_MICROS = 86_400_000_000
 
 
 def _iso_date(value: Column, pattern: str, iso: str) -> Column:
@@ -56,8 +55,10 @@ def birth_date(c: Column | str) -> Column:
 
 def _years_between(born: Column, as_of: Column) -> Column:
     """Full years by calendar fields (29 February counts from 1 March in common years)."""
-    before_birthday = F.date_format(as_of, "MMdd") < F.date_format(born, "MMdd")
-    return F.year(as_of) - F.year(born) - before_birthday.cast("int")
+    def day_of_year(d: Column) -> Column:
+        return F.month(d) * 100 + F.day(d)
+
+    return F.year(as_of) - F.year(born) - (day_of_year(as_of) < day_of_year(born)).cast("int")
 
 
 def _day(as_of: dt.date | str | Column | None) -> Column:
@@ -71,29 +72,33 @@ def age(c: Column | str, as_of: dt.date | str | Column | None = None) -> Column:
     return _years_between(birth_date(c), _day(as_of))
 
 
+_REST = r"((?:[ T].*?)?)\s*$"  # time of day, checked by the cast
+_FULL = rf"^\s*{_D}[/.-]{_D}[/.-]{_Y}{_REST}"
+_SHORT = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]" + "{y}" + _REST
+
+
 def parse_ts(c: Column | str, dayfirst: bool = True, lenient: bool = True) -> Column:
     """Timestamp without zone from ISO or slash/dash/dot dates, with or without a time.
 
     Year-first text is read as it stands. Otherwise ``dayfirst`` sets the order; ``lenient`` takes
-    the other order when the first gives no date (``08/17/1952``).
+    the other order when the first gives no date (``08/17/1952``). The forms are tried from the
+    most to the least common; a form that fits ends the search.
     """
-    if not isinstance(c, str):
-        kept = c
-    else:
-        kept = column(c)
-    v = strip(kept)
-    year_first = F.regexp_replace(v, r"^(\d{4})[/.-](\d{1,2})[/.-](\d{1,2})", "$1-$2-$3")
-    head = r"^(\d{1,2})[/.-](\d{1,2})[/.-]"
-    full = F.regexp_replace(v, head + r"(\d{2})(?!\d)", "$1/$2/20$3")
-    full = F.regexp_replace(full, r"^(\d{1,2}/\d{1,2}/)20(69|[7-9]\d)(?!\d)", "$119$2")
-    day_month = F.regexp_replace(full, head + r"(\d{4})", "$3-$2-$1").try_cast("timestamp_ntz")
-    month_day = F.regexp_replace(full, head + r"(\d{4})", "$3-$1-$2").try_cast("timestamp_ntz")
+    v = text(c)
+
+    def read(pattern: str, iso: str) -> Column:
+        return F.when(v.rlike(pattern), F.regexp_replace(v, pattern, iso).try_cast("timestamp_ntz"))
+
+    day_month = [("$3-$2-$1$4", _FULL)]
+    month_day = [("$3-$1-$2$4", _FULL)]
+    for century, years in (("19", _OLD), ("20", _NEW)):
+        day_month.append((century + "$3-$2-$1$4", _SHORT.replace("{y}", years)))
+        month_day.append((century + "$3-$1-$2$4", _SHORT.replace("{y}", years)))
     first, second = (day_month, month_day) if dayfirst else (month_day, day_month)
-    parsed = F.coalesce(first, second) if lenient else first
-    return (
-        F.when(v.rlike(r"^\d{4}[/.-]\d{1,2}[/.-]\d{1,2}([ T].*)?$"), year_first.try_cast("timestamp_ntz"))
-        .when(v.rlike(r"^\d{1,2}[/.-]\d{1,2}[/.-](\d{2}|\d{4})([ T].*)?$"), parsed)
-    )
+    forms = [first[0], ("$1-$2-$3$4", rf"^\s*{_Y}[/.-]{_D}[/.-]{_D}{_REST}"), *first[1:]]
+    if lenient:
+        forms += second
+    return F.coalesce(*[read(pattern, iso) for iso, pattern in forms])
 
 
 def age_checked(
@@ -101,13 +106,14 @@ def age_checked(
 ) -> Column:
     """Age in full years, null outside 0 to 150."""
     years = _years_between(parse_ts(c, dayfirst).cast("date"), _day(as_of))
-    return F.when(years.between(0, 150), years)
+    inside = F.greatest(years, F.lit(0)) == F.least(years, F.lit(150))  # refers to it twice for sure
+    return F.when(inside, years)
 
 
 def date_br(c: Column | str, dayfirst: bool = True) -> Column:
     """Date text as ``dd/MM/yyyy``; blank gives empty text, unreadable text stays."""
     shown = F.date_format(parse_ts(c, dayfirst), "dd/MM/yyyy")
-    return F.when(is_blank(c), "").otherwise(F.coalesce(shown, strip(c)))
+    return F.coalesce(shown, strip(c), F.lit(""))
 
 
 def ts_br(c: Column | str) -> Column:
@@ -117,10 +123,5 @@ def ts_br(c: Column | str) -> Column:
 
 def wall_micros(c: Column | str) -> Column:
     """Microseconds since 1970 by wall clock, the same in every session time zone."""
-    t = column(c)
-    seconds = F.extract(F.lit("SECOND"), t)
-    return (
-        F.unix_date(t.cast("date")).cast("bigint") * EPOCH_DAY_MICROS
-        + (F.hour(t) * 3600 + F.minute(t) * 60).cast("bigint") * 1_000_000
-        + (seconds * 1_000_000).cast("bigint")
-    )
+    since = column(c).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("bigint")

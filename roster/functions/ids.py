@@ -30,7 +30,12 @@ def cpf(c: Column | str, blank_is_null: bool = False) -> Column:
 def cpf_strict(c: Column | str) -> Column:
     """Person id of exactly 11 digits, or empty text when there is no digit."""
     d = digits(c)
-    return F.when(F.length(d) > 0, F.lpad(d, CPF_DIGITS, "0")).otherwise("")
+    return F.coalesce(F.lpad(d, _width(d, CPF_DIGITS), "0"), F.lit(""))
+
+
+def _width(d: Column, width: int) -> Column:
+    """Pad width that keeps empty text empty."""
+    return F.when(F.length(d) > 0, width).otherwise(0)
 
 
 def cnpj14(c: Column | str) -> Column:
@@ -47,10 +52,9 @@ def cnpj_valid(c: Column | str) -> Column:
 def cnpj_mask(c: Column | str) -> Column:
     """Company id as ``00.000.000/0000-00``; empty text when there is no digit."""
     d = digits(c)
-    masked = F.regexp_replace(
-        F.lpad(d, CNPJ_DIGITS, "0"), "^(..)(...)(...)(....)(..)$", "$1.$2.$3/$4-$5"
-    )
-    return F.when(F.length(d) > 0, masked).otherwise("")
+    padded = F.lpad(d, _width(d, CNPJ_DIGITS), "0")
+    masked = F.regexp_replace(padded, "^(..)(...)(...)(....)(..)$", "$1.$2.$3/$4-$5")
+    return F.coalesce(masked, F.lit(""))
 
 
 def cnpj_text(c: Column | str) -> Column:
@@ -67,8 +71,8 @@ def phone(c: Column | str, null_as_blank: bool = False) -> Column:
 def phone_no_ddi(c: Column | str) -> Column:
     """Phone digits without the country prefix (numbers of 12 or more digits)."""
     d = phone(c, null_as_blank=True)
-    prefixed = (F.length(d) >= DDI_MIN_DIGITS) & d.startswith(DDI)
-    return F.when(prefixed, F.substr(d, F.lit(len(DDI) + 1))).otherwise(d)
+    rest = DDI_MIN_DIGITS - len(DDI)
+    return F.regexp_replace(d, f"^{DDI}(?=[0-9]{{{rest}}})", "")
 
 
 def bank_code(c: Column | str) -> Column:

@@ -20,6 +20,8 @@ def local_session(app: str = "roster", cores: int | str = "*", memory: str = "16
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The JVM does not compile methods over 8000 bytes; above that, code per operator is faster.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
