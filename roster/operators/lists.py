@@ -155,19 +155,22 @@ def denied_numbers_report(
     )
 
 
+def mark_denied_pairs(
+    base: DataFrame, deny: DataFrame, cpf_col: str, number: str, deny_cpf: str, deny_number: str
+) -> DataFrame:
+    """Flag rows whose (person id, number) is listed (column ``denied``)."""
+    own = [cpf(column(cpf_col)), column(number)]
+    listed = [cpf(column(deny_cpf)), column(deny_number)]
+    return mark_listed(base, own, deny, listed, "denied")
+
+
 def mask_denied_numbers(
     base: DataFrame, deny: DataFrame, cpf_col: str, number: str, deny_cpf: str, deny_number: str
 ) -> DataFrame:
     """Replace a number by ``-`` where (person id, number) is listed; every row stays."""
-    marked = mark_listed(
-        base,
-        [cpf(column(cpf_col)), column(number)],
-        deny,
-        [cpf(column(deny_cpf)), column(deny_number)],
-        "_denied",
-    )
-    masked = F.when(F.col("_denied"), "-").otherwise(column(number).cast("string"))
-    return marked.withColumn(number, masked).drop("_denied")
+    marked = mark_denied_pairs(base, deny, cpf_col, number, deny_cpf, deny_number)
+    masked = F.when(F.col("denied"), "-").otherwise(column(number).cast("string"))
+    return marked.withColumn(number, masked).drop("denied")
 
 
 def split_by_allowlist(
