@@ -20,7 +20,8 @@ from roster.session import cut_lineage
 cloudpickle.register_pickle_by_value(pairing)  # workers need not have the package installed
 
 TOLERANCE_SECONDS = 90  # fixed value: default match window
-RUN_ROWS = 500_000  # rows a task solves in one go once few are left
+RUN_ROWS = 100_000  # rows per task, as long as that gives no more tasks than usual
+MAX_RUN_ROWS = 2_000_000  # rows per task beyond that; bounds the memory of a task
 
 
 def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> DataFrame:
@@ -32,6 +33,11 @@ def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> D
     ).where((F.col("phone") != "") & F.col("ts").isNotNull())
 
 
+def _tasks(rows: int, run_rows: int, usual: int) -> int:
+    """Tasks for ``rows`` points: ``run_rows`` each, more per task once that exceeds the usual number."""
+    return max(min(-(-rows // run_rows), usual), -(-rows // max(run_rows, MAX_RUN_ROWS)), 1)
+
+
 def match_points(points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS) -> DataFrame:
     """Closest-first 1:1 pairs of points (phone, ts in microseconds, side, row).
 
@@ -39,27 +45,35 @@ def match_points(points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS) ->
     many tasks. The closest free pair is always made of neighbours in time order, so a task needs
     no list of all pairs: it walks its sorted rows and makes every pair that rows of neighbouring
     partitions cannot take away. Rows that depend on a neighbour partition are kept for the next
-    round, where the few that are left are cut differently; the last round is one small task. Each
-    round is checkpointed. The result is the one of a single closest-first pass over all pairs
-    ordered by (distance, voip row, dialler row).
+    round, where the few that are left are cut differently, until all fit into one task of
+    ``run_rows`` rows. Each round settles at least the first run of a phone; runs get longer when
+    rounds settle little. The points and each round are checkpointed, since range bounds come from
+    a sample and must not be drawn twice. Rows of one phone and instant stay together. The result
+    is the one of a single closest-first pass over all pairs ordered by (distance, voip row,
+    dialler row).
     """
-    spark = points.sparkSession
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    made, left, waiting = [], points, None
+    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"{name} {kind}" for name, kind in OUTPUT.items())
+    made, left = [], cut_lineage(points)
+    rows = left.count()
     while True:
-        spread = left.repartitionByRange(partitions, "phone", "ts")
-        runs = spread.sortWithinPartitions("phone", "ts", "side", "row")
-        solve = partial(pair_partition, tolerance=tolerance, whole=partitions == 1)
-        solved = cut_lineage(runs.mapInPandas(solve, ", ".join(f"{c} {t}" for c, t in OUTPUT.items())))
+        tasks = _tasks(rows, run_rows, usual)
+        runs = left.repartitionByRange(tasks, "phone", "ts")
+        runs = runs.sortWithinPartitions("phone", "ts", "side", "row")
+        solve = partial(pair_partition, tolerance=tolerance, whole=tasks == 1)
+        solved = cut_lineage(runs.mapInPandas(solve, schema))
         made.append(solved.where(F.col("voip_row").isNotNull()))
+        if tasks == 1:
+            break
         left = solved.where(F.col("row").isNotNull()).select("phone", "ts", "side", "row")
-        still = left.count() if partitions > 1 else 0
+        still = left.count()
         if still == 0:
             break
-        if waiting is not None and still > waiting // 2:
-            run_rows *= 2  # long dependency chains: longer runs settle more per round
-        waiting = still
-        partitions = min(-(-still // run_rows), max(1, partitions))
+        if still == rows:
+            run_rows *= 2  # nothing settled: every run must reach further
+        elif still > rows // 2:  # long dependency chains: longer runs settle more per round
+            run_rows = max(run_rows, min(run_rows * 2, MAX_RUN_ROWS))
+        rows = still
     return reduce(DataFrame.unionByName, made).select("voip_row", "dialer_row", "distance")
 
 

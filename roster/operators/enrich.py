@@ -11,7 +11,7 @@ from roster.functions.ids import bank_code, cnpj_text, cnpj_valid, cpf
 from roster.functions.text import column, company_key, fix_mojibake, is_blank, strip
 from roster.operators.dedupe import dedup_first
 from roster.operators.discover import find_key_column
-from roster.operators.lists import drop_listed, on_keys
+from roster.operators.lists import drop_listed, on_keys, once_per_key
 
 Normaliser = Callable[[Column], Column]
 
@@ -103,10 +103,10 @@ def fill_cnpj_by_name(
     names with very many ids use ``split_by_match_count``, which keeps one id per row.
     """
     found = F.array_sort(F.collect_list(F.struct("_first", "_id")))
-    cells = (
-        _ids_by_name(ref, ref_name, ref_cnpj, order_by)
-        .groupBy("_name")
-        .agg(F.concat_ws("; ", F.transform(found, lambda x: x["_id"])).alias("_cell"))
+    cells = once_per_key(
+        _ids_by_name(ref, ref_name, ref_cnpj, order_by),
+        ["_name"],
+        F.concat_ws("; ", F.transform(found, lambda x: x["_id"])).alias("_cell"),
     )
     current = column(target) if target in base.columns else F.lit("")
     joined = base.withColumn("_own", company_key(name)).join(cells, F.col("_own") == F.col("_name"), "left")
@@ -128,8 +128,8 @@ def split_by_match_count(
     ``base`` already holds counts when the name has no match.
     """
     pairs = _ids_by_name(ref, ref_name, ref_cnpj, order_by)
-    per_name = pairs.groupBy("_name").agg(
-        F.count(F.lit(1)).alias("_ids"), F.min("_id").alias("_only")
+    per_name = once_per_key(
+        pairs, ["_name"], F.count(F.lit(1)).alias("_ids"), F.min("_id").alias("_only")
     )
     if target not in base.columns:
         base = base.withColumn(target, F.lit(""))
@@ -142,9 +142,10 @@ def split_by_match_count(
     one = counted.where((F.col("_ids") == 1) | (~matched & ~is_blank(target) & ~listed))
     one = one.withColumn(target, F.coalesce("_only", column(target))).drop(*helpers)
 
+    # a fresh key: rows of a frequent name are exchanged again, so that they can be split again
+    again = counted.where(several).withColumn("_own", F.concat("_name", F.lit("")))
     spread = (
-        counted.where(several)
-        .join(pairs.select("_name", "_id"), "_name")
+        again.join(pairs.select(F.col("_name").alias("_pair_name"), "_id"), F.col("_own") == F.col("_pair_name"))
         .withColumn(target, F.col("_id"))
         .select(*[column(c) for c in base.columns])
     )
@@ -163,7 +164,7 @@ def _last_per_code(banks: DataFrame, code: str, order_by: Column | str, **values
         *[v.alias(n) for n, v in values.items()],
     ).where(F.col("_code").isNotNull())
     best = F.max_by(F.struct(*values), F.col("_order"))
-    return rows.groupBy("_code").agg(best.alias("_best")).select("_code", "_best.*")
+    return once_per_key(rows, ["_code"], best.alias("_best")).select("_code", "_best.*")
 
 
 def bank_names(

@@ -18,9 +18,23 @@ from roster.functions.text import column, strip
 Normaliser = Callable[[Column], Column]
 
 
+def once_per_key(df: DataFrame, keys: Sequence[str], *values: Column) -> DataFrame:
+    """One row per key, ready to be joined by that key.
+
+    The keys are grouped as a struct. Their own columns are then new to Spark, which exchanges the
+    small result again for the join. Adaptive execution splits hot partitions only where both sides
+    of a join come straight from such an exchange; without it the hot keys of the other side would
+    stay in one task.
+    """
+    grouped = df.groupBy(F.struct(*keys).alias("_group"))
+    rows = grouped.agg(*values) if values else df.select(F.struct(*keys).alias("_group")).distinct()
+    return rows.select("_group.*", *[c for c in rows.columns if c != "_group"])
+
+
 def _distinct_keys(members: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Each key once, so that a key repeated many times in a list is one row in the join."""
-    return members.select(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).distinct()
+    names = [f"_key{i}" for i in range(len(keys))]
+    return once_per_key(members.select(*[k.alias(n) for k, n in zip(keys, names)]), names)
 
 
 def with_keys(base: DataFrame, keys: Sequence[Column]) -> DataFrame:

@@ -66,7 +66,7 @@ def test_chain_of_equal_distances():
     assert in_rounds(points, 10, 7, 10) == closest_first(points, 10)
 
 
-@pytest.mark.parametrize("run_rows", [40, 500_000])
+@pytest.mark.parametrize("run_rows", [40, 300, 500_000])
 def test_hot_phone_is_spread_and_paired_right(spark, run_rows):
     """One phone holds most calls, dense enough that no gap separates them."""
     generator = random.Random(5)

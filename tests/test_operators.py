@@ -195,6 +195,47 @@ def test_plans_push_filters_and_prune_columns(spark, tmp_path):
     assert "GreaterThanOrEqual(t," in days and "LessThan(t," in days and "cast(t" not in days
 
 
+@pytest.fixture
+def small_skew_limits(spark):
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_hot_keys_are_split_in_every_join(spark, small_skew_limits):
+    """A key with a third of the rows: adaptive execution must be able to split it."""
+    key = F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string"))
+    base = spark.range(0, 90_000, 1, 12).select("id", key.alias("cpf"))
+    deny = spark.range(0, 60_000, 1, 6).select(key.alias("cpf"))
+    ref = spark.range(0, 60_000, 1, 6).select("id", F.col("id").cast("string").alias("n"))
+    twice = ref.withColumn("c", F.lit("x")).unionByName(ref.withColumn("c", F.lit("y")))
+    data = deny.distinct().select(F.col("cpf").alias("k"), F.lit(1).alias("v"))
+    numbers = [d.withColumn("numero", F.col("cpf")) for d in (base, deny)]
+    kept, denied = lists.split_by_denylist(base, deny, "cpf", "cpf")
+    matched, unmatched = enrich.enrich_by_cpf(base, data, "cpf", "k")
+    frames = {
+        "mark": lists.mark_listed(base, [R.cpf("cpf")], deny, [R.cpf("cpf")]), "kept": kept, "denied": denied,
+        "mask": lists.mask_denied_numbers(*numbers, "cpf", "numero", "cpf", "numero"),
+        "matched": matched, "unmatched": unmatched,
+        "fill": enrich.fill_cnpj_by_name(base, twice, "cpf", "n", "c", "id"),
+        "several": enrich.split_by_match_count(base, twice, "cpf", "n", "c", "id")[1],
+        "bank": enrich.bank_names(base, ref, "cpf", "n", "n", "id"),
+    }
+    for name, frame in frames.items():
+        total = frame.agg(F.sum(F.hash(*frame.columns)))
+        total.collect()
+        assert "skew=true" in plan(total), name
+
+
 def test_no_cross_join_and_no_python_in_the_list_operators(spark):
     base = spark.createDataFrame([("1", "2")], "cpf string, numero string")
     frames = [
