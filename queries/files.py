@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from queries.functions import joined
 from queries.registry import query
 from roster.operators.dedupe import distinct_ids
+from roster.operators.reports import batch_stats
 from roster.session import scratch_path
 from roster.sources import readers, writers
 
@@ -133,3 +134,15 @@ def _(t):
     path = scratch_path(t.spark, "quality")
     t.supplier.coalesce(1).select("s_name", "s_acctbal").write.options(sep=";", header=True).csv(path)
     return readers.quality_report(t.spark, path, ["s_name", "fone"]).groupBy("status").agg(F.sum("lines").alias("lines"))
+
+
+@query(
+    "report_file",
+    """SELECT o_orderpriority AS source_file, CAST(count(*) AS VARCHAR) AS rows_in FROM orders GROUP BY 1""",
+)
+def _(t):
+    """Per-source figures written as a report file and read back."""
+    path = scratch_path(t.spark, "report")
+    marked = t.orders.select(F.col("o_orderpriority").alias("source_file"), F.lit(False).alias("gone"))
+    writers.write_report(batch_stats(marked, "gone"), path)
+    return t.spark.read.options(header=True, sep=";").csv(path).select("source_file", "rows_in")

@@ -229,3 +229,10 @@ def _(t):
 def _(t):
     shown = discover.column_preview(t.orders.select("o_orderpriority", "o_custkey", "o_orderkey"), "o_orderkey")
     return shown.where(F.col("column") != "o_orderkey")
+
+
+@query("digit_codes", "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS code FROM supplier WHERE s_acctbal > 1000")
+def _(t):
+    code = F.col("s_nationkey").cast("string")
+    rows = t.supplier.select("s_suppkey", F.when(F.col("s_acctbal") > 1000, code).otherwise(joined("N", code)).alias("code"), "s_name")
+    return dedupe.digits_code_only(rows, "code", "s_name").select("s_suppkey", "code")

@@ -8,7 +8,7 @@ from roster.functions.ids import (
 )
 from roster.functions.numbers import (
     br_money2, decimal_br, decimal_comma, duration_text, excel_number, fixed, int_br, money_br,
-    parse_br_number, parse_decimal, plain_number, price3, tariff, to_float_capped,
+    parse_br_number, parse_decimal, plain_number, price3, rounded, tariff, to_float_capped,
 )
 from roster.functions.text import (
     blank_to_null, column, company_key, fix_mojibake, is_blank, slug, strip, strip_accents,

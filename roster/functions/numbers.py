@@ -45,15 +45,14 @@ def parse_decimal(c: Column | str) -> Column:
     return plain_number(_swap(text(c), ",", "."))
 
 
-def fixed(x: Column | str, places: int) -> Column:
-    """Fixed-point text of a double, rounded from its exact binary value, ties to even.
+def _off_tie(value: Column, places: int) -> Column:
+    """The number, moved a hair towards zero where half-up rounding of its text would be wrong.
 
-    ``format_string`` rounds the shortest decimal form half up. That differs only when this form
-    ends in a 5 right after the wanted places (2.675 is really a little less). For those values the
-    double is split into two parts whose scaled values are exact, which tells on which side of the
-    tie it lies; one that must go down is moved a hair towards zero before it is formatted.
+    Spark rounds the shortest decimal form of a double half up. Rounding the exact binary value
+    with ties to even differs only when this form ends in a 5 right after the wanted places (2.675
+    is really a little less). For those values the double is split into two parts whose scaled
+    values are exact, which tells on which side of the tie it lies.
     """
-    value = column(x).cast("double")
     size = F.abs(value)
     scale = F.lit(float(10 ** (places + 1)))
     units = F.rint(size * scale)
@@ -62,15 +61,25 @@ def fixed(x: Column | str, places: int) -> Column:
     beyond = (head * scale - units) - (head - size) * scale
     limit = F.when(last == 5, 1e-300).when(last == 15, 0.0).otherwise(float("-inf"))
     down = (units / scale == size) & (beyond < limit)
-    moved = value * F.when(down, 1 - 1e-13).otherwise(1.0)
-    # two sure references make the generated code compute the number once
-    present = F.greatest(value, size).isNotNull()
+    return value * F.when(down, 1 - 1e-13).otherwise(1.0)
+
+
+def rounded(x: Column | str, places: int) -> Column:
+    """Double rounded from its exact binary value, ties to even."""
+    return F.round(_off_tie(column(x).cast("double"), places), places)
+
+
+def fixed(x: Column | str, places: int) -> Column:
+    """Fixed-point text of a double, rounded from its exact binary value, ties to even."""
+    value = column(x).cast("double")
+    moved = _off_tie(value, places)
     shown = F.format_string(f"%.{places}f", moved)
     if places <= DECIMAL_PLACES:  # a decimal is the cheaper way, but its sign goes with a zero
         sign = F.when(value < 0, "-").otherwise("")
         plain = F.abs(moved).try_cast(f"decimal(38,{places})").cast("string")
         shown = F.coalesce(F.concat(sign, plain), shown)
-    return F.when(present, shown)
+    # two sure references make the generated code compute the number once
+    return F.when(F.greatest(value, F.abs(value)).isNotNull(), shown)
 
 
 def excel_number(c: Column | str, places: int = 2) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roster.functions.ids import bank_code
-from roster.functions.numbers import SUSPICIOUS, fixed, parse_decimal, to_float_capped
+from roster.functions.numbers import SUSPICIOUS, parse_decimal, rounded, to_float_capped
 from roster.functions.text import column, strip, text
 from roster.operators.calls import exact
 from roster.operators.discover import find_total_columns
@@ -71,11 +71,11 @@ def recompute_totals(
         return df
     sums = {t: f"_t{i}" for i, t in enumerate(present)}
     summed = df.withColumns({sums[t]: row_total(parts, limit) for t, parts in present.items()})
-    rounded = {
-        t: F.when(F.abs(F.col(s)) <= limit, fixed(F.col(s), 2).cast("double")).otherwise(0.0)
+    shown = {
+        t: F.when(F.abs(F.col(s)) <= limit, rounded(F.col(s), 2)).otherwise(0.0)
         for t, s in sums.items()
     }
-    return summed.withColumns(rounded).drop(*sums.values())
+    return summed.withColumns(shown).drop(*sums.values())
 
 
 def conversion_check(df: DataFrame, names: Sequence[str]) -> DataFrame:

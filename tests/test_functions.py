@@ -77,6 +77,7 @@ def test_numbers_as_text(apply):
 def test_fixed_rounds_like_exact_formatting(apply, values):
     for places in (0, 2, 3):
         assert apply(lambda c: R.fixed(c, places), values, "double") == [f"{v:.{places}f}" for v in values]
+    assert apply(lambda c: R.rounded(c, 2), values, "double") == [round(v, 2) for v in values]
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
