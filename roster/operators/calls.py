@@ -14,6 +14,7 @@ from roster.functions.numbers import decimal_br, parse_decimal, tariff
 from roster.functions.text import column
 from roster.operators import pairing
 from roster.operators.lists import drop_listed
+from roster.operators.order import number_rows
 from roster.operators.pairing import DIALER, OUTPUT, VOIP, pair_partition
 from roster.session import cut_lineage
 
@@ -22,6 +23,7 @@ cloudpickle.register_pickle_by_value(pairing)  # workers need not have the packa
 TOLERANCE_SECONDS = 90  # fixed value: default match window
 RUN_ROWS = 100_000  # rows per task, as long as that gives no more tasks than usual
 MAX_RUN_ROWS = 2_000_000  # rows per task beyond that; bounds the memory of a task
+SAMPLE_ROWS = 1_000_000  # rows looked at for instants with very many rows
 
 
 def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> DataFrame:
@@ -33,12 +35,67 @@ def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> D
     ).where((F.col("phone") != "") & F.col("ts").isNotNull())
 
 
+def _busy_instants(points: DataFrame, rows: int, busy_rows: int) -> DataFrame:
+    """(phone, ts) with more than about ``busy_rows`` rows, found in a sample.
+
+    The sample only says which instants get the treatment below; no row is left out by it. At most
+    one instant per two sampled rows comes out, which bounds the table for a broadcast.
+    """
+    share = min(1.0, SAMPLE_ROWS / rows)
+    seen = points.sample(share, 17) if share < 1 else points
+    often = seen.groupBy("phone", "ts").agg(F.count(F.lit(1)).alias("_seen"))
+    return cut_lineage(often.where(F.col("_seen") > max(1.0, busy_rows * share * 0.8)).select("phone", "ts"))
+
+
+def _pair_busy_instants(
+    points: DataFrame, busy: DataFrame, tolerance: int
+) -> tuple[DataFrame, DataFrame]:
+    """(pairs, points left) after settling instants with very many rows of one phone.
+
+    Rows of the same phone and instant are always paired first with first, second with second, and
+    so on. Ranks come from consecutive row numbers, so no task holds a whole instant, and the join
+    by rank has unique keys. What is left at such an instant is of one side; its rows go in order,
+    so of those only as many can ever be paired as there are rows of the other side in reach.
+    """
+    spot = ["phone", "ts"]
+    numbered = number_rows(points.join(F.broadcast(busy), spot), [*spot, "side", "row"], "_n")
+    sides = numbered.groupBy(*spot, "side").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
+
+    def size(side: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col("_size"))), F.lit(0))
+
+    equal = sides.groupBy(*spot).agg(F.least(size(VOIP), size(DIALER)).alias("_equal"))
+    near = busy.select(F.col("phone").alias("_phone"), F.col("ts").alias("_ts"))
+    apart = F.abs(F.col("ts") - F.col("_ts"))
+    reach = (
+        points.join(F.broadcast(near), (F.col("phone") == F.col("_phone")) & (apart <= tolerance) & (apart > 0))
+        .groupBy("phone", F.col("_ts").alias("ts"), (1 - F.col("side")).alias("side"))
+        .agg(F.count(F.lit(1)).alias("_reach"))
+    )
+    # one row per busy instant and side
+    limits = cut_lineage(sides.join(equal, spot).join(reach, [*spot, "side"], "left"))
+    ranked = numbered.join(F.broadcast(limits), [*spot, "side"]).withColumn("_rank", F.col("_n") - F.col("_first"))
+    level = ranked.where(F.col("_rank") < F.col("_equal"))
+    pairs = (
+        level.where(F.col("side") == VOIP).select(*spot, "_rank", F.col("row").alias("voip_row"))
+        .join(level.where(F.col("side") == DIALER).select(*spot, "_rank", F.col("row").alias("dialer_row")), [*spot, "_rank"])
+        .select("voip_row", "dialer_row", F.lit(0).cast("bigint").alias("distance"))
+    )
+    last = F.col("_equal") + F.coalesce(F.col("_reach"), F.lit(0))
+    rest = ranked.where((F.col("_rank") >= F.col("_equal")) & (F.col("_rank") < last))
+    columns = [*spot, "side", "row"]
+    calm = points.join(F.broadcast(busy), spot, "left_anti").select(*columns)
+    return pairs, calm.unionByName(rest.select(*columns))
+
+
 def _tasks(rows: int, run_rows: int, usual: int) -> int:
     """Tasks for ``rows`` points: ``run_rows`` each, more per task once that exceeds the usual number."""
     return max(min(-(-rows // run_rows), usual), -(-rows // max(run_rows, MAX_RUN_ROWS)), 1)
 
 
-def match_points(points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS) -> DataFrame:
+def match_points(
+    points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS, busy_rows: int = MAX_RUN_ROWS
+) -> DataFrame:
     """Closest-first 1:1 pairs of points (phone, ts in microseconds, side, row).
 
     Points are range-partitioned by (phone, ts), so a phone with much of the data is spread over
@@ -48,7 +105,8 @@ def match_points(points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS) ->
     round, where the few that are left are cut differently, until all fit into one task of
     ``run_rows`` rows. Each round settles at least the first run of a phone; runs get longer when
     rounds settle little. The points and each round are checkpointed, since range bounds come from
-    a sample and must not be drawn twice. Rows of one phone and instant stay together. The result
+    a sample and must not be drawn twice. Rows of one phone and instant stay together, so instants
+    with more than about ``busy_rows`` of them are settled by rank beforehand. The result
     is the one of a single closest-first pass over all pairs ordered by (distance, voip row,
     dialler row).
     """
@@ -56,13 +114,20 @@ def match_points(points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS) ->
     schema = ", ".join(f"{name} {kind}" for name, kind in OUTPUT.items())
     made, left = [], cut_lineage(points)
     rows = left.count()
+    if rows > busy_rows:
+        busy = _busy_instants(left, rows, busy_rows)
+        if not busy.isEmpty():
+            pairs, left = _pair_busy_instants(left, busy, tolerance)
+            made.append(pairs)
+            left = cut_lineage(left)
+            rows = left.count()
     while True:
         tasks = _tasks(rows, run_rows, usual)
         runs = left.repartitionByRange(tasks, "phone", "ts")
         runs = runs.sortWithinPartitions("phone", "ts", "side", "row")
         solve = partial(pair_partition, tolerance=tolerance, whole=tasks == 1)
         solved = cut_lineage(runs.mapInPandas(solve, schema))
-        made.append(solved.where(F.col("voip_row").isNotNull()))
+        made.append(solved.where(F.col("voip_row").isNotNull()).select("voip_row", "dialer_row", "distance"))
         if tasks == 1:
             break
         left = solved.where(F.col("row").isNotNull()).select("phone", "ts", "side", "row")
@@ -74,7 +139,7 @@ def match_points(points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS) ->
         elif still > rows // 2:  # long dependency chains: longer runs settle more per round
             run_rows = max(run_rows, min(run_rows * 2, MAX_RUN_ROWS))
         rows = still
-    return reduce(DataFrame.unionByName, made).select("voip_row", "dialer_row", "distance")
+    return reduce(DataFrame.unionByName, made)
 
 
 def match_calls(

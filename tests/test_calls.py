@@ -79,6 +79,23 @@ def test_hot_phone_is_spread_and_paired_right(spark, run_rows):
     assert spread.select(F.spark_partition_id()).distinct().count() > 2
 
 
+@pytest.mark.parametrize("busy_rows", [15, 60])
+def test_instants_with_very_many_rows(spark, busy_rows):
+    """Rows of one phone and instant outnumber what one task may hold, on one side or on both."""
+    generator = random.Random(9)
+    points = []
+    for ts, voip, dialer in ((100, 80, 30), (130, 0, 90), (150, 20, 0), (400, 70, 0), (700, 50, 50), (735, 0, 3)):
+        points += [("hot", ts, side) for side, count in ((0, voip), (1, dialer)) for _ in range(count)]
+    points += [("hot", generator.randrange(900), generator.randrange(2)) for _ in range(60)]
+    points += [("cold", 100, 0), ("cold", 100, 1), ("cold", 135, 1)]
+    numbers = list(range(len(points)))
+    generator.shuffle(numbers)
+    points = [(*p, n) for p, n in zip(points, numbers)]
+    table = spark.createDataFrame(points, "phone string, ts bigint, side bigint, row bigint").repartition(6)
+    pairs = calls.match_points(table, 40, 50, busy_rows)
+    assert {tuple(r) for r in pairs.collect()} == closest_first(points, 40)
+
+
 def voip_and_dialer(spark):
     voip = spark.createDataFrame(
         [(0, "5551999990001", "2024-01-01 10:00:00", "0,0250", "30", "a"), (1, "51999990001", "2024-01-01 10:01:00", "x", "5", "b"),
