@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import mixing, packing
+from roster.llm import mixing, packing, quality_classifier
 from roster.llm.common import query, table
 
 
@@ -19,6 +19,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
 
 
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_mixing", """
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
