@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import mixing, packing, quality_classifier
+from roster.llm import mixing, ngram_join, packing, quality_classifier
 from roster.llm.common import query, table
 
 
@@ -14,6 +14,11 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_ngram_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
