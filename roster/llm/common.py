@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roster.session import scratch_path
 
+FILES_PER_CORE = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,10 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lost executors then cost a read, not a recomputation, and Spark knows the table's size, so it
-    broadcasts it in joins when, and only when, it is small.
+    broadcasts it in joins when, and only when, it is small. There are at most ``FILES_PER_CORE``
+    files a core, so small tables of many partitions don't become thousands of files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -96,12 +96,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILIN
     targets are 0 and nothing is taken. Input columns with the names of these outputs are replaced.
     """
     sized = stored(docs.select("source", id_hash().alias("_hash"), word_count().alias("_size")), "sizes")
-    plan = stored(targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, ceiling), "targets")
+    plan = stored(targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, ceiling).coalesce(1), "targets")
     idle = plan.filter("source_size = 0").select(
         F.col("source").alias("_of"), "source_size", "target",
         F.lit(0).cast("long").alias("_copies"), F.lit(0).cast("long").alias("_limit"),
     )
-    limits = stored(thresholds(sized.filter("_size > 0"), plan).unionByName(idle), "limits")
+    limits = stored(thresholds(sized.filter("_size > 0"), plan).unionByName(idle).coalesce(1), "limits")
     base = without(docs, "size", "source_size", "target", "copies", "taken")
     return (
         base.withColumns({"_size": word_count(), "_hash": id_hash()})
