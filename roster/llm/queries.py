@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import mixing, ngram_join, packing, quality_classifier
+from roster.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup
 from roster.llm.common import query, table
 
 
@@ -68,3 +68,27 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_substring_dedup", """
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), windows AS (
+        SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+    ), firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    gone AS (
+        SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS cut
+        FROM windows JOIN firsts USING (h) WHERE doc_id > first GROUP BY doc_id
+    ), kept AS (
+        SELECT doc_id, len(w) AS n, CASE WHEN cut IS NULL THEN w
+            ELSE list_filter(w, lambda x, i: NOT list_contains(cut, i)) END AS k
+        FROM d LEFT JOIN gone USING (doc_id)
+    )
+    SELECT doc_id, n::BIGINT AS n_words, (n - len(k))::BIGINT AS n_removed,
+        sha256(array_to_string(k, ' ')) AS kept_sha256
+    FROM kept
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    removed = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
