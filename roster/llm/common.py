@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roster.session import scratch_path
 
 FILES_PER_CORE = 4
+LABEL_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def id_text(doc_id: str = "doc_id") -> Column:
     """The id as text; a null id counts as empty."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+
+
+def join_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents with their labels, by doc_id.
+
+    Up to ``LABEL_ROWS`` labels, counted, go to the documents, whose texts then stay where they are;
+    more are joined by exchanging both sides.
+    """
+    if labels.limit(LABEL_ROWS + 1).count() <= LABEL_ROWS:
+        labels = F.broadcast(labels)
+    return docs.join(labels, "doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup
+from roster.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup, toxicity
 from roster.llm.common import query, table
 
 
@@ -24,6 +24,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), word_tokenizer())
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

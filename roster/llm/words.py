@@ -95,16 +95,21 @@ class Words(Texts):
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(self)), self.count)
 
-    def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash per word."""
+    def hashes(self, seed: int = 1, prefix: int | None = None) -> np.ndarray:
+        """A 64-bit hash per word, or of its first ``prefix`` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         begin = int(self.start[0])
         place = np.arange(begin, len(self.data)) - np.repeat(self.start, np.diff(np.append(self.start, len(self.data))))
         place *= self._inside[begin:]
         values = _codes(seed)[self.data[begin:]] * powers(_STEP, int(place.max()) + 1)[place]
-        values *= self._inside[begin:]
-        return mix(np.add.reduceat(values, self.start - begin) + (self.end - self.start).astype(np.uint64))
+        size = self.end - self.start
+        if prefix is None:
+            values *= self._inside[begin:]
+        else:
+            values *= self._inside[begin:] & (place < prefix)
+            size = np.minimum(size, prefix)
+        return mix(np.add.reduceat(values, self.start - begin) + size.astype(np.uint64))
 
     def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of the first word and hash of every run of n words of one text."""
