@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup, toxicity
+from roster.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup, toxicity, warc
 from roster.llm.common import query, table
 
 
@@ -75,6 +75,21 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op9_warc", """
+    WITH p AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS digest,
+            coalesce(html, '') AS payload
+        FROM pages
+    ), owners AS (SELECT payload, max(page_id) AS owner FROM p WHERE bytes >= 1000 GROUP BY payload HAVING count(*) > 1)
+    SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+        CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN owner <> page_id THEN owner END AS refers_to
+    FROM p LEFT JOIN owners USING (payload)
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 @query("op10_substring_dedup", """
     WITH d AS (
         SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
