@@ -56,7 +56,7 @@ def id_text(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
 
-def join_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def join_labels(docs: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:
     """Documents with their labels, by doc_id.
 
     Up to ``LABEL_ROWS`` labels, counted, go to the documents, whose texts then stay where they are;
@@ -64,4 +64,4 @@ def join_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     if labels.limit(LABEL_ROWS + 1).count() <= LABEL_ROWS:
         labels = F.broadcast(labels)
-    return docs.join(labels, "doc_id")
+    return docs.join(labels, "doc_id", how)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup, toxicity, warc
+from roster.llm import fingerprints, mixing, ngram_join, packing, quality_classifier, substring_dedup, toxicity, warc
 from roster.llm.common import query, table
 
 
@@ -29,6 +29,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op4_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, folder, "documents"))
+
+
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
