@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import fingerprints, mixing, ngram_join, packing, quality_classifier, substring_dedup, toxicity, warc
+from roster.llm import fingerprints, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 from roster.llm.common import query, table
 
 
@@ -34,6 +34,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.against_next(table(spark, folder, "documents"))
 
 
+@query("op6_quality_rules")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
