@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roster.llm import fingerprints, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from roster.llm import fingerprints, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 from roster.llm.common import query, table
 
 
@@ -34,6 +34,14 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.against_next(table(spark, folder, "documents"))
 
 
+@query("op5_pii")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.find(docs, pii.train(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"
+    )
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
