@@ -399,7 +399,7 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sizes = members.groupBy(F.struct("group").alias("_g")).agg(F.count(F.lit(1)).alias("size")).select("_g.group", "size")
     grouped = stored(members.join(sizes, "group").join(classes.select("key", "check", "rep", "copies"), "key"), "groups")
     chosen = (
-        texts.join(grouped, F.col("doc_id").eqNullSafe(F.col("rep")))
+        texts.join(grouped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")))
         .select("key", "copies", "group", "size", "text")
     )
     exact = in_blocks(_sets(chosen), "group", "size", "key", BLOCK)
