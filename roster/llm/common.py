@@ -51,6 +51,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it, also in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def id_text(doc_id: str = "doc_id") -> Column:
     """The id as text; a null id counts as empty."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

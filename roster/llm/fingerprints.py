@@ -20,6 +20,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roster.llm.common import let
+
 #: Four lanes share a word of 60 bits.
 LANES, SUMS = 120, 4
 _WORDS = LANES // 4
@@ -36,11 +38,20 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, _CUT, -1), lambda p: F.length(p) > 0)
 
 
+def hashes(text: Column) -> Column:
+    """Four hashes of every paragraph."""
+    return F.transform(
+        paragraphs(text),
+        lambda p: F.array(F.xxhash64(p), F.xxhash64(F.lit(1), p), F.xxhash64(F.lit(2), p), F.xxhash64(F.lit(3), p)),
+    )
+
+
 def vector(text: Column) -> Column:
     """The sums, as an array of ``LANES`` / 4 + ``SUMS`` + 1 numbers."""
-    hashes = F.transform(
-        paragraphs(text), lambda p: F.array(F.xxhash64(p), F.xxhash64(F.lit(1), p), F.xxhash64(F.lit(2), p), F.xxhash64(F.lit(3), p))
-    )
+    return let(hashes(text), _sums)
+
+
+def _sums(hashes: Column) -> Column:
     ones, word = F.lit(_ONES).cast("long"), F.lit(_WORD).cast("long")
 
     def bits(number: int) -> Column:

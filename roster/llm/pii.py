@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roster.llm import boosting
-from roster.llm.common import id_text, without
+from roster.llm.common import id_text, let, without
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.8
@@ -69,23 +69,33 @@ def _running(values: Column) -> Column:
     zero = F.lit(0).cast("long")
     return F.aggregate(
         steps, values,
-        lambda sums, s: F.zip_with(sums, F.concat(F.array_repeat(zero, s), F.slice(sums, F.lit(1), F.size(sums) - s)), lambda a, b: a + b),
+        lambda sums, s: F.zip_with(
+            sums, F.concat(F.array_repeat(zero, s), F.slice(sums, F.lit(1), F.size(sums) - s)), lambda a, b: a + b
+        ),
     )
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """(start, end, match, before, after) of all matches; offsets in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
-    rows = F.arrays_zip(
-        _running(lengths).alias("end"), found.alias("match"), F.slice(gaps, F.lit(1), F.size(found)).alias("before"),
-        F.slice(gaps, F.lit(2), F.size(found)).alias("after"),
+
+    def place(found: Column, gaps: Column) -> Column:
+        count = F.size(found)
+        before = F.slice(gaps, F.lit(1), count)
+        lengths = F.zip_with(before, found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+        rows = F.arrays_zip(
+            let(lengths, _running).alias("end"), found.alias("match"), before.alias("before"),
+            F.slice(gaps, F.lit(2), count).alias("after"),
+        )
+        return F.transform(rows, lambda r: F.struct(
+            (r["end"] - F.length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"),
+            F.right(r["before"], F.lit(24)).alias("before"), F.left(r["after"], F.lit(1)).alias("after"),
+        ))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>")
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: place(found, gaps))).otherwise(none),
     )
-    return F.transform(rows, lambda r: F.struct(
-        (r["end"] - F.length(r["match"])).alias("start"), r["end"].alias("end"), r["match"].alias("match"),
-        F.right(r["before"], F.lit(24)).alias("before"), F.left(r["after"], F.lit(1)).alias("after"),
-    ))
 
 
 def _digits(match: Column) -> Column:

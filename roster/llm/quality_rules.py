@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roster.llm.common import join_labels, without
+from roster.llm.common import join_labels, let, without
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -54,18 +54,19 @@ def repeated_words(hashes: Column, pairs: Column) -> Column:
     """
     count = F.greatest(F.size(hashes) - 2, F.lit(0))
     triples = F.zip_with(F.slice(pairs, 1, count), F.slice(hashes, 3, count), lambda a, b: F.xxhash64(a, b))
+
+    def places(placed: Column) -> Column:
+        none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+        before = F.concat(none, F.slice(placed, F.lit(1), F.greatest(F.size(placed) - 1, F.lit(0))))
+        after = F.concat(F.slice(placed, F.lit(2), F.size(placed)), none)
+        rows = F.arrays_zip(placed.alias("own"), before.alias("before"), after.alias("after"))
+        again = F.filter(rows, lambda r: (r["own"]["h"] == r["before"]["h"]) | (r["own"]["h"] == r["after"]["h"]))
+        return F.sort_array(F.transform(again, lambda r: r["own"]["i"]))
+
     placed = F.sort_array(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # neighbours in the sorted list, side by side
-    before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(placed, 1, F.greatest(F.size(placed) - 1, F.lit(0))))
-    after = F.concat(F.slice(placed, 2, F.size(placed)), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    rows = F.arrays_zip(placed.alias("own"), before.alias("before"), after.alias("after"))
-    again = F.filter(
-        rows, lambda r: (r["own"]["h"] == r["before"]["h"]) | (r["own"]["h"] == r["after"]["h"])
-    )
-    places = F.sort_array(F.transform(again, lambda r: r["own"]["i"]))
     start = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(-3).alias("last"))
     return F.aggregate(
-        places, start,
+        let(placed, places), start,
         lambda total, i: F.struct(
             (total["covered"] + F.least(F.lit(3), i - total["last"])).alias("covered"), i.alias("last")
         ),
