@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roster.llm import mixing, packing
+from roster.llm import mixing, ngram_join, packing, pii, quality_classifier
 from roster.llm.common import stored, table
 from roster.llm.queries import word_tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels of those at hand, accepts."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).filter("predicted = 1").select(*COLUMNS)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.keep_one(docs).select(*COLUMNS)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    clean = pii.redact(docs, pii.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, at most three times; those it leaves out go."""
     mixed = mixing.mix(docs).filter("copies > 0")
@@ -23,12 +41,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", classify),
+    ("n-gram Jaccard join", deduplicate),
+    ("PII", redact),
     ("mixing sources to target weights", mix_sources),
     ("best-fit packing", pack),
 ]
 
-# Token ids, trained models and hash-split similarity joins have no SQL form; tests compare each
-# stage with a brute-force version instead.
+# Trained models, hash-split similarity joins and token ids have no SQL form; tests compare the
+# stages with brute-force versions instead.
 ORACLE_SQL = None
 
 

@@ -115,19 +115,21 @@ def _long(values: np.ndarray) -> pa.Array:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, check, tokens) of every document."""
+    """(doc_id, text_hash, key, check, tokens) of every document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
             cuts, grams = gram_sets(part.column("text"))
             key, check = set_keys(cuts, grams)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), _long(key), _long(check), _binary_rows(tokens(cuts, grams))],
-                ["doc_id", "key", "check", "tokens"],
+                [part.column("doc_id"), part.column("text_hash"), _long(key), _long(check), _binary_rows(tokens(cuts, grams))],
+                ["doc_id", "text_hash", "key", "check", "tokens"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, key long, check long, tokens binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        make, f"doc_id {kind}, text_hash long, key long, check long, tokens binary"
+    )
 
 
 # --- paths -----------------------------------------------------------------------------------------
@@ -371,16 +373,8 @@ def _sets(chosen: DataFrame) -> DataFrame:
 # --- the join --------------------------------------------------------------------------------------
 
 
-def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, links) of every document.
-
-    ``links`` counts the other documents whose set of word 5-grams has a Jaccard similarity of at
-    least 0.8 with the document's; ``class_id`` is the least doc_id among the documents connected by
-    links. Words are separated by ASCII white space and taken as they are. Documents with equal sets,
-    so also all documents without words (null texts too), are similar to each other. A repeated row
-    is a document like any other. A null doc_id is a document too; it names a class only if no other
-    id of the class can. Extra columns are ignored.
-    """
+def _linked(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, key, check) of every document, and (key, check, rep, root, links) of every class."""
     texts = docs.select("doc_id", "text")
     signed = stored(_signed(texts), "signed")
     classes = stored(
@@ -413,7 +407,40 @@ def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         .select("key", "check", "rep", F.coalesce("root", "key").alias("root"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
-    state = stored(state, "states")
+    return signed.select("doc_id", "text_hash", "key", "check"), stored(state, "states")
+
+
+def join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, links) of every document.
+
+    ``links`` counts the other documents whose set of word 5-grams has a Jaccard similarity of at
+    least 0.8 with the document's; ``class_id`` is the least doc_id among the documents connected by
+    links. Words are separated by ASCII white space and taken as they are. Documents with equal sets,
+    so also all documents without words (null texts too), are similar to each other. A repeated row
+    is a document like any other. A null doc_id is a document too; it names a class only if no other
+    id of the class can. Extra columns are ignored.
+    """
+    signed, state = _linked(docs, recall)
     names = state.groupBy(F.struct("root").alias("_g")).agg(F.min("rep").alias("class_id")).select("_g.root", "class_id")
-    state = stored(state.join(names, "root").select("key", "check", "class_id", "links"), "states")
-    return signed.select("doc_id", "key", "check").join(state, ["key", "check"]).select("doc_id", "class_id", "links")
+    named = stored(state.join(names, "root").select("key", "check", "class_id", "links"), "states")
+    return signed.join(named, ["key", "check"]).select("doc_id", "class_id", "links")
+
+
+def keep_one(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """One document of each class connected by links, with all its columns: that with the least doc_id.
+
+    Documents without doc_id stay only where their class has no other; of rows that repeat an id and a
+    text one stays.
+    """
+    signed, state = _linked(docs, recall)
+    first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", F.col("text_hash").alias("_hash"))
+    chosen = (
+        signed.join(state.select("key", "check", "root"), ["key", "check"])
+        .groupBy(F.struct("root").alias("_g")).agg(F.min(first).alias("_first")).select("_first.*")
+    )
+    marked = docs.withColumns({"_null_key": F.col("doc_id").isNull(), "_hash_key": F.xxhash64("text")})
+    kept = marked.join(
+        stored(chosen.withColumnRenamed("doc_id", "_id"), "chosen").hint("merge"),
+        (F.col("_hash_key") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")),
+    )
+    return kept.dropDuplicates(["doc_id", "_hash_key"]).select(*docs.columns)

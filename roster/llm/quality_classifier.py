@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from roster.llm.common import id_text, stored, without
+from roster.llm.common import id_text, join_labels, stored, without
 from roster.llm.words import Words, chunks, first_of_run, mix
 
 FEATURES = (
@@ -113,15 +114,15 @@ def _vectors(part: pa.RecordBatch) -> pa.Array:
     return pa.ListArray.from_arrays(at, pa.array(values.ravel()))
 
 
-def vectors(docs: DataFrame) -> DataFrame:
-    """(doc_id, vector) of every document."""
+def vectors(docs: DataFrame, carried: str = "doc_id") -> DataFrame:
+    """(``carried``, vector) of every document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _vectors(part)], ["doc_id", "vector"])
+            yield pa.RecordBatch.from_arrays([part.column(carried), _vectors(part)], [carried, "vector"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, vector array<double>")
+    schema = T.StructType([docs.schema[carried], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return docs.select(carried, "text").mapInArrow(make, schema)
 
 
 @dataclass(frozen=True)
@@ -210,8 +211,8 @@ def held_out(folds: int = FOLDS, fold: int = 0) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Discriminant:
     """Fit on the labelled documents outside the held-out fold."""
-    known = labels.filter(~held_out()).select(F.col("doc_id"), F.col(label).alias("label"))
-    return fit(vectors(docs).join(known, "doc_id"))
+    known = labels.filter(~held_out()).select("doc_id", F.col(label).alias("label"))
+    return fit(vectors(join_labels(docs.select("doc_id", "text"), known), "label"))
 
 
 def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
@@ -224,7 +225,7 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
             out = part.append_column("score", pa.array(found))
             yield out.append_column("predicted", pa.array((found >= threshold).astype(np.int32)))
 
-    schema = base.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*base.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return base.mapInArrow(add, schema)
 
 
