@@ -152,7 +152,7 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
                 header = _header(data)
                 total = None if header is None else header[1] + int(header[0]["content-length"])
                 # the piece is the record, its end and nothing else
-                whole = total is not None and data[total:] in (b"", END.encode())
+                whole = total is not None and len(data) >= total and data[total:] in (b"", END.encode())
                 rows.append((
                     file, start, at, len(data) + magic, None if total is None else magic + total + len(END),
                     *(_record(data, header) if whole else (None,) * 5), whole,
