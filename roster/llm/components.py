@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from roster.llm.common import stored
 
-JUMPS = 3
-
 
 def _through(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     """Replace nodes of a column by their parents, where they have one."""
@@ -17,11 +15,19 @@ def _through(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_parent", column)).drop("_node", "_parent")
 
 
+def _to_roots(hooks: DataFrame) -> DataFrame:
+    """Follow (node, parent) until every parent is a root; every step doubles the distance."""
+    while True:
+        hooks = stored(_through(hooks, "parent", hooks), "hooks")
+        if hooks.join(hooks.select(F.col("node").alias("_node")), F.col("parent") == F.col("_node"), "left_semi").isEmpty():
+            return hooks
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b) that isn't the least of its component, the root.
 
-    Every round hooks each node to its least neighbour, follows the hooks for a few steps, and
-    replaces the ends of the edges; edges within one node go. The edges shrink round by round and
+    Every round hooks each node to its least neighbour, follows the hooks to their ends, and
+    replaces the ends of the edges; edges within one node go. At least every other node goes too. The edges shrink round by round and
     nothing but their count reaches the driver. Hubs are hot join keys, which adaptive execution splits.
     """
     maps: list[DataFrame] = []
@@ -29,11 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     while not edges.isEmpty():
-        hooks = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")
-        for _ in range(JUMPS):
-            hooks = _through(hooks, "parent", hooks)
-        hooks = stored(hooks, "hooks")
-        maps.append(hooks)
+        maps.append(hooks := _to_roots(stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")), "hooks")))
         moved = _through(_through(edges, "a", hooks), "b", hooks).filter("a <> b")
         edges = stored(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     if not maps:

@@ -155,6 +155,13 @@ class _Bins:
         self.fill[source] -= self.lengths[item]
         self.fill[target] += self.lengths[item]
 
+    def _grows(self, taker: int, first: int, second: int, own: int, a: int, b: int) -> bool:
+        """Does the sum of squared fills grow if ``a`` and ``b`` come from two bins and ``own`` goes to the first?"""
+        change = {taker: self.lengths[a] + self.lengths[b] - self.lengths[own]}
+        change[first] = change.get(first, 0) + self.lengths[own] - self.lengths[a]
+        change[second] = change.get(second, 0) - self.lengths[b]
+        return sum((self.fill[k] + d) ** 2 - self.fill[k] ** 2 for k, d in change.items()) > 0
+
     def improve(self) -> bool:
         """One round over the underfull bins, fullest first; true if any exchange was made.
 
@@ -218,7 +225,7 @@ class _Bins:
                         if gain <= (best[0] if best else 0):
                             continue
                         b = giver(second, bin_)
-                        if b is not None and b != a:
+                        if b is not None and b != a and self._grows(bin_, where[a], where[b], own, a, b):
                             best = (gain, (own, (a, b)))
                             if gain == gap:
                                 break
