@@ -46,22 +46,25 @@ def parse_decimal(c: Column | str) -> Column:
 
 
 def _off_tie(value: Column, places: int) -> Column:
-    """The number, moved a hair towards zero where half-up rounding of its text would be wrong.
+    """The number, cut to ``places`` where half-up rounding of its text would be wrong.
 
     Spark rounds the shortest decimal form of a double half up. Rounding the exact binary value
     with ties to even differs only when this form ends in a 5 right after the wanted places (2.675
     is really a little less). For those values the double is split into two parts whose scaled
-    values are exact, which tells on which side of the tie it lies.
+    values are exact, which tells on which side of the tie it lies. Below it, the kept digits
+    themselves are the answer. Exact up to 2^53 units of the place after the last: 9e12 for two places,
+    9e11 for three; beyond, a double has no digits left for a tie and Spark's rounding stands.
     """
     size = F.abs(value)
     scale = F.lit(float(10 ** (places + 1)))
-    units = F.rint(size * scale)
-    last = units % 20  # 5: the kept digit is even, 15: it is odd
     head = size.cast("float").cast("double")
+    whole = F.rint(head * scale)  # the large part by itself, as the product of both would lose digits
+    units = whole + F.rint((head * scale - whole) + (size - head) * scale)
+    last = units % 20  # 5: the kept digit is even, 15: it is odd
     beyond = (head * scale - units) - (head - size) * scale
     limit = F.when(last == 5, 1e-300).when(last == 15, 0.0).otherwise(float("-inf"))
     down = (units / scale == size) & (beyond < limit)
-    return value * F.when(down, 1 - 1e-13).otherwise(1.0)
+    return F.when(down, F.signum(value) * ((units - 5) / scale)).otherwise(value)
 
 
 def rounded(x: Column | str, places: int) -> Column:
@@ -92,13 +95,22 @@ def excel_text(amount: Column | str, places: int = 2) -> Column:
     return F.coalesce(fixed(amount, places), F.lit(""))
 
 
-def to_float_capped(c: Column | str, limit: float = SUSPICIOUS) -> Column:
-    """Number for totals: blank and bad text count 0, and so does anything above ``limit``."""
+def to_float_capped(c: Column | str, limit: float | None = SUSPICIOUS) -> Column:
+    """Number for totals: blank and bad text count 0, and so does anything above ``limit``, if there is one."""
     value = plain_number(_localised(text(c)))
+    if limit is None:
+        return F.coalesce(value, F.lit(0.0))
     kept = value * (F.abs(value) <= limit).cast("double") + 0.0
     return F.coalesce(kept, F.lit(0.0))
 
 
+def over_limit(c: Column | str, limit: float | None = SUSPICIOUS) -> Column:
+    """Is this a number that ``to_float_capped`` takes as 0 because of its size?"""
+    if limit is None:
+        return F.lit(False)
+    return F.coalesce(F.abs(plain_number(_localised(text(c)))) > limit, F.lit(False))
+
+
 def br_money2(c: Column | str) -> Column:
     """Two places with a decimal comma; blank gives ``0,00``, unreadable text stays."""
     return money2_text(c, money2_amount(c))

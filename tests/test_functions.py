@@ -80,6 +80,15 @@ def test_fixed_rounds_like_exact_formatting(apply, values):
     assert apply(lambda c: R.rounded(c, 2), values, "double") == [round(v, 2) for v in values]
 
 
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(10**9, 9 * 10**11), st.integers(0, 99), st.booleans()), min_size=50, max_size=200))
+def test_large_ties_round_like_exact_formatting(apply, parts):
+    twos = [(n * 10 + (n % 10) + (c + 0.5) / 100) * (-1 if s else 1) for n, c, s in parts]
+    assert apply(lambda c: R.fixed(c, 2), twos, "double") == [f"{v:.2f}" for v in twos]
+    threes = [(n + (c + 0.5) / 1000) * (-1 if s else 1) for n, c, s in parts]
+    assert apply(lambda c: R.fixed(c, 3), threes, "double") == [f"{v:.3f}" for v in threes]
+
+
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.datetimes(dt.datetime(1969, 1, 1), dt.datetime(2068, 12, 31)), min_size=30, max_size=100))
 def test_dates_are_read_in_every_form(apply, moments):
