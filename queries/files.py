@@ -6,6 +6,7 @@ from queries.functions import joined
 from queries.registry import query
 from roster.operators.dedupe import distinct_ids
 from roster.operators.reports import batch_stats
+from roster.plans import jobs
 from roster.session import scratch_path
 from roster.sources import readers, writers
 
@@ -64,15 +65,49 @@ def _(t):
     """Line 1 is a caption; the header is on line 2."""
     path = scratch_path(t.spark, "junk")
     rows = people(t)
-    header = t.spark.range(1).select(*[F.lit(c).alias(c) for c in rows.columns])
-    body = rows.withColumn("_n", F.lit(1)).unionAll(header.withColumn("_n", F.lit(0)))
-    lines = body.select("_n", F.concat_ws(";", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in rows.columns]).alias("value"))
-    caption = t.spark.range(1).select(F.lit(-1).alias("_n"), F.lit("Relatório").alias("value"))
-    # one file: its first two lines are what the reader is about
-    lines.unionByName(caption).repartitionByRange(1, "_n").sortWithinPartitions("_n").select("value").write.text(path)
+    junk_lines(rows).write.text(path)
     return readers.read_lists(t.spark, path, glob="*.txt", skip_first_line=True).drop("source_file", "row_order")
 
 
+def junk_lines(rows):
+    """Lines of the rows; every task, so every file, begins with a caption and the header."""
+    line = F.concat_ws(";", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in rows.columns])
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    top = F.array(F.lit("Relatório"), F.lit(";".join(rows.columns)), F.col("line"))
+    spread = rows.repartition(4).select(line.alias("line"), place.alias("place"))
+    return spread.select(F.explode(F.when(F.col("place") == 0, top).otherwise(F.array("line"))).alias("value"))
+
+
+@query("merge_junk_folder", PEOPLE.replace("""Jo"ão""", "João"))
+def _(t):
+    """Union of files whose header is on line 2."""
+    path = scratch_path(t.spark, "junk")
+    junk_lines(people(t)).write.text(path)
+    return readers.merge_folder(t.spark, path, glob="*.txt", skip_first_line=True)
+
+
+@query("keep_alpha_folder", """SELECT CAST(s_name AS VARCHAR) AS "A", CAST(s_nationkey AS VARCHAR) AS "B" FROM supplier""")
+def _(t):
+    source, path = scratch_path(t.spark, "wide"), scratch_path(t.spark, "alpha")
+    t.supplier.select("s_name", "s_acctbal", "s_nationkey").repartition(3).write.options(sep=";", header=True).csv(source)
+    jobs.keep_columns_alpha(t.spark, source, ["s_nationkey", "s_name"], path)
+    return t.spark.read.options(header=True, sep=";").schema("A string, B string, source_file string").csv(path).drop("source_file")
+
+
+@query(
+    "drop_zero_folder",
+    """SELECT s_name, CAST(s_suppkey AS VARCHAR) AS valor FROM supplier WHERE s_suppkey % 3 <> 0""",
+)
+def _(t):
+    """Files without their rows of blank and zero values."""
+    source, path = scratch_path(t.spark, "values"), scratch_path(t.spark, "nonzero")
+    key = F.col("s_suppkey")
+    value = F.when(key % 3 != 0, key.cast("string")).otherwise(F.when(key % 2 == 0, "0").otherwise(" "))
+    t.supplier.select("s_name", value.alias("valor")).repartition(2).write.options(sep=";", header=True).csv(source)
+    jobs.drop_empty_or_zero(t.spark, source, path, "valor")
+    return t.spark.read.options(header=True, sep=";").schema("s_name string, valor string, source_file string").csv(path).drop("source_file")
+
+
 @query("key_list", """SELECT lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS "CNPJ" FROM customer""")
 def _(t):
     path = scratch_path(t.spark, "keys")
@@ -127,13 +162,14 @@ def _(t):
 
 @query(
     "quality_report",
-    "SELECT 'missing columns: fone' AS status, count(*) + 1 AS lines FROM supplier",
+    "SELECT 'missing columns: fone' AS status, count(*) AS rows FROM supplier",
 )
 def _(t):
-    """One file per task is written; the figures are added up per status."""
+    """Lines but the headers of several files, added up per status."""
     path = scratch_path(t.spark, "quality")
-    t.supplier.coalesce(1).select("s_name", "s_acctbal").write.options(sep=";", header=True).csv(path)
-    return readers.quality_report(t.spark, path, ["s_name", "fone"]).groupBy("status").agg(F.sum("lines").alias("lines"))
+    t.supplier.repartition(4).select("s_name", "s_acctbal").write.options(sep=";", header=True).csv(path)
+    report = readers.quality_report(t.spark, path, ["s_name", "fone"])
+    return report.groupBy("status").agg((F.sum("lines") - F.count(F.lit(1))).alias("rows"))
 
 
 @query(

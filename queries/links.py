@@ -5,11 +5,13 @@ from pyspark.sql import functions as F
 from queries.registry import query
 from roster.operators import links
 
-LINKS = """a AS (SELECT page_id, url, unnest(regexp_extract_all(html, {p}, 1)) AS href, unnest(regexp_extract_all(html, {p}, 2)) AS text,
-  unnest(range(len(regexp_extract_all(html, {p}, 1)))) AS position FROM pages),
-links AS (SELECT page_id, url, position::INTEGER AS position, href, trim(regexp_replace(text, '<[^>]*>', '', 'gs')) AS text FROM a)""".format(
-    p="""'(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']([^"'']*)["''][^>]*>(.*?)</a>'"""
-)
+# by string splitting, so independent of the operator's patterns; the pages have anchors of one form only
+LINKS = """p AS (SELECT page_id, url, list_slice(string_split(html, '<a href="'), 2, 100000) AS pieces FROM pages),
+a AS (SELECT page_id, url, unnest(pieces) AS piece, unnest(range(len(pieces)))::INTEGER AS position FROM p),
+b AS (SELECT page_id, url, position, split_part(piece, '"', 1) AS raw, split_part(substr(piece, strpos(piece, '>') + 1), '</a>', 1) AS body FROM a),
+links AS (SELECT page_id, url, position, replace(replace(replace(replace(raw, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS href,
+  CASE WHEN starts_with(href, '/') THEN string_split(url, '/')[1] || '//' || string_split(url, '/')[3] || href ELSE href END AS target,
+  trim(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', '', 'gs'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS text FROM b)"""
 FIRST = "QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY position) = 1"
 
 
@@ -68,7 +70,7 @@ def _(t):
 
 @query(
     "file_names",
-    f"WITH {LINKS} SELECT page_id, position, text FROM links WHERE position < 10 AND (position % 2 = 0 OR regexp_matches(lower(text), '\\.pdf|\\.doc|\\.xls|\\.csv|\\.txt|\\.zip|\\.rar'))",
+    f"WITH {LINKS} SELECT page_id, position, text FROM links WHERE (position % 2 = 0 OR regexp_matches(lower(text), '\\.pdf|\\.doc|\\.xls|\\.csv|\\.txt|\\.zip|\\.rar'))",
 )
 def _(t):
     """Every other link text is given a file ending."""

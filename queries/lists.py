@@ -21,8 +21,8 @@ def finished(t):
     return t.orders.where("o_orderstatus = 'F'").select(person("o_custkey", " ").alias("CPF"))
 
 
-def sided(first, second, names=("kept", "denied")):
-    return first.withColumn("side", F.lit(names[0])).unionByName(second.withColumn("side", F.lit(names[1])))
+def sided(marked, flag="denied", names=("kept", "denied")):
+    return marked.withColumn("side", F.when(F.col(flag), names[1]).otherwise(names[0]))
 
 
 FINISHED = "c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
@@ -31,8 +31,7 @@ SIDES = f"SELECT c_custkey, c_acctbal, CASE WHEN {FINISHED} THEN '{{}}' ELSE '{{
 
 @query("deny_split", SIDES.format("denied", "kept"))
 def _(t):
-    kept, denied = lists.split_by_denylist(customers(t), finished(t), "cpf", "CPF")
-    return sided(kept, denied).select("c_custkey", "c_acctbal", "side")
+    return sided(lists.mark_denied(customers(t), finished(t), "cpf", "CPF")).select("c_custkey", "c_acctbal", "side")
 
 
 @query(
@@ -45,8 +44,7 @@ def _(t):
     """Two rows in three have no id; the deny list has missing ids too, which match them."""
     base = t.orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", person("o_custkey")).alias("cpf"))
     deny = t.customer.select(F.when(F.col("c_mktsegment") == "BUILDING", person("c_custkey")).alias("cpf"))
-    kept, denied = lists.split_by_denylist(base, deny, "cpf", "cpf")
-    return sided(kept, denied).select("o_orderkey", "side")
+    return sided(lists.mark_denied(base, deny, "cpf", "cpf")).select("o_orderkey", "side")
 
 
 @query("deny_marked", f"SELECT c_custkey, {FINISHED} AS listed FROM customer")
@@ -58,16 +56,18 @@ def _(t):
 
 @query("deny_split_folder", SIDES.format("denied", "kept"))
 def _(t):
+    """A folder of two lists: one has ``CPF``, the other ``identifier``."""
     base = t.customer.withColumn("CPF", person("c_custkey"))
-    deny = finished(t).withColumnRenamed("CPF", "identifier")
-    kept, denied = lists.split_by_denylist_folder(base, deny)
-    return sided(kept, denied).select("c_custkey", "c_acctbal", "side")
+    ids = finished(t)
+    odd = F.col("CPF").rlike("[13579] $")
+    deny = [ids.where(odd), ids.where(~odd).select(F.col("CPF").alias("identifier"), F.lit("x").alias("other"))]
+    return sided(lists.mark_denied_folder(base, deny)).select("c_custkey", "c_acctbal", "side")
 
 
 @query("allow_split", SIDES.format("listed", "absent"))
 def _(t):
-    present, absent = lists.split_by_allowlist(customers(t), finished(t), "cpf", "CPF")
-    return sided(present, absent, ("listed", "absent")).select("c_custkey", "c_acctbal", "side")
+    marked = lists.mark_allowed(customers(t), finished(t), "cpf", "CPF")
+    return sided(marked, "allowed", ("absent", "listed")).select("c_custkey", "c_acctbal", "side")
 
 
 @query("remove_cnpj", f"SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' OR NOT {FINISHED}")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from queries.functions import AS_OF, SQL_AGE, br_text, date_text
 from queries.registry import query
 from roster import functions as R
-from roster.operators import lists, reports
+from roster.operators import discover, lists, reports
 
 
 def margins(t):
@@ -21,6 +21,11 @@ def margins(t):
     )
 
 
+@query("preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5")
+def _(t):
+    return discover.preview(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+
+
 @query(
     "recompute_totals",
     """WITH s AS (SELECT l_orderkey, l_linenumber,

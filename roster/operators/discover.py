@@ -154,6 +154,6 @@ def column_preview(df: DataFrame, order_by: Column | str, examples: int = 5) ->
     return ranked.where(F.col("rank") <= examples).drop("_first")
 
 
-def preview(df: DataFrame, rows: int = 5) -> DataFrame:
-    """First rows, for a look."""
-    return df.limit(rows)
+def preview(df: DataFrame, order_by: Sequence[Column | str], rows: int = 5) -> DataFrame:
+    """First rows in an order, for a look; every task hands on its own first rows only."""
+    return df.orderBy(*order_by).limit(rows)

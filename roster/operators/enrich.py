@@ -46,12 +46,14 @@ def enrich_by_cpf(
     data_key: str,
     dedup_by: Sequence[Column | str] | None = None,
     normalise: Normaliser = cpf,
-    null_safe: bool = True,
+    null_safe: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(matched, unmatched) rows of ``base``.
 
     A base row comes out once per data row of its id. ``dedup_by`` first keeps only the first data
-    row per id in that order. A missing id matches a missing id unless ``null_safe`` is off.
+    row per id in that order. A missing id matches nothing. ``null_safe`` makes missing ids match each
+    other, as a join of two spreadsheets does: every base row without an id then comes with every data
+    row without one, so keep it for lists where these are few.
     """
     if dedup_by is not None:
         data = dedup_first(data, data_key, dedup_by, normalise)

@@ -18,7 +18,6 @@ DRIVE_ID_PATTERNS = (
     "/file/d/([a-zA-Z0-9_-]+)", "id=([a-zA-Z0-9_-]+)", "/folders/([a-zA-Z0-9_-]+)",
 )
 FILE_ENDINGS = (".pdf", ".doc", ".xls", ".csv", ".txt", ".zip", ".rar")
-FILES_PER_FOLDER = 10
 UNTITLED = "Página sem título"
 BANKS = (
     "AMIGOZ", "BANCO DO BRASIL", "BANRISUL", "BMG", "BRB", "C6", "DAYCOVAL", "DIGIO", "FACTA",
@@ -26,21 +25,57 @@ BANKS = (
     "PRESENÇA BANK", "QUALIBANK", "QUALICARD", "QUERO+", "SAFRA", "TOTAL CASH", "V8",
 )
 
-_ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>"""
+# attributes may hold a ">" in quotes; possessive loops keep the matcher's stack flat
+_ANCHOR = r"""(?is)<a(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>(.*?)</a>"""
+_HREF = r"""(?is)(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
+_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def unescaped(value: Column) -> Column:
+    """Text with the named entities of HTML's own marks resolved."""
+    for entity, character in _ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(character))
+    return value
+
+
+def resolved(href: Column | str, url: Column | str) -> Column:
+    """The address a link leads to from a page: absolute, host, root or folder relative, or a fragment."""
+    link, base = strip(column(href)), column(url)
+    scheme = F.regexp_extract(base, _SCHEME, 0)
+    origin = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^?#]*", 0)
+    folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(path, r"^.*/", 0))
+    return (
+        F.when(link.rlike(_SCHEME), link)
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link == "", base)
+        .when(link.startswith("#"), F.concat(F.substring_index(base, "#", 1), link))
+        .when(link.startswith("?"), F.concat(path, link))
+        .otherwise(F.concat(folder, F.regexp_replace(link, r"^(?:\./)+", "")))
+    )
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Every anchor of every page: ``page_id, url, position, href, text`` (tags in the text removed)."""
+    """Every anchor with an href: ``page_id, url, position, href, target, text``.
+
+    Values may be in double, single or no quotes. ``href`` is as written, entities resolved; ``target``
+    is the address it leads to; tags in the text are removed.
+    """
     anchors = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("href"),
+        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("attributes"),
         F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("text"),
     )
-    return pages.select("page_id", "url", F.posexplode(anchors).alias("position", "_a")).select(
+    linked = F.filter(anchors, lambda a: a["attributes"].rlike(_HREF))
+    value = F.concat(*[F.regexp_extract("_a.attributes", _HREF, i) for i in (1, 2, 3)])
+    return pages.select("page_id", "url", F.posexplode(linked).alias("position", "_a")).select(
         "page_id",
         "url",
         "position",
-        F.col("_a.href").alias("href"),
-        strip(F.regexp_replace("_a.text", "(?s)<[^>]*>", "")).alias("text"),
+        unescaped(value).alias("href"),
+        resolved(unescaped(value), "url").alias("target"),
+        strip(unescaped(F.regexp_replace("_a.text", "(?s)<[^>]*>", ""))).alias("text"),
     )
 
 
@@ -78,10 +113,10 @@ def is_folder(url: Column | str) -> Column:
     return F.contains(column(url), F.lit(FOLDER_MARK))
 
 
-def file_names(links: DataFrame, per_page: int = FILES_PER_FOLDER) -> DataFrame:
-    """Of the first ``per_page`` elements of each page, those whose text names a file."""
+def file_names(links: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Elements whose text names a file; with ``per_page`` only of the first so many of each page."""
     ending = "|".join(e.replace(".", r"\.") for e in FILE_ENDINGS)
-    first = links.where(F.col("position") < per_page)
+    first = links if per_page is None else links.where(F.col("position") < per_page)
     return first.where(F.lower("text").rlike(ending))
 
 

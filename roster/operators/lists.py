@@ -87,20 +87,23 @@ def drop_listed(
     return _filter_listed(base, keys, members, member_keys, null_safe, "left_anti")
 
 
+def mark_denied(
+    base: DataFrame, deny: DataFrame, key: str, deny_key: str, normalise: Normaliser = cpf, null_safe: bool = True
+) -> DataFrame:
+    """All rows with the flag ``denied``. A missing id matches a missing id unless ``null_safe`` is off."""
+    return mark_listed(base, [normalise(column(key))], deny, [normalise(column(deny_key))], "denied", null_safe)
+
+
+def _sides(marked: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without the flag, rows with it."""
+    return marked.where(~F.col(flag)).drop(flag), marked.where(flag).drop(flag)
+
+
 def split_by_denylist(
-    base: DataFrame,
-    deny: DataFrame,
-    key: str,
-    deny_key: str,
-    normalise: Normaliser = cpf,
-    null_safe: bool = True,
+    base: DataFrame, deny: DataFrame, key: str, deny_key: str, normalise: Normaliser = cpf, null_safe: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(kept, denied) rows of ``base``. A missing id matches a missing id unless ``null_safe`` is off.
-
-    To write both sides in one pass use ``mark_listed`` and partition the output by its flag.
-    """
-    sides = ([normalise(column(key))], deny, [normalise(column(deny_key))], null_safe)
-    return drop_listed(base, *sides), keep_listed(base, *sides)
+    """(kept, denied) rows of ``base``. Jobs that need both take ``mark_denied``: one pass, one join."""
+    return _sides(mark_denied(base, deny, key, deny_key, normalise, null_safe), "denied")
 
 
 def trimmed(c: Column) -> Column:
@@ -112,14 +115,31 @@ def trimmed_or_nan(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("nan"))
 
 
+def folder_keys(tables: Sequence[DataFrame]) -> DataFrame:
+    """Column ``CPF`` of the tables of a deny folder: each table's ``CPF``, or else its ``identifier``.
+
+    Tables with neither are left out; it is an error if none has one.
+    """
+    found = []
+    for table in tables:
+        name = next((c for c in ("CPF", "identifier") if c in table.columns), None)
+        if name is not None:
+            found.append(table.select(column(name).cast("string").alias("CPF")))
+    if not found:
+        raise ValueError("no deny list has a CPF or an identifier column")
+    return reduce(DataFrame.unionAll, found)
+
+
+def mark_denied_folder(data: DataFrame, deny: Sequence[DataFrame], key: str = "CPF") -> DataFrame:
+    """Folder form: column ``CPF`` compared as stripped text with the keys of the deny tables."""
+    return mark_denied(data, folder_keys(deny), key, "CPF", trimmed, null_safe=False)
+
+
 def split_by_denylist_folder(
-    data: DataFrame, deny: DataFrame, key: str = "CPF"
+    data: DataFrame, deny: DataFrame | Sequence[DataFrame], key: str = "CPF"
 ) -> tuple[DataFrame, DataFrame]:
-    """Folder form: column ``CPF`` compared as stripped text with ``CPF`` (or ``identifier``) of the list."""
-    deny_key = next((c for c in ("CPF", "identifier") if c in deny.columns), None)
-    if deny_key is None:
-        raise ValueError("the deny list has neither a CPF nor an identifier column")
-    return split_by_denylist(data, deny, key, deny_key, trimmed, null_safe=False)
+    """(kept, denied) rows, folder form."""
+    return _sides(mark_denied_folder(data, [deny] if isinstance(deny, DataFrame) else deny, key), "denied")
 
 
 def remove_by_cnpj(base: DataFrame, deny: DataFrame, key: str, deny_key: str) -> DataFrame:
@@ -187,17 +207,20 @@ def mask_denied_numbers(
     return marked.withColumn(number, masked).drop("denied")
 
 
+def mark_allowed(
+    data: DataFrame, allow: DataFrame, key: str, allow_key: str, normalise: Normaliser = cpf_strict
+) -> DataFrame:
+    """All rows with the flag ``allowed``; a blank id is never listed."""
+    listed = allow.where(normalise(column(allow_key)) != "")
+    return mark_listed(data, [normalise(column(key))], listed, [normalise(column(allow_key))], "allowed")
+
+
 def split_by_allowlist(
-    data: DataFrame,
-    allow: DataFrame,
-    key: str,
-    allow_key: str,
-    normalise: Normaliser = cpf_strict,
+    data: DataFrame, allow: DataFrame, key: str, allow_key: str, normalise: Normaliser = cpf_strict
 ) -> tuple[DataFrame, DataFrame]:
-    """(listed, not listed) rows of ``data``; a blank id is never listed."""
-    listed = allow.where(normalise(column(allow_key)) != "")
-    sides = ([normalise(column(key))], listed, [normalise(column(allow_key))])
-    return keep_listed(data, *sides), drop_listed(data, *sides)
+    """(listed, not listed) rows of ``data``. Jobs that need both take ``mark_allowed``."""
+    absent, listed = _sides(mark_allowed(data, allow, key, allow_key, normalise), "allowed")
+    return listed, absent
 
 
 def removed_keys(before: DataFrame, after: DataFrame, key: str, normalise: Normaliser = cpf) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roster.functions.ids import bank_code
-from roster.functions.numbers import SUSPICIOUS, parse_decimal, rounded, to_float_capped
+from roster.functions.numbers import SUSPICIOUS, over_limit, parse_decimal, rounded, to_float_capped
 from roster.functions.text import column, strip, text
 from roster.operators.calls import exact
 from roster.operators.discover import find_total_columns
@@ -49,7 +50,7 @@ def date_span(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
-def row_total(parts: Sequence[str], limit: float = SUSPICIOUS) -> Column:
+def row_total(parts: Sequence[str], limit: float | None = SUSPICIOUS) -> Column:
     """Sum of the parts of a row; parts that are unreadable or above ``limit`` count 0."""
     total = F.lit(0.0)
     for name in parts:
@@ -57,22 +58,44 @@ def row_total(parts: Sequence[str], limit: float = SUSPICIOUS) -> Column:
     return total
 
 
+def _present(df: DataFrame, totals: Mapping[str, Sequence[str]] | None) -> dict[str, list[str]]:
+    totals = find_total_columns(df.columns) if totals is None else totals
+    return {t: [p for p in parts if p in df.columns] for t, parts in totals.items() if t in df.columns}
+
+
+def zeroed_amounts(
+    df: DataFrame, totals: Mapping[str, Sequence[str]] | None = None, limit: float | None = SUSPICIOUS
+) -> DataFrame:
+    """Per total column: rows, parts that count 0 for their size, and totals that become 0 for theirs."""
+    rows = []
+    for name, parts in _present(df, totals).items():
+        over = sum((over_limit(p, limit).cast("int") for p in parts), F.lit(0))
+        large = F.lit(False) if limit is None else F.abs(row_total(parts, limit)) > limit
+        rows.append(df.agg(
+            F.lit(name).alias("column"), F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(over), F.lit(0)).alias("zeroed_parts"), F.count_if(large).alias("zeroed_totals"),
+        ))
+    if not rows:
+        raise ValueError("no total column")
+    return reduce(DataFrame.unionAll, rows)
+
+
 def recompute_totals(
-    df: DataFrame, totals: Mapping[str, Sequence[str]] | None = None, limit: float = SUSPICIOUS
+    df: DataFrame, totals: Mapping[str, Sequence[str]] | None = None, limit: float | None = SUSPICIOUS
 ) -> DataFrame:
     """Replace each total column that exists by the sum of its parts, two places.
 
-    A total above ``limit`` counts as a reading error and becomes 0.
+    A part or total above ``limit`` counts as a reading error and becomes 0; ``zeroed_amounts`` says
+    how many do, and ``limit=None`` keeps them all.
     Without ``totals`` the used and balance totals and their parts are found by name.
     """
-    totals = find_total_columns(df.columns) if totals is None else totals
-    present = {t: [p for p in parts if p in df.columns] for t, parts in totals.items() if t in df.columns}
+    present = _present(df, totals)
     if not present:
         return df
     sums = {t: f"_t{i}" for i, t in enumerate(present)}
     summed = df.withColumns({sums[t]: row_total(parts, limit) for t, parts in present.items()})
     shown = {
-        t: F.when(F.abs(F.col(s)) <= limit, rounded(F.col(s), 2)).otherwise(0.0)
+        t: rounded(F.col(s), 2) if limit is None else F.when(F.abs(F.col(s)) <= limit, rounded(F.col(s), 2)).otherwise(0.0)
         for t, s in sums.items()
     }
     return summed.withColumns(shown).drop(*sums.values())

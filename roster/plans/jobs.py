@@ -75,17 +75,36 @@ def remove_denied(
 ) -> None:
     """Kept and denied rows by person id, written as two lists."""
     base, deny = readers.read_lists(spark, path), readers.read_lists(spark, deny_path)
-    _write_two(*lists.split_by_denylist(base, deny, key, deny_key), out, ("whitelist", "blacklist"))
+    writers.write_flagged(lists.mark_denied(base, deny, key, deny_key), "denied", out, ("whitelist", "blacklist"))
 
 
-def remove_denied_folder(spark: SparkSession, path: str, deny_path: str, out: str) -> None:
-    """Kept and denied rows of every file, by the column ``CPF``."""
-    deny = readers.read_lists(spark, deny_path)
-    for prefix, side in (("whitelist_", 0), ("blacklist_", 1)):
-        _per_layout(
-            spark, path, f"{out}/{prefix}", prefix,
-            lambda t, side=side: lists.split_by_denylist_folder(t, deny)[side],
+def _flag_per_file(
+    spark: SparkSession, path: str, needed: str, out: str, flag: str, prefixes: tuple[str, str], step: Step
+) -> DataFrame:
+    """Flag the rows of every file and write both sides; files without the column are only reported.
+
+    Returns, per file, what the reader says of it and the rows of both sides.
+    """
+    report = readers.quality_report(spark, path, [needed])
+    figures, mode = [], "errorifexists"
+    for table in readers.read_sources(spark, path):
+        if needed not in table.columns:
+            continue
+        marked = step(table)
+        writers.write_flagged_per_source(marked, flag, out, prefixes, mode=mode)
+        figures.append(
+            marked.groupBy(SOURCE).agg(F.count_if(~F.col(flag)).alias("rows_out"), F.count_if(flag).alias("rows_flagged"))
         )
+        mode = "append"
+    return report.join(reduce(DataFrame.unionByName, figures), SOURCE, "left") if figures else report
+
+
+def remove_denied_folder(spark: SparkSession, path: str, deny_path: str, out: str) -> DataFrame:
+    """Kept and denied rows of every file, by the column ``CPF``; figures per file."""
+    deny = readers.read_sources(spark, deny_path)
+    return _flag_per_file(
+        spark, path, "CPF", out, "denied", ("whitelist_", "blacklist_"), lambda t: lists.mark_denied_folder(t, deny)
+    )
 
 
 def remove_denied_phones(
@@ -136,14 +155,12 @@ def split_in_parts(spark: SparkSession, path: str, rows_per_part: int, out: str)
 
 def split_by_allowlist(
     spark: SparkSession, path: str, allow_path: str, key: str, allow_key: str, out: str
-) -> None:
-    """Listed and absent rows of every file; a single file is a folder of one."""
+) -> DataFrame:
+    """Listed and absent rows of every file, with figures; a single file is a folder of one."""
     allow = readers.read_lists(spark, allow_path)
-    for prefix, side in (("allow_", 0), ("deny_", 1)):
-        _per_layout(
-            spark, path, f"{out}/{prefix}", prefix,
-            lambda t, side=side: lists.split_by_allowlist(t, allow, key, allow_key)[side],
-        )
+    return _flag_per_file(
+        spark, path, key, out, "allowed", ("deny_", "allow_"), lambda t: lists.mark_allowed(t, allow, key, allow_key)
+    )
 
 
 def split_by_value(spark: SparkSession, path: str, name: str, out: str) -> DataFrame:
@@ -343,7 +360,7 @@ def id_text_to_list(spark: SparkSession, path: str, out: str, name: str = "CNPJ"
 
 
 def extract_ids(
-    spark: SparkSession, path: str, key: str, out: str, ids_per_file: int = writers.IDS_PER_FILE
+    spark: SparkSession, path: str, key: str, out: str, ids_per_file: int | None = None
 ) -> None:
     """Distinct valid company ids as comma-joined text files."""
     ids = dedupe.distinct_ids(readers.read_lists(spark, path), key, ORDER)

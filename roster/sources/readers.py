@@ -17,14 +17,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from roster.functions.text import column, windows_1252
+from roster.functions.text import column, strip, windows_1252
 from roster.operators.merge import merge_sources
 
 SOURCE = "source_file"
 ORDER = "row_order"  # struct (path, block, sequence): sorts rows as they stand in the files
 SEPARATORS = (";", ",", "\t")  # fixed value: candidates, earlier wins a tie
 UTF8, SINGLE_BYTE = "UTF-8", "windows-1252"
-MANY_FILES = 100_000  # above this a per-file table is joined without a broadcast hint
 
 
 @dataclass(frozen=True)
@@ -61,6 +60,11 @@ def _header(line: str, sep: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+def _literal(path: str) -> str:
+    """A path for a reader, which takes some characters as patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def _plain_path(uri: str) -> str:
     """A path Spark reports, in the one form it can be read by again."""
     return unquote(re.sub("^file:/+", "file:/", uri))
@@ -123,7 +127,7 @@ def _scan(
         sep=sep, encoding="ISO-8859-1" if encoding == SINGLE_BYTE else encoding, header=header,
         quote='"', escape='"', mode="PERMISSIVE", multiLine=multi_line,
     )
-    return reader.schema(schema).csv(list(paths))
+    return reader.schema(schema).csv([_literal(p) for p in paths])
 
 
 def _with_place(scan: DataFrame, encoding: str) -> DataFrame:
@@ -136,7 +140,8 @@ def _with_place(scan: DataFrame, encoding: str) -> DataFrame:
     ]
     return scan.select(
         *values,
-        F.col("_metadata.file_name").alias(SOURCE),
+        # names come percent-encoded; a plus stands for itself
+        F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias(SOURCE),
         F.struct(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -145,15 +150,13 @@ def _with_place(scan: DataFrame, encoding: str) -> DataFrame:
     )
 
 
-def _drop_second_line(rows: DataFrame, files: int) -> DataFrame:
+def _drop_second_line(rows: DataFrame) -> DataFrame:
     """Drop the first row of every file (the header, when line 1 was junk the reader skipped)."""
     firsts = (
         rows.where(f"{ORDER}.block = 0")
         .groupBy(F.col(f"{ORDER}.path").alias("_path"))
         .agg(F.min(f"{ORDER}.seq").alias("_seq"))
     )
-    if files <= MANY_FILES:
-        firsts = F.broadcast(firsts)
     mine = (F.col(f"{ORDER}.path") == F.col("_path")) & (F.col(f"{ORDER}.seq") == F.col("_seq"))
     return rows.join(firsts, mine & (F.col(f"{ORDER}.block") == 0), "left_anti")
 
@@ -165,12 +168,13 @@ def read_sources(
     sep: str | None = None,
     encoding: str | None = None,
     skip_first_line: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> list[DataFrame]:
     """One table per header found in the folder, in file-name order, with file name and row order.
 
     Files that differ only in separator or encoding share a table. Empty files are left out; see
-    ``quality_report``.
+    ``quality_report``. Quoted values may hold line breaks; ``multi_line=False`` is for files known
+    to have none, and lets Spark split large files.
     """
     probes = probe_files(spark, path, glob, sep, encoding, int(skip_first_line))
     groups: dict[tuple[str, ...], dict[tuple[str, str], list[str]]] = {}
@@ -183,7 +187,7 @@ def read_sources(
         for (use, code), files in readings.items():
             rows = _with_place(_scan(spark, files, names, use, code, True, multi_line), code)
             if skip_first_line:
-                rows = _drop_second_line(rows, len(files))
+                rows = _drop_second_line(rows)
             table = rows if table is None else table.unionByName(rows)
         tables.append(table)
     return tables
@@ -196,7 +200,7 @@ def read_lists(
     sep: str | None = None,
     encoding: str | None = None,
     skip_first_line: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = True,
     with_order: bool = True,
 ) -> DataFrame:
     """All files of a folder (or one file) as one table of text columns.
@@ -239,8 +243,8 @@ def read_id_text(spark: SparkSession, path: str, name: str = "CNPJ") -> DataFram
     """Text lines of comma-separated ids, one row per id."""
     return (
         spark.read.text(path)
-        .select(F.explode(F.split(F.trim("value"), ",")).alias(name))
-        .select(F.trim(name).alias(name))
+        .select(F.explode(F.split("value", ",")).alias(name))
+        .select(strip(name).alias(name))
         .where(F.col(name) != "")
     )
 

@@ -13,7 +13,6 @@ from roster.operators.shape import clean_id_columns
 from roster.sources.readers import ORDER, SOURCE, read_sources
 
 BOM = "\ufeff"
-IDS_PER_FILE = 500_000  # fixed value: largest offered size of an id text file
 
 
 def _flat(df: DataFrame, clean: bool, keep: Sequence[str] = ()) -> DataFrame:
@@ -67,10 +66,22 @@ def write_by_value(
 
 
 def write_flagged(
-    df: DataFrame, flag: str, path: str, clean: bool = True, mode: str = "errorifexists"
+    df: DataFrame, flag: str, path: str, names: Sequence[str], clean: bool = True, mode: str = "errorifexists"
 ) -> None:
-    """Both sides of a flagged table in one pass: ``<flag>=true`` and ``<flag>=false``."""
-    _csv(_flat(df, clean), path, mode, flag)
+    """Both sides of a flagged table in one pass: ``side=<name>``, first the side without the flag."""
+    side = F.when(column(flag), names[1]).otherwise(names[0])
+    _csv(_flat(df.withColumn("side", side).drop(flag), clean), path, mode, "side")
+
+
+def write_flagged_per_source(
+    df: DataFrame, flag: str, path: str, prefixes: Sequence[str], clean: bool = True, mode: str = "errorifexists"
+) -> None:
+    """Both sides of every input file in one pass: ``side=<prefix>/source_file=<prefix><stem>``."""
+    side = F.when(column(flag), prefixes[1]).otherwise(prefixes[0])
+    stem = F.regexp_replace(column(SOURCE), r"\.[^.]*$", "")
+    rows = _flat(df.withColumn("side", side).drop(flag), clean, keep=[SOURCE])
+    rows = rows.withColumn(SOURCE, F.concat("side", stem))
+    _csv(rows.hint("rebalance", "side", SOURCE), path, mode, "side", SOURCE)
 
 
 def write_parts(
@@ -87,7 +98,7 @@ def write_parts(
 
 
 def id_lines(
-    ids: DataFrame, name: str, order_by: Sequence[Column | str], ids_per_file: int = IDS_PER_FILE
+    ids: DataFrame, name: str, order_by: Sequence[Column | str], ids_per_file: int
 ) -> DataFrame:
     """Ids joined by commas, ``ids_per_file`` per line and part, in order."""
     parts = split_in_parts(ids, ids_per_file, order_by, "_part")
@@ -101,10 +112,17 @@ def write_id_text(
     name: str,
     order_by: Sequence[Column | str],
     path: str,
-    ids_per_file: int = IDS_PER_FILE,
+    ids_per_file: int | None = None,
     mode: str = "errorifexists",
 ) -> None:
-    """Text files of comma-joined ids, one folder ``part=NNN`` per ``ids_per_file`` ids."""
+    """Text files of comma-joined ids, one folder ``part=NNN`` per ``ids_per_file`` ids.
+
+    Without a size all ids are one comma-joined stream, in order over the part files.
+    """
+    if ids_per_file is None:
+        rows = ids.repartitionByRange(*[column(o) for o in order_by]).sortWithinPartitions(*order_by)
+        rows.select(column(name).cast("string")).write.mode(mode).option("lineSep", ",").text(path)
+        return
     lines = id_lines(ids, name, order_by, ids_per_file)
     lines.withColumn("part", F.format_string("%03d", "part")).write.mode(mode).partitionBy("part").text(path)
 

@@ -79,10 +79,12 @@ def test_enrich_fans_out_and_renames(spark):
     data = spark.createDataFrame([("01", "x", 1), ("1", "y", 2), (None, "z", 3)], "id string, v string, w int")
     matched, unmatched = enrich.enrich_by_cpf(base, data, "cpf", "id")
     assert matched.columns == ["cpf", "v_x", "v_y", "w"]
-    assert rows(matched, "v_x", "v_y") == [("a", "x"), ("a", "y"), ("c", "z")]
-    assert rows(unmatched, "v") == [("b",)]
+    assert rows(matched, "v_x", "v_y") == [("a", "x"), ("a", "y")]
+    assert rows(unmatched, "v") == [("b",), ("c",)]
+    both, _ = enrich.enrich_by_cpf(base, data, "cpf", "id", null_safe=True)
+    assert rows(both, "v_x", "v_y") == [("a", "x"), ("a", "y"), ("c", "z")]
     once, _ = enrich.enrich_by_cpf(base, data, "cpf", "id", dedup_by=["w"])
-    assert rows(once, "v_y") == [("x",), ("z",)]
+    assert rows(once, "v_y") == [("x",)]
 
 
 def test_fill_by_company_name(spark):
@@ -179,10 +181,11 @@ def test_finders(spark):
     assert discover.find_birth_column(["IDADE", " Nasc "]) == " Nasc "
 
 
-def test_file_names_after_the_first_ten(spark):
+def test_file_names_of_all_or_the_first_ten(spark):
     data = [(1, "u", n, "h", f"f{n}.PDF" if n % 2 else "page") for n in range(30)]
-    found = links.file_names(spark.createDataFrame(data, "page_id int, url string, position int, href string, text string"))
-    assert sorted(r.position for r in found.collect()) == [1, 3, 5, 7, 9]
+    anchors = spark.createDataFrame(data, "page_id int, url string, position int, href string, text string")
+    assert sorted(r.position for r in links.file_names(anchors).collect()) == list(range(1, 30, 2))
+    assert sorted(r.position for r in links.file_names(anchors, per_page=10).collect()) == [1, 3, 5, 7, 9]
 
 
 def test_plans_push_filters_and_prune_columns(spark, tmp_path):
@@ -247,3 +250,47 @@ def test_no_cross_join_and_no_python_in_the_list_operators(spark):
     for frame in frames:
         text = plan(frame)
         assert "Cartesian" not in text and "NestedLoop" not in text and "Python" not in text
+
+
+def test_deny_folder_with_mixed_key_columns(spark):
+    base = spark.createDataFrame([("111",), ("222",), ("333",), (None,)], "CPF string")
+    deny = [
+        spark.createDataFrame([(" 111", "333")], "CPF string, identifier string"),
+        spark.createDataFrame([("222",)], "identifier string"),
+        spark.createDataFrame([("333",)], "other string"),
+    ]
+    kept, denied = lists.split_by_denylist_folder(base, deny)
+    assert rows(denied, "CPF") == [("111",), ("222",)]
+    assert kept.count() == 2
+
+
+def test_both_sides_take_one_join_and_two_scans(spark, tmp_path):
+    spark.range(100).selectExpr("string(id) AS cpf", "id AS v").write.parquet(str(tmp_path / "base"))
+    spark.range(10).selectExpr("string(id) AS CPF").write.parquet(str(tmp_path / "deny"))
+    base, deny = spark.read.parquet(str(tmp_path / "base")), spark.read.parquet(str(tmp_path / "deny"))
+    for marked in (lists.mark_denied(base, deny, "cpf", "CPF"), lists.mark_allowed(base, deny, "cpf", "CPF")):
+        plan = marked._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and plan.count("Join") == 1
+
+
+def test_anchor_forms(spark):
+    html = """<a class=x href=plain.html>one</a> <A title="a > b" HREF='two.html?x=1&amp;y=2'>t<b>w</b>o</A>
+    <a data-href="no">none</a> <abbr href="no">no</abbr> <a href="//host/x">3</a> <a href="/root">4</a><a
+    href="#part">5</a> <a href = "http://else/where">6</a> <a href="">7</a>"""
+    df = spark.createDataFrame([(1, "https://site.org/dir/page.html?q#f", html)], "page_id int, url string, html string")
+    got = [(r.position, r.href, r.target, r.text) for r in links.extract_links(df).orderBy("position").collect()]
+    assert got == [
+        (0, "plain.html", "https://site.org/dir/plain.html", "one"),
+        (1, "two.html?x=1&y=2", "https://site.org/dir/two.html?x=1&y=2", "two"),
+        (2, "//host/x", "https://host/x", "3"),
+        (3, "/root", "https://site.org/root", "4"),
+        (4, "#part", "https://site.org/dir/page.html?q#part", "5"),
+        (5, "http://else/where", "http://else/where", "6"),
+        (6, "", "https://site.org/dir/page.html?q#f", "7"),
+    ]
+
+
+def test_zeroed_amounts_are_counted(spark):
+    df = spark.createDataFrame([("1", "200000", "x"), ("90000", "90000", "x")], "a string, b string, t string")
+    assert rows(reports.zeroed_amounts(df, {"t": ["a", "b"]}), "rows", "zeroed_parts", "zeroed_totals") == [(2, 1, 1)]
+    assert rows(reports.recompute_totals(df, {"t": ["a", "b"]}, limit=None), "t") == [(180000.0,), (200001.0,)]

@@ -48,7 +48,7 @@ def test_row_order_over_many_blocks(spark, tmp_path):
     (tmp_path / "big.csv").write_text(f"n;v\n{lines}\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        table = readers.read_lists(spark, str(tmp_path))
+        table = readers.read_lists(spark, str(tmp_path), multi_line=False)
         assert table.rdd.getNumPartitions() > 5
         assert [int(r.n) for r in table.orderBy(readers.ORDER).collect()] == list(range(20_000))
     finally:
@@ -89,7 +89,7 @@ def test_jobs(spark, folder, tmp_path):
     stats = jobs.remove_duplicates(spark, str(folder), "cpf", str(tmp_path / "o1")).first()
     assert (stats.rows, stats.unique_keys, stats.removed) == (5, 4, 0)
     jobs.remove_denied(spark, str(folder), str(deny), "cpf", "CPF", str(tmp_path / "o2"))
-    assert {r.cpf for r in read(spark, tmp_path / "o2/blacklist").collect()} == {"012", "9"}
+    assert {r.cpf for r in read(spark, tmp_path / "o2/side=blacklist").collect()} == {"012", "9"}
     figures = jobs.remove_denied_numbers_per_file(spark, str(folder / "a.csv"), str(deny), "numero", str(tmp_path / "o3"), "fone")
     assert [(r.rows_in, r.rows_removed, r.numbers_removed) for r in figures.collect()] == [(2, 1, 1)]
     jobs.split_in_parts(spark, str(folder), 2, str(tmp_path / "o4"))
@@ -133,3 +133,23 @@ def test_bank_job(spark, tmp_path):
     jobs.bank_names_layered(spark, str(tmp_path / "base"), str(tmp_path / "register"), str(tmp_path / "table"), str(tmp_path / "out"))
     got = sorted((r.cpf, r.nome_banco, r.ispb, r.fonte_informacao) for r in read(spark, tmp_path / "out").collect())
     assert got == [("1", "Novo", None, "CSV_LOCAL"), ("2", "BB", "00000000", "BRASIL_API"), ("3", None, None, None)]
+
+
+def test_odd_file_names_and_line_breaks(spark, tmp_path):
+    """Names with pattern characters and percent signs, quoted line breaks, ids with other white space."""
+    for name, value in (("a[1].csv", "x"), ("a1.csv", "y"), ("50%.csv", "z"), ("p+q {1}.csv", "w")):
+        (tmp_path / name).write_text(f'k;v\n1;"{value}\nnext ""line"""\n', encoding="utf-8")
+    found = {(r.source_file, r.k, r.v) for r in readers.read_lists(spark, str(tmp_path)).collect()}
+    assert found == {
+        ("a[1].csv", "1", 'x\nnext "line"'), ("a1.csv", "1", 'y\nnext "line"'),
+        ("50%.csv", "1", 'z\nnext "line"'), ("p+q {1}.csv", "1", 'w\nnext "line"'),
+    }
+    (tmp_path / "ids.txt").write_text("1,\t2, 3 ,,\n", encoding="utf-8")
+    assert {r.CNPJ for r in readers.read_id_text(spark, str(tmp_path / "ids.txt")).collect()} == {"1", "2", "3"}
+
+
+def test_id_text_in_one_stream(spark, tmp_path):
+    ids = spark.range(1000).selectExpr("lpad(string(id), 5, '0') AS id", "id AS n")
+    writers.write_id_text(ids, "id", ["n"], str(tmp_path / "all"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "all").glob("part-*")))
+    assert text == "".join(f"{i:05d}," for i in range(1000))
