@@ -21,9 +21,7 @@ from roster.session import cut_lineage
 cloudpickle.register_pickle_by_value(pairing)  # workers need not have the package installed
 
 TOLERANCE_SECONDS = 90  # fixed value: default match window
-RUN_ROWS = 100_000  # rows per task, as long as that gives no more tasks than usual
-MAX_RUN_ROWS = 2_000_000  # rows per task beyond that; bounds the memory of a task
-SAMPLE_ROWS = 1_000_000  # rows looked at for instants with very many rows
+RUN_ROWS = 1_000_000  # rows per task at most; bounds the memory of a task
 
 
 def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> DataFrame:
@@ -35,16 +33,13 @@ def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> D
     ).where((F.col("phone") != "") & F.col("ts").isNotNull())
 
 
-def _busy_instants(points: DataFrame, rows: int, busy_rows: int) -> DataFrame:
-    """(phone, ts) with more than about ``busy_rows`` rows, found in a sample.
+def _busy_instants(points: DataFrame, busy_rows: int) -> DataFrame:
+    """(phone, ts) with more than ``busy_rows`` rows, counted exactly.
 
-    The sample only says which instants get the treatment below; no row is left out by it. At most
-    one instant per two sampled rows comes out, which bounds the table for a broadcast.
+    There is at most one for so many rows, which bounds the table for a broadcast.
     """
-    share = min(1.0, SAMPLE_ROWS / rows)
-    seen = points.sample(share, 17) if share < 1 else points
-    often = seen.groupBy("phone", "ts").agg(F.count(F.lit(1)).alias("_seen"))
-    return cut_lineage(often.where(F.col("_seen") > max(1.0, busy_rows * share * 0.8)).select("phone", "ts"))
+    often = points.groupBy("phone", "ts").agg(F.count(F.lit(1)).alias("_seen"))
+    return cut_lineage(often.where(F.col("_seen") > busy_rows).select("phone", "ts"))
 
 
 def _pair_busy_instants(
@@ -88,13 +83,8 @@ def _pair_busy_instants(
     return pairs, calm.unionByName(rest.select(*columns))
 
 
-def _tasks(rows: int, run_rows: int, usual: int) -> int:
-    """Tasks for ``rows`` points: ``run_rows`` each, more per task once that exceeds the usual number."""
-    return max(min(-(-rows // run_rows), usual), -(-rows // max(run_rows, MAX_RUN_ROWS)), 1)
-
-
 def match_points(
-    points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS, busy_rows: int = MAX_RUN_ROWS
+    points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS, busy_rows: int = RUN_ROWS
 ) -> DataFrame:
     """Closest-first 1:1 pairs of points (phone, ts in microseconds, side, row).
 
@@ -103,10 +93,11 @@ def match_points(
     no list of all pairs: it walks its sorted rows and makes every pair that rows of neighbouring
     partitions cannot take away. Rows that depend on a neighbour partition are kept for the next
     round, where the few that are left are cut differently, until all fit into one task of
-    ``run_rows`` rows. Each round settles at least the first run of a phone; runs get longer when
-    rounds settle little. The points and each round are checkpointed, since range bounds come from
-    a sample and must not be drawn twice. Rows of one phone and instant stay together, so instants
-    with more than about ``busy_rows`` of them are settled by rank beforehand. The result
+    ``run_rows`` rows; should a round settle nothing, runs reach twice as far in the next. The first
+    round has the session's shuffle partitions, or as many tasks as ``run_rows`` asks for. The points and each
+    round are checkpointed, since range bounds come from a sample and must not be drawn twice. Rows of one
+    phone and instant stay together, so instants with more than ``busy_rows`` of them, which would fill
+    a task by themselves, are settled by rank beforehand. The result
     is the one of a single closest-first pass over all pairs ordered by (distance, voip row,
     dialler row).
     """
@@ -114,15 +105,14 @@ def match_points(
     schema = ", ".join(f"{name} {kind}" for name, kind in OUTPUT.items())
     made, left = [], cut_lineage(points)
     rows = left.count()
-    if rows > busy_rows:
-        busy = _busy_instants(left, rows, busy_rows)
-        if not busy.isEmpty():
-            pairs, left = _pair_busy_instants(left, busy, tolerance)
-            made.append(pairs)
-            left = cut_lineage(left)
-            rows = left.count()
+    busy = _busy_instants(left, busy_rows)
+    if not busy.isEmpty():
+        pairs, left = _pair_busy_instants(left, busy, tolerance)
+        made.append(pairs)
+        left = cut_lineage(left)
+        rows = left.count()
+    tasks = max(usual, -(-rows // run_rows))
     while True:
-        tasks = _tasks(rows, run_rows, usual)
         runs = left.repartitionByRange(tasks, "phone", "ts")
         runs = runs.sortWithinPartitions("phone", "ts", "side", "row")
         solve = partial(pair_partition, tolerance=tolerance, whole=tasks == 1)
@@ -135,10 +125,8 @@ def match_points(
         if still == 0:
             break
         if still == rows:
-            run_rows *= 2  # nothing settled: every run must reach further
-        elif still > rows // 2:  # long dependency chains: longer runs settle more per round
-            run_rows = max(run_rows, min(run_rows * 2, MAX_RUN_ROWS))
-        rows = still
+            run_rows *= 2
+        rows, tasks = still, -(-still // run_rows)
     return reduce(DataFrame.unionByName, made)
 
 
