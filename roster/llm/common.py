@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roster.session import scratch_path
 
-FILES_PER_CORE = 4
+FILES_PER_CORE = 2
 LABEL_ROWS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 

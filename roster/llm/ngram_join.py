@@ -216,7 +216,7 @@ def in_blocks(rows: DataFrame, group: str, size: str, key: str, block: int) -> D
     )
 
 
-def whole_tasks(batches: Iterator[pa.RecordBatch], limit: int = 16 << 20) -> Iterator[pa.Table]:
+def whole_tasks(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.Table]:
     """Tables of whole tasks from rows sorted by ``_task``; each holds little more than one task or ``limit`` bytes."""
     held: list[pa.RecordBatch] = []
     count = 0

@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 
 BLANKS = b"\x09\x0a\x0b\x0c\x0d\x20"
 PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
