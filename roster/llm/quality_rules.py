@@ -22,7 +22,7 @@ from roster.llm.common import join_labels, let, without
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 UNIT = 1000
-THRESHOLD = -0.15
+THRESHOLD = -0.08
 MIN_WORDS, MAX_REPEATED = 50, 50
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
