@@ -55,8 +55,3 @@ def split_in_parts(
     numbered = number_rows(df, order_by, "_row_number")
     part = F.floor((F.col("_row_number") - 1) / rows_per_part).cast("bigint") + 1
     return numbered.withColumn(name, part).drop("_row_number")
-
-
-def part_name(rows_per_part: int, part: int, stem: str) -> str:
-    """File name of a part, such as ``50k_3_list.csv``."""
-    return f"{rows_per_part // 1000}k_{part}_{stem}.csv"

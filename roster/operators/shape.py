@@ -189,11 +189,3 @@ def fix_bank_texts(df: DataFrame, names: Sequence[str] = BANK_TEXT_COLUMNS) -> D
     """Repair wrongly decoded text in the bank columns that exist."""
     present = [c for c in names if c in text_columns(df)]
     return df.withColumns({c: fix_mojibake(c) for c in present}) if present else df
-
-
-def format_cpf_column(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, cpf(name))
-
-
-def format_phone_column(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, phone(name))

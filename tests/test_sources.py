@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from roster import functions as R
 from roster.plans import jobs
