@@ -29,7 +29,7 @@ from roster.llm.words import Words, chunks, first_of_run, mix, seeded
 
 GRAM, SIMILARITY = 5, 0.8
 TOKENS = 64
-#: Sets are neighbours if this share of their tokens agrees; at a similarity of 0.8 fewer do with a chance of 2e-6.
+#: Sets are neighbours if this share of their tokens agrees; at a similarity of 0.8 fewer do with a chance of 4e-6.
 AGREE = 0.56
 LEAF, DEPTH, RECALL = 200, 3, 0.9999
 BLOCK = 256

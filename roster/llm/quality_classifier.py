@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roster.llm.common import id_text, join_labels, stored, without
-from roster.llm.words import Words, chunks, first_of_run, mix
+from roster.llm.words import Words, chunks, first_of_run
 
 FEATURES = (
     "words", "word_length", "upper", "symbols", "shouts", "marks", "digits", "lines", "different_words",

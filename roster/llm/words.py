@@ -126,11 +126,6 @@ class Words(Texts):
             h = (sums[n:] - sums[:-n]) * powers(_BACK, count - n + 1)
         return at, mix(h[at])
 
-    def strings(self) -> list[str]:
-        """The words themselves."""
-        data = self.data.tobytes()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(self.start.tolist(), self.end.tolist())]
-
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text; a longer text is a slice of its own."""
