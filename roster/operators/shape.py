@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from roster.functions.ids import cpf, phone
 from roster.functions.numbers import (
     decimal_comma, excel_text, money2_amount, money2_text, parse_br_number,
 )
