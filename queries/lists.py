@@ -1,5 +1,8 @@
 """Deny lists, allow lists and enrichment by id or name."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries.functions import joined
@@ -234,4 +237,5 @@ def _(t):
 )
 def _(t):
     one, several, none = enrich.split_by_match_count(names_to_fill(t), t.part, "company", "p_name", "p_type", "p_partkey")
-    return sided(one, several, ("one", "several")).unionByName(none.withColumn("side", F.lit("none"))).select("p_partkey", "CNPJ", "side")
+    sides = [rows.withColumn("side", F.lit(side)) for rows, side in ((one, "one"), (several, "several"), (none, "none"))]
+    return reduce(DataFrame.unionByName, sides).select("p_partkey", "CNPJ", "side")
