@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again."""
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES[:-1]):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{number}")
+        docs = stored(stage(spark, docs, sf_dir), f"stage{number}", wide=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -33,15 +33,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lost executors then cost a read, not a recomputation, and Spark knows the table's size, so it
-    broadcasts it in joins when, and only when, it is small. There are at most ``FILES_PER_CORE``
-    files a core, so small tables of many partitions don't become thousands of files.
+    broadcasts it in joins when, and only when, it is small. ``wide`` tables come straight from reading
+    the input and keep its partitions. Others have at most ``FILES_PER_CORE`` files a core, so that
+    small tables of many partitions don't become thousands of files.
     """
     path = scratch_path(df.sparkSession, name)
-    df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    if not wide:
+        df = df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

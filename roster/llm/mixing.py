@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: int = CEILIN
     with the same id share their hash, so repeated rows are taken together. Where nothing has words,
     targets are 0 and nothing is taken. Input columns with the names of these outputs are replaced.
     """
-    sized = stored(docs.select("source", id_hash().alias("_hash"), word_count().alias("_size")), "sizes")
+    sized = stored(docs.select("source", id_hash().alias("_hash"), word_count().alias("_size")), "sizes", wide=True)
     plan = stored(targets(sized.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, ceiling).coalesce(1), "targets")
     idle = plan.filter("source_size = 0").select(
         F.col("source").alias("_of"), "source_size", "target",

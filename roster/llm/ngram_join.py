@@ -376,7 +376,7 @@ def _sets(chosen: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, key, check) of every document, and (key, check, rep, root, links) of every class."""
     texts = docs.select("doc_id", "text")
-    signed = stored(_signed(texts), "signed")
+    signed = stored(_signed(texts), "signed", wide=True)
     classes = stored(
         signed.groupBy("key", "check").agg(
             F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens")

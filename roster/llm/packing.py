@@ -269,7 +269,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, shard_
     Repeated rows are packed as often as they come; null ids and texts are packed too. Further
     columns are ignored. At most one or two sequences per shard stay underfull.
     """
-    cut = stored(pieces(docs, tokenizer, size), "pieces")
+    cut = stored(pieces(docs, tokenizer, size), "pieces", wide=True)
     shards = cut.agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_pieces))).first()[0] or 1
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:

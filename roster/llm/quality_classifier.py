@@ -237,7 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     score 1/2. Extra columns are ignored.
     """
     known = labels.filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    found = stored(vectors(docs), "statistics")
+    found = stored(vectors(docs), "statistics", wide=True)
     model = fit(found.join(known, "doc_id"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

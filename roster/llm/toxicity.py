@@ -196,7 +196,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found)], ["doc_id", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = stored(docs.select("doc_id", "text").mapInArrow(weigh, f"doc_id {kind}, evidence double"), "evidence")
+    scored = stored(docs.select("doc_id", "text").mapInArrow(weigh, f"doc_id {kind}, evidence double"), "evidence", wide=True)
     bar = F.greatest(F.least(F.round(F.col("evidence") / BAR), F.lit(BARS // 2)), F.lit(-BARS // 2)).cast("int")
     bars = (
         scored.join(known.filter(F.col("_fold") == CALIBRATION), "doc_id").groupBy(bar.alias("bar"), "label").count().toPandas()

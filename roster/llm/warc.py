@@ -200,7 +200,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     reachable from a file's start is not a record. A record cut short by the file's end counts with
     the bytes that are there. Files without records give no rows.
     """
-    found = stored(_candidates(spark, path), "candidates")
+    found = stored(_candidates(spark, path), "candidates", wide=True)
     by_block = Window.partitionBy("file").orderBy("block")
     blocks = found.groupBy("file", "block").agg(F.sum("size").alias("_sum")).select(
         "file", "block", (F.sum("_sum").over(by_block) - F.col("_sum") - len(MAGIC)).alias("_begin")
