@@ -24,7 +24,7 @@ from roster.llm.words import Words, chunks
 
 SEQUENCE = 2048
 SHARD_PIECES = 20_000
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 800_000
 ROUNDS = 4
 
 _state: dict = {}
