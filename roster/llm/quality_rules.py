@@ -25,7 +25,7 @@ UNIT = 1000
 THRESHOLD = -0.08
 MIN_WORDS, MAX_REPEATED = 50, 50
 _BLANKS = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
+_SYMBOL = r"[#*$%&|<>]"
 
 
 def _text() -> Column:
@@ -33,7 +33,8 @@ def _text() -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    inside = F.btrim(text, F.lit(_BLANKS))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, r"[\x20\x09-\x0D]+", -1))
 
 
 def _pairs(hashes: Column) -> Column:
@@ -42,8 +43,8 @@ def _pairs(hashes: Column) -> Column:
                       F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
-def buckets(hashes: Column, pairs: Column) -> Column:
-    return F.transform(F.concat(hashes, pairs), lambda h: F.shiftrightunsigned(h, 64 - BUCKET_BITS).cast("int"))
+def bucket(hash_: Column) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - BUCKET_BITS).cast("int")
 
 
 def repeated_words(hashes: Column, pairs: Column) -> Column:
@@ -63,22 +64,30 @@ def repeated_words(hashes: Column, pairs: Column) -> Column:
         again = F.filter(rows, lambda r: (r["own"]["h"] == r["before"]["h"]) | (r["own"]["h"] == r["after"]["h"]))
         return F.sort_array(F.transform(again, lambda r: r["own"]["i"]))
 
-    placed = F.sort_array(F.transform(triples, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def placed(found: Column) -> Column:
+        return F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
     start = F.struct(F.lit(0).cast("long").alias("covered"), F.lit(-3).alias("last"))
-    return F.aggregate(
-        let(placed, places), start,
-        lambda total, i: F.struct(
-            (total["covered"] + F.least(F.lit(3), i - total["last"])).alias("covered"), i.alias("last")
-        ),
-        lambda total: total["covered"],
-    )
+
+    def covered(found: Column) -> Column:
+        return F.aggregate(
+            let(placed(found), places), start,
+            lambda total, i: F.struct(
+                (total["covered"] + F.least(F.lit(3), i - total["last"])).alias("covered"), i.alias("last")
+            ),
+            lambda total: total["covered"],
+        )
+
+    # most texts repeat no window and need no sorting
+    none = F.lit(0).cast("long")
+    return let(triples, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), none).otherwise(covered(t)))
 
 
 def _features(docs: DataFrame) -> DataFrame:
     """Hashes of words and pairs, each made once per text."""
-    return docs.withColumn("_hashes", F.transform(words(_text()), lambda w: F.xxhash64(w))).withColumn(
-        "_pairs", _pairs(F.col("_hashes"))
-    )
+    worded = docs.withColumn("_words", words(_text()))
+    hashed = worded.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    return hashed.withColumn("_pairs", _pairs(F.col("_hashes")))
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
@@ -86,11 +95,11 @@ def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     (doc_id); buckets nobody uses weigh nothing. Without trusted documents all weigh nothing."""
     marked = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     known = _features(join_labels(docs.select("doc_id", "text"), marked, "left"))
-    grams = known.select("_trusted", F.explode(buckets(F.col("_hashes"), F.col("_pairs"))).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")).collect()
+    grams = known.select("_trusted", F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
+    counted = grams.groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")).collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for bucket, n, t in counted:
-        raw[bucket], target[bucket] = n, t
+    for at, n, t in counted:
+        raw[at], target[at] = n, t
     all_raw, all_target = sum(raw), sum(target)
     if not all_target:
         return [0] * BUCKETS
@@ -107,15 +116,16 @@ def judge(docs: DataFrame, weight: list[int], threshold: float = THRESHOLD) -> D
     table = F.from_json(F.lit(json.dumps(weight)), "array<int>")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     base = without(docs, *names)
-    lines = F.filter(F.split(_text(), "\n", -1), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)
-    grams = buckets(F.col("_hashes"), F.col("_pairs"))
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda sum_, b: sum_ + F.element_at(table, b + 1))
+    lines = F.filter(F.split(_text(), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    total = F.aggregate(
+        F.concat("_hashes", "_pairs"), F.lit(0).cast("long"), lambda sum_, h: sum_ + F.element_at(table, bucket(h) + 1)
+    )
     found = (
         _features(base)
         .withColumns({
             "n_words": F.size("_hashes").cast("long"),
-            "word_chars": F.length(F.translate(_text(), _BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(_text()) - F.length(F.translate(_text(), _SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.regexp_count(_text(), F.lit(_SYMBOL)).cast("long"),
             "_lines": lines,
             "n_repeat_words": repeated_words(F.col("_hashes"), F.col("_pairs")),
             "_total": total,
