@@ -141,7 +141,7 @@ def _windows(texts: DataFrame) -> DataFrame:
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """Texts without the words covered by windows at ``starts``, or by any window if ``copy``."""
+    """Texts without the words covered by windows at the different ``starts``, or by any window if ``copy``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -192,7 +192,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     origin = origin.filter("_first < _last").select("_g.h", "_g.g", "_first")
     starts = (
         windows.join(origin, ["h", "g"]).filter("doc_id > _first")
-        .groupBy("doc_id", "_text").agg(F.collect_list("pos").alias("starts"))
+        .groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("starts"))
     )
     copies = firsts.filter("copies > 1").select("_text", "first")
     copied = (

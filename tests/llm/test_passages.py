@@ -60,3 +60,12 @@ def test_odd_rows(odd, documents):
     assert by[5] == [(80, 0)] and by[6] == [(80, 80)] * 2
     assert (80, 0) in by[None]  # no id, no order
     assert substring_dedup.remove_repeats(documents([])).collect() == []
+
+
+def test_repeated_rows_keep_their_own_words(documents, prose):
+    passage = prose(50, 1)
+    late = prose(20, 3) + " " + passage + " " + prose(130, 4)
+    rows = [(1, passage + " " + prose(30, 2)), (2, late), (2, late)]
+    found = substring_dedup.remove_repeats(documents(rows)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in found) == [(1, 80, 0), (2, 200, 50), (2, 200, 50)]
+    assert {(r.doc_id, r.kept_sha256) for r in found} == {(d, v[2]) for d, v in brute(rows).items()}
