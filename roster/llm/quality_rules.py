@@ -2,9 +2,16 @@
 
 The words and word pairs of a text fall into ``BUCKETS`` buckets by hash. Two multinomials over the
 buckets, of the trusted documents and of the whole corpus, give each bucket the logarithm of how
-much likelier it is among the trusted. A text's score is the mean over its n-grams. Weights are
-rounded to thousandths once, so sums are whole numbers and verdicts don't depend on the order of
-addition. Every text gets a verdict by the same fixed threshold.
+much likelier it is among the trusted. The trusted counts start from ``PRIOR`` n-grams dealt like the
+whole corpus, so few trusted n-grams say little of any bucket, frequent or rare, and none say nothing.
+A text's score is the mean over its n-grams. Weights are rounded to millionths once, so sums are whole
+numbers and verdicts don't depend on the order of addition.
+
+Every text of a corpus gets a verdict by the same threshold. It follows from the number T of trusted
+n-grams: the weight of n-grams that come ``SHARE`` times as often among the trusted as in the corpus,
+less what good texts outside the trusted ones miss by chance. For independent draws that is half the
+variance of the smoothed ratios, B T / (T + PRIOR)^2 / 2 over B buckets in use; it is taken twice, as
+words of a text come in bursts. Both parts vanish with T, and the second also where T is large.
 
 Everything is column expressions; the driver sees one row per bucket.
 """
@@ -21,8 +28,11 @@ from roster.llm.common import join_labels, let, without
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-UNIT = 1000
-THRESHOLD = -0.08
+UNIT = 1_000_000
+PRIOR = 4 * BUCKETS
+SHARE = 0.9
+#: The threshold for any number of trusted n-grams large enough.
+THRESHOLD = math.log(SHARE)
 MIN_WORDS, MAX_REPEATED = 50, 50
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOL = r"[#*$%&|<>]"
@@ -90,21 +100,25 @@ def _features(docs: DataFrame) -> DataFrame:
     return hashed.withColumn("_pairs", _pairs(F.col("_hashes")))
 
 
-def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
-    """Weight of each bucket in thousandths, from the n-grams of all documents and of the trusted
-    (doc_id); buckets nobody uses weigh nothing. Without trusted documents all weigh nothing."""
+def train(docs: DataFrame, trusted: DataFrame) -> tuple[list[int], float]:
+    """Weight of each bucket in millionths, from the n-grams of all documents and of the trusted
+    (doc_id), and the threshold; buckets nobody uses weigh nothing. Without trusted documents all weigh
+    nothing and the threshold is 0."""
     marked = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1))
     known = _features(join_labels(docs.select("doc_id", "text"), marked, "left"))
     grams = known.select("_trusted", F.explode(F.concat("_hashes", "_pairs")).alias("gram"))
     counted = grams.groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("target")).collect()
-    raw, target = [0] * BUCKETS, [0] * BUCKETS
+    all_raw, all_target = sum(n for _, n, _ in counted), sum(t for _, _, t in counted)
+    weight = [0] * BUCKETS
     for at, n, t in counted:
-        raw[at], target[at] = n, t
-    all_raw, all_target = sum(raw), sum(target)
-    if not all_target:
-        return [0] * BUCKETS
-    offset = math.log((all_raw + BUCKETS) / (all_target + BUCKETS))
-    return [round(UNIT * (math.log((t + 1) / (n + 1)) + offset)) if n else 0 for n, t in zip(raw, target)]
+        weight[at] = round(UNIT * math.log((t * all_raw / n + PRIOR) / (all_target + PRIOR)))
+    missed = len(counted) * all_target / (all_target + PRIOR) ** 2
+    return weight, math.log((SHARE * all_target + PRIOR) / (all_target + PRIOR)) - missed
+
+
+def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
+    """Weight of each bucket in millionths."""
+    return train(docs, trusted)[0]
 
 
 def judge(docs: DataFrame, weight: list[int], threshold: float = THRESHOLD) -> DataFrame:
@@ -143,4 +157,4 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Repeated rows are judged alike; a null doc_id is judged and never trusted.
     """
-    return judge(docs, weights(docs, labels.filter("quality = 1")))
+    return judge(docs, *train(docs, labels.filter("quality = 1")))

@@ -187,3 +187,13 @@ def test_ratio_prefers_the_trusted_language(documents, prose, spark):
     mean = {i: found[i].score for i in found}
     weight = quality_rules.weights(docs, labels)
     assert {r.doc_id: r.score for r in quality_rules.judge(docs, weight).collect()} == mean
+
+
+@pytest.mark.parametrize("size", [3, 10, 40, 100])
+def test_good_texts_outside_the_trusted_are_kept(documents, prose, spark, size):
+    good = [prose(200, i, 100) for i in range(200)]
+    junk = [" ".join(f"{w}!!" for w in prose(200, 900 + i, 100).split()) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(size)], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(documents(good + junk), labels).collect()}
+    assert sum(kept[i] for i in range(size, 200)) >= 0.95 * (200 - size)
+    assert not any(kept[i] for i in range(200, 240))
