@@ -15,8 +15,10 @@ The score of a text is the difference of its log-likelihoods under both models (
 by the root of its length, and put on a scale from 0 to 1 by a logistic curve, fitted on a fold of
 texts that aren't counted.
 
-Counts are exact rows summed by Spark. For scoring they are folded by hash into tables of ``WORDS``
-and ``STEMS`` cells, so what a task holds is bounded, whatever the corpus.
+Counts are exact rows summed by Spark, by word: a word's key is 32 bits of the hash of its first
+letters and 32 of its own, so no count is shared by words that merely fall together. Scoring holds
+sorted keys, only of words, stems and preceding words whose factor isn't exactly 1; that loses nothing,
+as all others count 1. These tables grow with the vocabulary.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ from pyspark.sql import functions as F
 from roster.llm.common import id_text, join_labels, stored
 from roster.llm.words import BLANKS, PUNCTUATION, Words, chunks, seeded
 
-#: Cells of the folded tables: at most 22 MB of numbers in all.
-WORDS, STEMS = 1 << 20, 1 << 18
+HALF = np.uint64(32)
 STEM_BYTES = 5
 ERRORS = 3.0
 PRIOR = 5.0
@@ -46,15 +47,13 @@ BAR, BARS = 1 / 256, 16384
 
 
 class Bigrams:
-    """Bigrams of lower-cased texts: ``text`` of each, its ``pair`` hash, and the cells of its words."""
+    """Bigrams of lower-cased texts: ``text`` of each, its ``pair`` hash, and the keys of its words."""
 
     def __init__(self, column: pa.Array):
         words = Words(pa.compute.utf8_lower(column), SEPARATORS)
-        hashes = words.hashes()
-        at, self.pair = words.grams(hashes, 2)
-        cells = (hashes & np.uint64(WORDS - 1)).astype(np.int32)
-        stems = (words.hashes(prefix=STEM_BYTES) & np.uint64(STEMS - 1)).astype(np.int32)
-        self.text, self.before, self.after, self.stem = words.text[at], cells[at], cells[at + 1], stems[at + 1]
+        keys = (words.hashes(prefix=STEM_BYTES) >> HALF << HALF) | (words.hashes() >> HALF)
+        at, self.pair = words.grams(keys, 2)
+        self.text, self.before, self.after = words.text[at], keys[at], keys[at + 1]
         self.lengths = words.count
 
 
@@ -65,34 +64,52 @@ def discounted(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return (expected + np.sign(difference) * rest + 1) / (expected + 1)
 
 
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, other: float) -> np.ndarray:
+    """Values of the wanted among sorted keys; ``other`` for those not there."""
+    if not len(keys):
+        return np.full((*values.shape[:-1], len(wanted)), other)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[..., at], other)
+
+
 @dataclass(frozen=True)
-class Models:
-    """Continuation counts of each class by word cell, factors by stem cell, and log Z_t / Z_o by cell."""
+class Factors:
+    """Factors of both classes by word and by stem, and log Z_t / Z_o by preceding word; sorted keys."""
 
     words: np.ndarray
+    word_factors: np.ndarray
     stems: np.ndarray
-    shares: np.ndarray
-    scale: np.ndarray = field(default_factory=lambda: np.zeros(WORDS, np.float32))
+    stem_factors: np.ndarray
+    before: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def factors(self, cells: np.ndarray, stems: np.ndarray) -> list[np.ndarray]:
+    def of(self, keys: np.ndarray) -> np.ndarray:
         """a_c of words, for both classes."""
-        pool = self.words[0][cells] + self.words[1][cells]
-        out = []
-        for label in (ORDINARY, TOXIC):
-            stem = self.stems[label][stems]
-            out.append(stem * discounted(self.words[label][cells], pool * self.shares[label] * stem))
-        return out
+        stems = _found(self.stems, self.stem_factors, keys >> HALF, 1.0)
+        return stems * _found(self.words, self.word_factors, keys, 1.0)
 
     def evidence(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood difference per root of the length; 0 for texts of no or one word."""
         bigrams = Bigrams(column)
-        ordinary, toxic = self.factors(bigrams.after, bigrams.stem)
-        logs = np.log(toxic / ordinary) - self.scale[bigrams.before]
+        ordinary, toxic = self.of(bigrams.after)
+        logs = np.log(toxic / ordinary) - _found(self.before, self.scale, bigrams.before, 0.0)
         return np.bincount(bigrams.text, logs, len(bigrams.lengths)) / np.sqrt(np.maximum(bigrams.lengths, 1))
 
 
+@dataclass(frozen=True)
+class Models:
+    """Continuation counts of each class by word, each class's share of them, and what scoring needs."""
+
+    words: np.ndarray
+    shares: np.ndarray
+    factors: Factors
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        return self.factors.evidence(column)
+
+
 def _counts(texts: DataFrame) -> DataFrame:
-    """(label, pair, before, after, stem, count): every different bigram of each class."""
+    """(label, before, after, count): every different bigram of each class."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):
@@ -102,55 +119,74 @@ def _counts(texts: DataFrame) -> DataFrame:
                 found.pair ^ seeded(labels.astype(np.uint64), 1), return_index=True, return_counts=True
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(labels[one]), pa.array(found.pair[one].view(np.int64)), pa.array(found.before[one]),
-                 pa.array(found.after[one]), pa.array(found.stem[one]), pa.array(count)],
-                ["label", "pair", "before", "after", "stem", "count"],
+                [pa.array(labels[one]), pa.array(found.before[one].view(np.int64)),
+                 pa.array(found.after[one].view(np.int64)), pa.array(count)],
+                ["label", "before", "after", "count"],
             )
 
     rows = texts.select("text", F.col("label").cast("int")).mapInArrow(
-        make, "label int, pair long, before int, after int, stem int, count long"
+        make, "label int, before long, after long, count long"
     )
-    return rows.groupBy("label", "pair", "before", "after", "stem").agg(F.sum("count").alias("count"))
+    return rows.groupBy("label", "before", "after").agg(F.sum("count").alias("count"))
+
 
+def _keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their order in the column."""
+    keys = np.asarray(column).astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], order
 
-def _kinds(counts: DataFrame, cell: str, size: int) -> np.ndarray:
-    """Different bigrams by class and cell; the driver gets at most two rows a cell."""
-    found = counts.groupBy("label", F.col(cell).alias("cell")).agg(F.count(F.lit(1)).cast("float").alias("n")).toArrow()
-    out = np.zeros((2, size), np.float32)
-    out[np.asarray(found.column("label")), np.asarray(found.column("cell"))] = np.asarray(found.column("n"))
-    return out
 
+def _kinds(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of words and in how many different bigrams of each class they come second; the
+    driver gets a row a word."""
+    kinds = [F.count(F.when(F.col("label") == c, 1)).cast("float").alias(f"n{c}") for c in (ORDINARY, TOXIC)]
+    found = counts.groupBy("after").agg(*kinds).toArrow()
+    keys, order = _keys(found.column("after"))
+    return keys, np.stack([np.asarray(found.column(f"n{c}"), np.float32)[order] for c in (ORDINARY, TOXIC)])
 
-def _scale(counts: DataFrame, models: Models) -> np.ndarray:
-    """log Z_t(v) / Z_o(v) by cell of v: the mean factors of the words that follow, over all texts."""
-    shared = counts.sparkSession.sparkContext.broadcast(models)
+
+def _differing(keys: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    some = (factors != 1).any(axis=0)
+    return keys[some], factors[:, some]
+
+
+def _scale(counts: DataFrame, factors: Factors) -> tuple[np.ndarray, np.ndarray]:
+    """log Z_t(v) / Z_o(v) by word v, unless 0: the mean factors of the words that follow, over all texts."""
+    shared = counts.sparkSession.sparkContext.broadcast(factors)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before, count = np.asarray(batch.column("before")), np.asarray(batch.column("count"))
-            ordinary, toxic = shared.value.factors(np.asarray(batch.column("after")), np.asarray(batch.column("stem")))
-            cells, at = np.unique(before, return_inverse=True)
-            sums = [np.bincount(at, count * x, len(cells)) for x in (1.0, ordinary, toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array(cells), *map(pa.array, sums)], ["cell", "n", "o", "t"])
+            ordinary, toxic = shared.value.of(np.asarray(batch.column("after")).view(np.uint64))
+            keys, at = np.unique(before, return_inverse=True)
+            sums = [np.bincount(at, count * x, len(keys)) for x in (ordinary, toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums)], ["before", "o", "t"])
 
-    parts = counts.select("before", "after", "stem", "count").mapInArrow(add, "cell int, n double, o double, t double")
-    found = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("o").alias("o"), F.sum("t").alias("t")).toArrow()
-    out = np.zeros(WORDS, np.float32)
-    o, t = np.asarray(found.column("o")) + PRIOR, np.asarray(found.column("t")) + PRIOR
-    out[np.asarray(found.column("cell"))] = np.log(t / o)
-    return out
+    parts = counts.select("before", "after", "count").mapInArrow(add, "before long, o double, t double")
+    sums = parts.groupBy("before").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).filter("o <> t")
+    found = sums.select("before", F.log((F.col("t") + PRIOR) / (F.col("o") + PRIOR)).cast("float").alias("scale")).toArrow()
+    keys, order = _keys(found.column("before"))
+    return keys, np.asarray(found.column("scale"), np.float32)[order]
 
 
 def fit(texts: DataFrame) -> Models:
     """Both models from (text, label) rows, any number of them."""
     counts = stored(_counts(texts), "bigrams")
-    words, stems = _kinds(counts, "after", WORDS), _kinds(counts, "stem", STEMS)
+    keys, words = _kinds(counts)
     totals = words.sum(axis=1, dtype=np.float64)
     shares = totals / max(totals.sum(), 1)
-    pool = stems.sum(axis=0)
-    stem_factors = np.stack([discounted(stems[c], pool * shares[c]) for c in (ORDINARY, TOXIC)]).astype(np.float32)
-    models = Models(words, stem_factors, shares)
-    return Models(words, stem_factors, shares, _scale(counts, models))
+    # a bigram has one second word, so the bigrams of a stem are those of its words
+    stems, stem_of = np.unique(keys >> HALF, return_inverse=True)
+    by_stem = np.stack([np.bincount(stem_of, words[c], len(stems)) for c in (ORDINARY, TOXIC)])
+    pool = by_stem.sum(axis=0)
+    stem_factors = np.stack([discounted(by_stem[c], pool * shares[c]) for c in (ORDINARY, TOXIC)])
+    pool = words.sum(axis=0)
+    word_factors = np.stack(
+        [discounted(words[c], pool * shares[c] * stem_factors[c][stem_of]) for c in (ORDINARY, TOXIC)]
+    )
+    listed = *_differing(keys, word_factors), *_differing(stems, stem_factors)
+    return Models(words, shares, Factors(*listed, *_scale(counts, Factors(*listed))))
 
 
 def calibrate(evidence: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
@@ -188,7 +224,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
     known = known.withColumn("_fold", _fold()).filter(F.col("_fold") != HELD_OUT)
     learned = known.filter(F.col("_fold") != CALIBRATION).select("doc_id", "label")
     models = fit(join_labels(docs.select("doc_id", "text"), learned).select("text", "label"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = docs.sparkSession.sparkContext.broadcast(models.factors)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text"):

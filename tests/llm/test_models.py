@@ -3,10 +3,12 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from roster.llm import quality_classifier, toxicity
+from roster.llm.words import Words
 
 
 def auc(labels, scores):
@@ -112,6 +114,31 @@ def test_folded_counts_are_the_exact_ones(spark, documents):
     assert models.shares.tolist() == [0.5, 0.5]
 
 
+def test_words_share_no_counts(spark, documents):
+    other = [f"q{i}" for i in range(3_000_000)]
+    low = Words(pa.array(["vileterm"])).hashes() & np.uint64((1 << 20) - 1)
+    places = np.flatnonzero(Words(pa.array([" ".join(other)])).hashes() & np.uint64((1 << 20) - 1) == low)
+    assert len(places)
+    toxic = [" ".join(f"p{i} vileterm" for i in range(30))]
+
+    def evidence(words):
+        texts = toxic + [" ".join(f"o{k}x{i} {w}" for i in range(300)) for k, w in enumerate(words)]
+        labels = spark.createDataFrame([(i, int(i == 0)) for i in range(len(texts))], "doc_id long, label int")
+        models = toxicity.fit(documents(texts).join(labels, "doc_id").select("text", "label"))
+        return models.evidence(pa.array(["a vileterm b"]))[0]
+
+    # words that agree in the low 20 bits of their hash are worth the same as any others
+    alike = evidence([other[i] for i in places])
+    assert alike > 0 and alike == pytest.approx(evidence([other[i + 1] for i in places]))
+
+
+def test_every_word_has_its_count(spark, documents):
+    texts = [" ".join(f"w{i}" for i in range(100_000))]
+    labels = spark.createDataFrame([(0, 0)], "doc_id long, label int")
+    models = toxicity.fit(documents(texts).join(labels, "doc_id").select("text", "label"))
+    assert (models.words[0] > 0).sum() == 99_999
+
+
 def test_calibration_recovers_a_curve():
     x = np.linspace(-4, 4, 81)
     p = 1 / (1 + np.exp(-(1.5 * x - 0.7)))
