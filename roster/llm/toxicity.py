@@ -35,6 +35,8 @@ from roster.llm.common import id_text, join_labels, stored
 from roster.llm.words import BLANKS, PUNCTUATION, Words, chunks, seeded
 
 HALF = np.uint64(32)
+#: The key that comes before the first word of every text.
+START = np.uint64(0)
 STEM_BYTES = 5
 ERRORS = 3.0
 PRIOR = 5.0
@@ -47,13 +49,18 @@ BAR, BARS = 1 / 256, 16384
 
 
 class Bigrams:
-    """Bigrams of lower-cased texts: ``text`` of each, its ``pair`` hash, and the keys of its words."""
+    """Bigrams of lower-cased texts, each begun by ``START``: ``text`` of each, its ``pair`` hash, and the
+    keys of its words."""
 
     def __init__(self, column: pa.Array):
         words = Words(pa.compute.utf8_lower(column), SEPARATORS)
         keys = (words.hashes(prefix=STEM_BYTES) >> HALF << HALF) | (words.hashes() >> HALF)
-        at, self.pair = words.grams(keys, 2)
-        self.text, self.before, self.after = words.text[at], keys[at], keys[at + 1]
+        at, pair = words.grams(keys, 2)
+        first = words.first[:-1][words.count > 0]
+        self.text = np.concatenate((words.text[at], words.text[first]))
+        self.before = np.concatenate((keys[at], np.full(len(first), START)))
+        self.after = np.concatenate((keys[at + 1], keys[first]))
+        self.pair = np.concatenate((pair, seeded(keys[first], 2)))
         self.lengths = words.count
 
 
@@ -89,7 +96,7 @@ class Factors:
         return stems * _found(self.words, self.word_factors, keys, 1.0)
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Log-likelihood difference per root of the length; 0 for texts of no or one word."""
+        """Log-likelihood difference per root of the length; 0 for texts without words."""
         bigrams = Bigrams(column)
         ordinary, toxic = self.of(bigrams.after)
         logs = np.log(toxic / ordinary) - _found(self.before, self.scale, bigrams.before, 0.0)
@@ -138,10 +145,10 @@ def _keys(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kinds(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of words and in how many different bigrams of each class they come second; the
-    driver gets a row a word."""
+    """Sorted keys of words and in how many different bigrams of each class they come second, not
+    counting the start of texts; the driver gets a row a word."""
     kinds = [F.count(F.when(F.col("label") == c, 1)).cast("float").alias(f"n{c}") for c in (ORDINARY, TOXIC)]
-    found = counts.groupBy("after").agg(*kinds).toArrow()
+    found = counts.filter(F.col("before") != int(START)).groupBy("after").agg(*kinds).toArrow()
     keys, order = _keys(found.column("after"))
     return keys, np.stack([np.asarray(found.column(f"n{c}"), np.float32)[order] for c in (ORDINARY, TOXIC)])
 
@@ -216,8 +223,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame
 
     The models count the labelled texts of two folds, the calibration uses a third, and nothing is
     learned from the held-out one. Words are lower-cased runs between ASCII white space and
-    punctuation. A null text, or one of fewer than two words, has evidence 0 and a score like any
-    other. Repeated rows score alike; null ids are scored and never learned from; extra columns are
+    punctuation. A null text, or one without words, has evidence 0 and a score like any other. Repeated rows score alike; null ids are scored and never learned from; extra columns are
     ignored. Without labels every score is 1/2.
     """
     known = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))

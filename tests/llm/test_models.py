@@ -139,6 +139,14 @@ def test_every_word_has_its_count(spark, documents):
     assert (models.words[0] > 0).sum() == 99_999
 
 
+def test_the_first_word_is_weighed(spark, documents):
+    texts = [" ".join(f"p{i} vileterm" for i in range(30)), " ".join(f"o{i} plain" for i in range(300))]
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, label int")
+    models = toxicity.fit(documents(texts).join(labels, "doc_id").select("text", "label"))
+    one, first, none, empty = models.evidence(pa.array(["vileterm", "Vileterm of this", "of this of", None]))
+    assert one > 0 and first > none and empty == 0
+
+
 def test_calibration_recovers_a_curve():
     x = np.linspace(-4, 4, 81)
     p = 1 / (1 + np.exp(-(1.5 * x - 0.7)))
