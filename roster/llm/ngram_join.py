@@ -377,10 +377,11 @@ def _linked(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, key, check) of every document, and (key, check, rep, root, links) of every class."""
     texts = docs.select("doc_id", "text")
     signed = stored(_signed(texts), "signed", wide=True)
+    first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "text_hash")
     classes = stored(
         signed.groupBy("key", "check").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens")
-        ),
+            F.min(first).alias("_first"), F.count(F.lit(1)).alias("copies"), F.min("tokens").alias("tokens")
+        ).select("key", "check", F.col("_first.doc_id").alias("rep"), F.col("_first.text_hash").alias("rep_hash"), "copies", "tokens"),
         "classes",
     )
     named = leaves(classes, runs_for(recall))
@@ -391,9 +392,11 @@ def _linked(docs: DataFrame, recall: float) -> tuple[DataFrame, DataFrame]:
     heads = roots.select(F.col("root").alias("key"), F.col("root").alias("group")).distinct()
     members = roots.select(F.col("node").alias("key"), F.col("root").alias("group")).unionByName(heads)
     sizes = members.groupBy(F.struct("group").alias("_g")).agg(F.count(F.lit(1)).alias("size")).select("_g.group", "size")
-    grouped = stored(members.join(sizes, "group").join(classes.select("key", "check", "rep", "copies"), "key"), "groups")
+    grouped = stored(members.join(sizes, "group").join(classes.select("key", "check", "rep", "rep_hash", "copies"), "key"), "groups")
+    # many texts may have one doc_id or none, so the text's hash joins too
     chosen = (
-        texts.join(grouped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")))
+        texts.withColumn("text_hash", F.xxhash64("text"))
+        .join(grouped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))
         .select("key", "copies", "group", "size", "text")
     )
     exact = in_blocks(_sets(chosen), "group", "size", "key", BLOCK)

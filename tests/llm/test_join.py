@@ -111,3 +111,18 @@ def test_components_of_paths_and_stars(spark):
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     root = {r.node: r.root for r in found}
     assert root == {**{i: 100 for i in range(101, 401)}, **{1000 + i: 1000 for i in range(1, 300)}}
+
+
+def test_texts_that_share_an_id_are_read_once(documents, prose, monkeypatch):
+    texts = [prose(60, 700 + i) for i in range(12)]
+    read, sets = [], ngram_join._sets
+
+    def counted(chosen):
+        read.append(chosen.count())
+        return sets(chosen)
+
+    monkeypatch.setattr(ngram_join, "_sets", counted)
+    for doc_id in (None, 5):
+        docs = documents([(doc_id, t) for t in texts] + [(doc_id, t + " end") for t in texts])
+        assert [r.links for r in ngram_join.join(docs).collect()] == [1] * 24
+    assert read == [24, 24]
