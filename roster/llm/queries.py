@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roster.llm import fingerprints, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from roster.llm import (
+    fingerprints, merkle, mixing, ngram_join, oracles, packing, pii, quality_classifier, quality_rules, spelling,
+    substring_dedup, toxicity, url_filters, warc,
+)
 from roster.llm.common import query, table
 
 
@@ -133,3 +137,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     removed = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     return removed.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op11_spelling", oracles.OP11)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op12_manifest", oracles.OP12)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", merkle.UPPER, merkle.UPPER.lower())
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.verified(table(spark, folder, "documents"), {"text": lowered}, touched)
+
+
+RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+
+@query("op13_url_filters", oracles.OP13)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, folder, "pages"), rules)
