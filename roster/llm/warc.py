@@ -44,7 +44,8 @@ def _plan(pages: DataFrame, key: str, payload: str) -> DataFrame:
         .agg(F.max(key).alias("_owner"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
         .select("_g._sha1", "_g._bytes", "_owner")
     )
-    return ready.join(owners, ["_sha1", "_bytes"], "left")
+    # stored, so its size is known: pages stay where they are when few payloads are shared
+    return ready.join(stored(owners, "owners"), ["_sha1", "_bytes"], "left")
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
