@@ -77,11 +77,7 @@ def _(t):
 
 @query("codes_not_found", f"SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS key FROM ({LAYERED}) WHERE nome_banco = ''")
 def _(t):
-    from roster.functions import bank_code
-    from roster.operators.lists import removed_keys
-
-    rows = layered(t)
-    return removed_keys(rows, rows.where("nome_banco <> ''"), "Codigo_Banco", bank_code)
+    return reports.codes_without_name(layered(t), "Codigo_Banco")
 
 
 def agencies(t):

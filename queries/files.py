@@ -74,7 +74,7 @@ def junk_lines(rows):
     line = F.concat_ws(";", *[F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in rows.columns])
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     top = F.array(F.lit("Relatório"), F.lit(";".join(rows.columns)), F.col("line"))
-    spread = rows.repartition(4).select(line.alias("line"), place.alias("place"))
+    spread = rows.select(line.alias("line"), place.alias("place"))
     return spread.select(F.explode(F.when(F.col("place") == 0, top).otherwise(F.array("line"))).alias("value"))
 
 
@@ -89,7 +89,7 @@ def _(t):
 @query("keep_alpha_folder", """SELECT CAST(s_name AS VARCHAR) AS "A", CAST(s_nationkey AS VARCHAR) AS "B" FROM supplier""")
 def _(t):
     source, path = scratch_path(t.spark, "wide"), scratch_path(t.spark, "alpha")
-    t.supplier.select("s_name", "s_acctbal", "s_nationkey").repartition(3).write.options(sep=";", header=True).csv(source)
+    t.supplier.select("s_name", "s_acctbal", "s_nationkey").write.options(sep=";", header=True).csv(source)
     jobs.keep_columns_alpha(t.spark, source, ["s_nationkey", "s_name"], path)
     return t.spark.read.options(header=True, sep=";").schema("A string, B string, source_file string").csv(path).drop("source_file")
 
@@ -103,7 +103,7 @@ def _(t):
     source, path = scratch_path(t.spark, "values"), scratch_path(t.spark, "nonzero")
     key = F.col("s_suppkey")
     value = F.when(key % 3 != 0, key.cast("string")).otherwise(F.when(key % 2 == 0, "0").otherwise(" "))
-    t.supplier.select("s_name", value.alias("valor")).repartition(2).write.options(sep=";", header=True).csv(source)
+    t.supplier.select("s_name", value.alias("valor")).write.options(sep=";", header=True).csv(source)
     jobs.drop_empty_or_zero(t.spark, source, path, "valor")
     return t.spark.read.options(header=True, sep=";").schema("s_name string, valor string, source_file string").csv(path).drop("source_file")
 
@@ -167,11 +167,75 @@ def _(t):
 def _(t):
     """Lines but the headers of several files, added up per status."""
     path = scratch_path(t.spark, "quality")
-    t.supplier.repartition(4).select("s_name", "s_acctbal").write.options(sep=";", header=True).csv(path)
+    t.supplier.select("s_name", "s_acctbal").write.options(sep=";", header=True).csv(path)
     report = readers.quality_report(t.spark, path, ["s_name", "fone"])
     return report.groupBy("status").agg((F.sum("lines") - F.count(F.lit(1))).alias("rows"))
 
 
+RAGGED = """SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN 'long' WHEN s_suppkey % 7 = 1 THEN 'short' ELSE 'ok' END AS kind FROM supplier"""
+
+
+def ragged(t):
+    """A list some of whose lines have a field too many or too few."""
+    path, key = scratch_path(t.spark, "ragged"), F.col("s_suppkey").cast("string")
+    line = joined(key, ";", F.when(F.col("s_suppkey") % 7 == 1, F.lit("x")).otherwise(joined(F.col("s_name"), ";RS")))
+    header = t.spark.range(1).select(F.lit("id;nome;uf").alias("value"))
+    rows = t.supplier.select(F.concat(line, F.when(F.col("s_suppkey") % 7 == 0, ";more").otherwise("")).alias("value"))
+    header.unionByName(rows).coalesce(1).write.text(path)
+    return path
+
+
+@query("ragged_folder", f"SELECT CAST(s_suppkey AS VARCHAR) AS id, CASE WHEN kind = 'ok' THEN 'RS' END AS uf FROM ({RAGGED}) WHERE kind <> 'long'")
+def _(t):
+    """Rows with a field too many are rejected, rows with one too few are kept."""
+    return readers.read_lists(t.spark, ragged(t)).select("id", "uf")
+
+
+@query(
+    "rejected_rows",
+    f"""SELECT kind AS reason, CAST(s_suppkey AS VARCHAR) AS id FROM ({RAGGED}) WHERE kind <> 'ok'""",
+)
+def _(t):
+    found = readers.read_rejects(t.spark, ragged(t))
+    return found.select("reason", F.substring_index("record", ";", 1).alias("id"))
+
+
+@query(
+    "rejected_counts",
+    f"""SELECT count(*) FILTER (WHERE kind = 'short') AS short, count(*) FILTER (WHERE kind = 'long') AS long, 0::BIGINT AS unclosed,
+    'rejected rows: ' || count(*) FILTER (WHERE kind = 'long') AS status FROM ({RAGGED})""",
+)
+def _(t):
+    return readers.quality_report(t.spark, ragged(t), ["id"]).select("short", "long", "unclosed", "status")
+
+
+@query(
+    "values_with_line_breaks",
+    """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || chr(10) || chr(10) || '"' || c_mktsegment || '";' AS nota, 'z' AS uf FROM customer""",
+)
+def _(t):
+    """One file whose values hold line breaks, quotes and separators, cut into records by many tasks."""
+    path = scratch_path(t.spark, "breaks")
+    note = joined(F.col("c_name"), "\n\n\"", F.col("c_mktsegment"), "\";")
+    rows = t.customer.select(F.col("c_custkey").cast("string").alias("id"), note.alias("nota"), F.lit("z").alias("uf"))
+    writers.write_list(rows.coalesce(1), path, clean=False)
+    return readers.read_lists(t.spark, path).select("id", "nota", "uf")
+
+
+@query(
+    "several_headers_written",
+    """SELECT 'novo_c' AS side, count(*) AS rows FROM customer UNION ALL SELECT 'novo_s', count(*) FROM supplier""",
+)
+def _(t):
+    """Tables of two headers, written in one job and read back: rows by the column only one of them has."""
+    path = scratch_path(t.spark, "headers")
+    customers = people(t).withColumn("source_file", F.lit("c.csv"))
+    suppliers = t.supplier.select(F.col("s_suppkey").cast("string").alias("cpf"), F.col("s_name").alias("fornecedor"), F.lit("s.csv").alias("source_file"))
+    writers.write_per_source([customers, suppliers], path, "novo_")
+    back = readers.read_lists(t.spark, f"{path}/*")
+    return back.groupBy(F.regexp_extract("source_file", "source_file=(.*)/", 1).alias("side")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "report_file",
     """SELECT o_orderpriority AS source_file, CAST(count(*) AS VARCHAR) AS rows_in FROM orders GROUP BY 1""",

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from queries.functions import joined
 from queries.registry import query, sql_cpf
 from roster import functions as R
-from roster.operators import clean, dedupe, discover, order, reports
+from roster.operators import clean, dedupe, discover, enrich, order, reports
+from roster.session import scratch_path
+from roster.sources import readers
 
 PERSON = "o_custkey || '-X'"
 
@@ -157,6 +159,35 @@ def _(t):
     return order.split_in_parts(t.orders, 5000, ["o_orderkey"]).select("o_orderkey", "part")
 
 
+@query(
+    "split_parts_files",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS part FROM orders",
+)
+def _(t):
+    """Parts of list files in the order in which rows stand in them."""
+    path = scratch_path(t.spark, "ordered")
+    t.orders.select("o_orderkey", "o_orderpriority").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.options(
+        sep=";", header=True
+    ).csv(path)
+    return order.split_in_parts(readers.read_lists(t.spark, path), 1000).select("o_orderkey", "part")
+
+
+@query(
+    "unique_count_sketch",
+    """SELECT o_orderpriority AS grp, count(*) AS rows, true AS near FROM orders GROUP BY 1
+    UNION ALL SELECT 'all', count(*), true FROM orders""",
+)
+def _(t):
+    """Distinct ids from sketches kept per status and united per priority and overall; ``near``: within four standard errors."""
+    rows = t.orders.select(F.col("o_orderpriority").alias("grp"), "o_orderstatus", F.col("o_custkey").cast("string").alias("cpf"))
+    kept = dedupe.key_sketches(rows, "cpf", ["grp", "o_orderstatus"])
+    every = F.explode(F.array("grp", F.lit("all"))).alias("grp")
+    counted = dedupe.sketched_count(kept.select(every, "rows", "sketch"), ["grp"])
+    exact = rows.select(every, "cpf").groupBy("grp").agg(F.countDistinct("cpf").alias("_exact"))
+    near = F.abs(F.col("unique_keys") - F.col("_exact")) <= F.greatest(F.lit(1.0), F.col("_exact") * 4 * 1.04 / 128)
+    return counted.join(exact, "grp").select("grp", "rows", near.alias("near"))
+
+
 @query("split_by_value", "SELECT o_orderpriority AS value, count(*) AS rows FROM orders GROUP BY 1")
 def _(t):
     return reports.value_counts(t.orders, "o_orderpriority")
@@ -218,6 +249,18 @@ def _(t):
     )
 
 
+@query(
+    "bank_code_by_content",
+    """SELECT c_custkey, n_name AS nome_banco FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+def _(t):
+    """No column is named like a bank code; the one with short numbers is found by its values and looked up."""
+    rows = t.customer.select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("valor"), "c_mktsegment")
+    found = discover.find_bank_code_column(rows.drop("c_custkey"))
+    banks = t.nation.select(F.col("n_nationkey").cast("string").alias("cod"), "n_name", F.col("n_nationkey").alias("line"))
+    return enrich.bank_names(rows, banks, found, "cod", "n_name", "line").select("c_custkey", "nome_banco")
+
+
 @query(
     "column_preview",
     """WITH tall AS (SELECT o_orderkey AS k, 0 AS position, 'o_orderpriority' AS "column", 'string' AS type, o_orderpriority AS value FROM orders

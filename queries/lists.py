@@ -1,8 +1,5 @@
 """Deny lists, allow lists and enrichment by id or name."""
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries.functions import joined
@@ -236,6 +233,5 @@ def _(t):
       CASE WHEN n > 1 THEN 'several' WHEN n = 1 OR own <> '' THEN 'one' ELSE 'none' END AS side FROM j""",
 )
 def _(t):
-    one, several, none = enrich.split_by_match_count(names_to_fill(t), t.part, "company", "p_name", "p_type", "p_partkey")
-    sides = [rows.withColumn("side", F.lit(side)) for rows, side in ((one, "one"), (several, "several"), (none, "none"))]
-    return reduce(DataFrame.unionByName, sides).select("p_partkey", "CNPJ", "side")
+    tagged = enrich.tag_match_count(names_to_fill(t), t.part, "company", "p_name", "p_type", "p_partkey", tag="side")
+    return tagged.select("p_partkey", "CNPJ", "side")

@@ -40,6 +40,21 @@ def _(t):
     return reports.recompute_totals(margins(t)).select("l_orderkey", "l_linenumber", "Total_Utilizado", "Total_Saldo")
 
 
+@query(
+    "zeroed_amounts",
+    """WITH s AS (SELECT CASE WHEN l_extendedprice > 100000 THEN 0 ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS price,
+        l_extendedprice > 100000 AS over, CAST(l_quantity * 100 AS DECIMAL(18,2)) AS q,
+        CASE WHEN l_returnflag = 'R' THEN 0 ELSE CAST(l_tax AS DECIMAL(18,2)) END AS tax,
+        CAST(l_discount AS DECIMAL(18,2)) AS disc, l_returnflag = 'A' AS blank FROM lineitem)
+    SELECT 'Total_Utilizado' AS "column", count(*) AS rows, count(*) FILTER (WHERE over) AS zeroed_parts,
+        count(*) FILTER (WHERE price + q + tax > 100000) AS zeroed_totals FROM s
+    UNION ALL SELECT 'Total_Saldo', count(*), count(*) FILTER (WHERE over AND NOT blank),
+        count(*) FILTER (WHERE disc + CASE WHEN blank THEN 0 ELSE price END > 100000) FROM s""",
+)
+def _(t):
+    return reports.zeroed_amounts(margins(t))
+
+
 @query(
     "conversion_check",
     """SELECT 'Utilizado_5' AS "column", count(*) AS rows, count(*) FILTER (WHERE l_extendedprice > 100000) AS errors FROM lineitem

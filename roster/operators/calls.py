@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +11,12 @@ from roster.functions.dates import wall_micros
 from roster.functions.ids import phone, phone_no_ddi
 from roster.functions.numbers import decimal_br, parse_decimal, tariff
 from roster.functions.text import column
-from roster.operators import pairing
 from roster.operators.lists import drop_listed
 from roster.operators.order import number_rows
-from roster.operators.pairing import DIALER, OUTPUT, VOIP, pair_partition
+from roster.operators.pairing import DIALER, OUTPUT, POINT, VOIP, pair_partition
 from roster.session import cut_lineage
 
-cloudpickle.register_pickle_by_value(pairing)  # workers need not have the package installed
-
 TOLERANCE_SECONDS = 90  # fixed value: default match window
-RUN_ROWS = 1_000_000  # rows per task at most; bounds the memory of a task
 
 
 def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> DataFrame:
@@ -33,19 +28,10 @@ def _points(calls: DataFrame, number: Column, ts: str, row: str, side: int) -> D
     ).where((F.col("phone") != "") & F.col("ts").isNotNull())
 
 
-def _busy_instants(points: DataFrame, busy_rows: int) -> DataFrame:
-    """(phone, ts) with more than ``busy_rows`` rows, counted exactly.
-
-    There is at most one for so many rows, which bounds the table for a broadcast.
-    """
-    often = points.groupBy("phone", "ts").agg(F.count(F.lit(1)).alias("_seen"))
-    return cut_lineage(often.where(F.col("_seen") > busy_rows).select("phone", "ts"))
-
-
-def _pair_busy_instants(
-    points: DataFrame, busy: DataFrame, tolerance: int
+def _settle_instants(
+    points: DataFrame, instants: DataFrame, tolerance: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(pairs, points left) after settling instants with very many rows of one phone.
+    """(pairs, rows left) of instants (phone, ts) whose rows are in several tasks.
 
     Rows of the same phone and instant are always paired first with first, second with second, and
     so on. Ranks come from consecutive row numbers, so no task holds a whole instant, and the join
@@ -53,21 +39,21 @@ def _pair_busy_instants(
     so of those only as many can ever be paired as there are rows of the other side in reach.
     """
     spot = ["phone", "ts"]
-    numbered = number_rows(points.join(F.broadcast(busy), spot), [*spot, "side", "row"], "_n")
+    numbered = number_rows(points.join(F.broadcast(instants), spot), [*spot, "side", "row"], "_n")
     sides = numbered.groupBy(*spot, "side").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_size"))
 
     def size(side: int) -> Column:
         return F.coalesce(F.max(F.when(F.col("side") == side, F.col("_size"))), F.lit(0))
 
     equal = sides.groupBy(*spot).agg(F.least(size(VOIP), size(DIALER)).alias("_equal"))
-    near = busy.select(F.col("phone").alias("_phone"), F.col("ts").alias("_ts"))
+    near = instants.select(F.col("phone").alias("_phone"), F.col("ts").alias("_ts"))
     apart = F.abs(F.col("ts") - F.col("_ts"))
     reach = (
         points.join(F.broadcast(near), (F.col("phone") == F.col("_phone")) & (apart <= tolerance) & (apart > 0))
         .groupBy("phone", F.col("_ts").alias("ts"), (1 - F.col("side")).alias("side"))
         .agg(F.count(F.lit(1)).alias("_reach"))
     )
-    # one row per busy instant and side
+    # one row per instant and side
     limits = cut_lineage(sides.join(equal, spot).join(reach, [*spot, "side"], "left"))
     ranked = numbered.join(F.broadcast(limits), [*spot, "side"]).withColumn("_rank", F.col("_n") - F.col("_first"))
     level = ranked.where(F.col("_rank") < F.col("_equal"))
@@ -78,56 +64,61 @@ def _pair_busy_instants(
     )
     last = F.col("_equal") + F.coalesce(F.col("_reach"), F.lit(0))
     rest = ranked.where((F.col("_rank") >= F.col("_equal")) & (F.col("_rank") < last))
-    columns = [*spot, "side", "row"]
-    calm = points.join(F.broadcast(busy), spot, "left_anti").select(*columns)
-    return pairs, calm.unionByName(rest.select(*columns))
+    return pairs, rest.select(*POINT)
 
 
-def match_points(
-    points: DataFrame, tolerance: int, run_rows: int = RUN_ROWS, busy_rows: int = RUN_ROWS
-) -> DataFrame:
+def match_points(points: DataFrame, tolerance: int, tasks: int | None = None) -> DataFrame:
     """Closest-first 1:1 pairs of points (phone, ts in microseconds, side, row).
 
-    Points are range-partitioned by (phone, ts), so a phone with much of the data is spread over
-    many tasks. The closest free pair is always made of neighbours in time order, so a task needs
-    no list of all pairs: it walks its sorted rows and makes every pair that rows of neighbouring
-    partitions cannot take away. Rows that depend on a neighbour partition are kept for the next
-    round, where the few that are left are cut differently, until all fit into one task of
-    ``run_rows`` rows; should a round settle nothing, runs reach twice as far in the next. The first
-    round has the session's shuffle partitions, or as many tasks as ``run_rows`` asks for. The points and each
-    round are checkpointed, since range bounds come from a sample and must not be drawn twice. Rows of one
-    phone and instant stay together, so instants with more than ``busy_rows`` of them, which would fill
-    a task by themselves, are settled by rank beforehand. The result
+    Points are range-partitioned by all their columns, so neither a phone nor an instant with much of the
+    data is in one task. The closest free pair is always made of neighbours in time order, so a task needs
+    no list of all pairs: it makes, by passes over its sorted rows, every pair that rows of neighbouring
+    partitions cannot take away. Instants that a cut goes through are settled by rank. Rows that depend on a neighbour
+    partition are kept for the next round, where the few that are left are cut elsewhere, into at most half as many tasks.
+    The driver sees the first and the last instant of each task. Sorted points and each round are kept in
+    the checkpoint folder, since range bounds come from a sample and must not be drawn twice. The result
     is the one of a single closest-first pass over all pairs ordered by (distance, voip row,
-    dialler row).
+    dialler row). ``tasks``: partitions of the first round, by default those of the session.
     """
-    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ", ".join(f"{name} {kind}" for name, kind in OUTPUT.items())
-    made, left = [], cut_lineage(points)
-    rows = left.count()
-    busy = _busy_instants(left, busy_rows)
-    if not busy.isEmpty():
-        pairs, left = _pair_busy_instants(left, busy, tolerance)
-        made.append(pairs)
-        left = cut_lineage(left)
-        rows = left.count()
-    tasks = max(usual, -(-rows // run_rows))
+    made, left = [], points.select(*POINT)
+    per_task = None
     while True:
-        runs = left.repartitionByRange(tasks, "phone", "ts")
-        runs = runs.sortWithinPartitions("phone", "ts", "side", "row")
-        solve = partial(pair_partition, tolerance=tolerance, whole=tasks == 1)
-        solved = cut_lineage(runs.mapInPandas(solve, schema))
+        cuts = left.repartitionByRange(*POINT) if tasks is None else left.repartitionByRange(tasks, *POINT)
+        placed = cut_lineage(cuts.sortWithinPartitions(*POINT).withColumn("part", F.spark_partition_id()))
+        spot = F.struct("phone", "ts")
+        ends = placed.groupBy("part").agg(
+            F.min(spot).alias("first"), F.max(spot).alias("last"), F.count(F.lit(1)).alias("rows")
+        ).orderBy("part").collect()  # one row a task
+        if not ends:
+            break
+        rows = sum(e["rows"] for e in ends)
+        per_task = per_task or -(-rows // len(ends))
+        edges, settled = {}, set()
+        for n, end in enumerate(ends):
+            before = tuple(ends[n - 1]["last"]) if n else None
+            after = tuple(ends[n + 1]["first"]) if n + 1 < len(ends) else None
+            edges[end["part"]] = (before, after)
+            if before == tuple(end["first"]):
+                settled.add(before)
+        solve = partial(pair_partition, tolerance=tolerance, edges=edges, settled=settled)
+        solved = cut_lineage(placed.mapInPandas(solve, schema))
         made.append(solved.where(F.col("voip_row").isNotNull()).select("voip_row", "dialer_row", "distance"))
-        if tasks == 1:
+        left = solved.where(F.col("row").isNotNull()).select(*POINT)
+        if settled:
+            instants = points.sparkSession.createDataFrame(list(settled), "phone string, ts bigint")
+            pairs, rest = _settle_instants(placed, instants, tolerance)
+            made.append(pairs)
+            left = left.unionByName(cut_lineage(rest))
+        if len(ends) == 1:
             break
-        left = solved.where(F.col("row").isNotNull()).select("phone", "ts", "side", "row")
         still = left.count()
         if still == 0:
             break
-        if still == rows:
-            run_rows *= 2
-        rows, tasks = still, -(-still // run_rows)
-    return reduce(DataFrame.unionByName, made)
+        tasks = max(1, min(len(ends) // 2, -(-still // per_task)))
+    return reduce(DataFrame.unionByName, made) if made else points.select(
+        F.col("row").alias("voip_row"), F.col("row").alias("dialer_row"), F.col("ts").alias("distance")
+    ).limit(0)
 
 
 def match_calls(
@@ -140,7 +131,6 @@ def match_calls(
     dialer_ts: str,
     dialer_row: str,
     tolerance_seconds: int = TOLERANCE_SECONDS,
-    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """1:1 pairs of calls with the same phone at most ``tolerance_seconds`` apart.
 
@@ -150,7 +140,7 @@ def match_calls(
     points = _points(voip, phone_no_ddi(voip_phone), voip_ts, voip_row, VOIP).unionByName(
         _points(dialer, phone(dialer_phone, null_as_blank=True), dialer_ts, dialer_row, DIALER)
     )
-    return match_points(points, tolerance_seconds * 1_000_000, run_rows)
+    return match_points(points, tolerance_seconds * 1_000_000)
 
 
 def _paired(voip: DataFrame, dialer: DataFrame, pairs: DataFrame, voip_row: str, dialer_row: str, *columns: Column) -> DataFrame:

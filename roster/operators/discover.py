@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,34 +125,62 @@ def find_total_columns(names: Sequence[str]) -> dict[str, list[str]]:
     return found
 
 
+def _first_values(names: Sequence[str], examples: int):
+    """A task's first distinct values of each column: at most ``examples`` rows a column, however many rows it reads."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = [{} for _ in names]  # value: the least order it has
+
+        def sortable(order):
+            return tuple(order.values()) if isinstance(order, dict) else (order,)
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            orders = batch.column("_order").to_pylist()
+            keys = [sortable(o) for o in orders]
+            ready = sorted(range(len(keys)), key=keys.__getitem__)
+            for i, best in enumerate(kept):
+                limit = max(k for k, _ in best.values()) if len(best) == examples else None
+                if not ready or (limit is not None and keys[ready[0]] >= limit):
+                    continue  # this batch begins after all that is kept
+                values = batch.column(f"_v{i}").to_pylist()
+                for n in ready:
+                    if limit is not None and keys[n] >= limit:
+                        break
+                    value = values[n]
+                    if value is None or (value in best and best[value][0] <= keys[n]):
+                        continue
+                    best[value] = (keys[n], orders[n])
+                    if len(best) > examples:
+                        del best[max(best, key=lambda v: (best[v][0], v))]
+                    limit = max(k for k, _ in best.values()) if len(best) == examples else None
+        if schema is not None:
+            order_type = schema.field("_order").type
+            rows = [(i, value, order) for i, best in enumerate(kept) for value, (_, order) in best.items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], order_type)],
+                ["position", "value", "_first"],
+            )
+
+    return first
+
+
 def column_preview(df: DataFrame, order_by: Column | str, examples: int = 5) -> DataFrame:
     """Per column: type and up to ``examples`` distinct values, first seen first.
 
-    Values are made distinct before they are ranked, and ranks above ``examples`` are dropped in
-    the map tasks, so no task gathers all values of a column.
+    Every task hands on its own first values only, at most ``examples`` a column: a value among the first of all is among
+    the first of the task that has it first. ``order_by`` must not be null.
     """
     types = dict(df.dtypes)
-    tall = df.select(
-        column(order_by).alias("_order"),
-        F.explode(
-            F.array(*[
-                F.struct(
-                    F.lit(i).alias("position"), F.lit(c).alias("column"),
-                    F.lit(types[c]).alias("type"), text(c).alias("value"),
-                )
-                for i, c in enumerate(df.columns)
-            ])
-        ).alias("_v"),
-    ).select("_order", "_v.*")
-    seen = (
-        tall.where(F.col("value").isNotNull())
-        .groupBy("position", "column", "type", "value")
-        .agg(F.min("_order").alias("_first"))
-    )
-    ranked = seen.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("position").orderBy("_first", "value"))
-    )
-    return ranked.where(F.col("rank") <= examples).drop("_first")
+    ordered = df.select(column(order_by).alias("_order"), *[text(c).alias(f"_v{i}") for i, c in enumerate(df.columns)])
+    kind = ordered.schema["_order"].dataType.simpleString()
+    firsts = ordered.mapInArrow(_first_values(df.columns, examples), f"position int, value string, _first {kind}")
+    seen = firsts.groupBy("position", "value").agg(F.min("_first").alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("position").orderBy("_first", "value"))
+    names = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("type")) for c in df.columns])
+    ranked = seen.select("position", F.get(names, F.col("position")).alias("_c"), "value", rank.alias("rank"))
+    return ranked.where(F.col("rank") <= examples).select("position", "_c.column", "_c.type", "value", "rank")
 
 
 def preview(df: DataFrame, order_by: Sequence[Column | str], rows: int = 5) -> DataFrame:

@@ -11,7 +11,8 @@ from roster.functions.ids import bank_code, cnpj_text, cnpj_valid, cpf
 from roster.functions.text import column, company_key, fix_mojibake, is_blank, strip
 from roster.operators.dedupe import dedup_first
 from roster.operators.discover import find_key_column
-from roster.operators.lists import drop_listed, on_keys, once_per_key
+from roster.operators.lists import on_keys, once_per_key
+from roster.session import cut_lineage
 
 Normaliser = Callable[[Column], Column]
 
@@ -39,30 +40,55 @@ def _numbered(df: DataFrame, key: Column, columns: Sequence[str]) -> DataFrame:
     return df.select(key.alias("_key0"), *[column(c).alias(f"_r{i}") for i, c in enumerate(columns)])
 
 
-def enrich_by_cpf(
+def _id_or_null(c: Column) -> Column:
+    return cpf(c, blank_is_null=True)
+
+
+def mark_enriched(
     base: DataFrame,
     data: DataFrame,
     key: str,
     data_key: str,
     dedup_by: Sequence[Column | str] | None = None,
-    normalise: Normaliser = cpf,
+    normalise: Normaliser = _id_or_null,
     null_safe: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """(matched, unmatched) rows of ``base``.
+    flag: str = "enriched",
+) -> DataFrame:
+    """All rows of ``base`` with the columns of ``data`` and the flag ``enriched``: does the id occur there? One join.
 
-    A base row comes out once per data row of its id. ``dedup_by`` first keeps only the first data
-    row per id in that order. A missing id matches nothing. ``null_safe`` makes missing ids match each
-    other, as a join of two spreadsheets does: every base row without an id then comes with every data
-    row without one, so keep it for lists where these are few.
+    A base row comes out once per data row of its id; a column name of both sides becomes ``name_x`` and ``name_y``.
+    ``dedup_by`` first keeps only the first data row per id in that order. A missing or blank id matches nothing, as all rows
+    without one would pair up; ``normalise=cpf`` takes blanks for eleven zeros, and ``null_safe`` lets missing ids match
+    each other, as a join of two spreadsheets does: keep both for lists where these are few.
     """
     if dedup_by is not None:
         data = dedup_first(data, data_key, dedup_by, normalise)
     columns = [c for c in data.columns if c != data_key]
-    extra = _numbered(data, normalise(column(data_key)), columns)
-    own = normalise(column(key))
-    matched = _join_with_suffixes(base, own, extra, "inner", columns, null_safe)
-    unmatched = drop_listed(base, [own], data, [normalise(column(data_key))], null_safe)
-    return matched, unmatched
+    extra = _numbered(data, normalise(column(data_key)), columns).withColumn(f"_r{len(columns)}", F.lit(True))
+    joined = _join_with_suffixes(base, normalise(column(key)), extra, "left", [*columns, "_hit"], null_safe)
+    return joined.withColumn(flag, F.col("_hit").isNotNull()).drop("_hit")
+
+
+def enriched_side(marked: DataFrame, base_columns: Sequence[str], has: bool, flag: str = "enriched") -> DataFrame:
+    """The enriched rows of ``mark_enriched``, or the others with the columns they came with."""
+    if has:
+        return marked.where(flag).drop(flag)
+    own = [column(c if c in marked.columns else f"{c}_x").alias(c) for c in base_columns]
+    return marked.where(~F.col(flag)).select(*own)
+
+
+def enrich_by_cpf(
+    base: DataFrame,
+    data: DataFrame,
+    key: str,
+    data_key: str,
+    dedup_by: Sequence[Column | str] | None = None,
+    normalise: Normaliser = _id_or_null,
+    null_safe: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(matched, unmatched) rows of ``base``; see ``mark_enriched``, which jobs that need both take."""
+    marked = mark_enriched(base, data, key, data_key, dedup_by, normalise, null_safe)
+    return enriched_side(marked, base.columns, True), enriched_side(marked, base.columns, False)
 
 
 def join_companies(
@@ -115,7 +141,10 @@ def fill_cnpj_by_name(
     return joined.withColumn(target, F.coalesce("_cell", current)).drop("_own", "_name", "_cell")
 
 
-def split_by_match_count(
+ONE, SEVERAL, NONE = "one", "several", "none"
+
+
+def tag_match_count(
     base: DataFrame,
     ref: DataFrame,
     name: str,
@@ -123,39 +152,56 @@ def split_by_match_count(
     ref_cnpj: str,
     order_by: Column | str,
     target: str = "CNPJ",
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(one id, several ids with one row each, no id) after filling by company name.
+    tag: str = "matches",
+) -> DataFrame:
+    """All rows of ``base`` with ids by company name in ``target`` and the tag ``one``, ``several`` or ``none``.
 
-    Ids are joined row by row, so a name with very many ids never becomes one cell. A value that
-    ``base`` already holds counts when the name has no match.
+    Of several ids each has a row. Ids are joined row by row, so a name with very many ids never becomes one cell. A value
+    that ``base`` already holds counts when the name has no match. ``base`` and ``ref`` are scanned once: the distinct
+    (name, id) rows are kept in the checkpoint folder, and counted from there.
     """
-    pairs = _ids_by_name(ref, ref_name, ref_cnpj, order_by)
-    per_name = once_per_key(
-        pairs, ["_name"], F.count(F.lit(1)).alias("_ids"), F.min("_id").alias("_only")
-    )
+    pairs = cut_lineage(_ids_by_name(ref, ref_name, ref_cnpj, order_by).select("_name", "_id"))
+    per_name = once_per_key(pairs, ["_name"], F.count(F.lit(1)).alias("_ids"), F.min("_id").alias("_only"))
     if target not in base.columns:
         base = base.withColumn(target, F.lit(""))
     named = base.withColumn("_own", company_key(name))
-    counted = named.join(per_name, F.col("_own") == F.col("_name"), "left").drop("_own")
-    matched, several = F.col("_ids").isNotNull(), F.col("_ids") > 1
-    listed = F.contains(F.coalesce(column(target), F.lit("")), F.lit(";"))
-    helpers = ["_name", "_ids", "_only"]
-
-    one = counted.where((F.col("_ids") == 1) | (~matched & ~is_blank(target) & ~listed))
-    one = one.withColumn(target, F.coalesce("_only", column(target))).drop(*helpers)
-
+    counted = named.join(per_name, F.col("_own") == F.col("_name"), "left")
     # a fresh key: rows of a frequent name are exchanged again, so that they can be split again
-    again = counted.where(several).withColumn("_own", F.concat("_name", F.lit("")))
-    spread = (
-        again.join(pairs.select(F.col("_name").alias("_pair_name"), "_id"), F.col("_own") == F.col("_pair_name"))
-        .withColumn(target, F.col("_id"))
-        .select(*[column(c) for c in base.columns])
+    counted = counted.withColumn("_many", F.when(F.col("_ids") > 1, F.concat("_name", F.lit(""))))
+    listed = pairs.select(F.col("_name").alias("_pair_name"), F.col("_id").alias("_pair_id"))
+    spread = counted.join(listed, F.col("_many") == F.col("_pair_name"), "left")
+    # a row without a match keeps its own value, which may list several
+    own = F.coalesce(column(target).cast("string"), F.lit(""))
+    parts = F.filter(F.transform(F.split(own, ";"), strip), lambda x: x != "")
+    cells = (
+        F.when(F.col("_pair_id").isNotNull(), F.array("_pair_id")).when(F.col("_only").isNotNull(), F.array("_only"))
+        .when(F.contains(own, F.lit(";")), parts).otherwise(F.array(column(target).cast("string")))
     )
-    kept = counted.where(~matched & listed).drop(*helpers)
-    kept = kept.withColumn(target, F.explode(F.split(column(target), ";")))
-    kept = kept.withColumn(target, strip(target)).where(column(target) != "")
-    none = counted.where(~matched & is_blank(target)).drop(*helpers)
-    return one, spread.unionByName(kept), none
+    side = (
+        F.when((F.col("_ids") > 1) | (F.col("_ids").isNull() & F.contains(own, F.lit(";"))), SEVERAL)
+        .when(F.col("_ids").isNull() & is_blank(target), NONE).otherwise(ONE)
+    )
+    kept = [column(c) for c in base.columns if c != target]
+    out = spread.select(*kept, side.alias(tag), F.explode(cells).alias(target))
+    return out.select(*[column(c) for c in base.columns], tag)
+
+
+def match_count_sides(tagged: DataFrame, tag: str = "matches") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one id, several ids with one row each, no id) of ``tag_match_count``."""
+    return tuple(tagged.where(F.col(tag) == side).drop(tag) for side in (ONE, SEVERAL, NONE))
+
+
+def split_by_match_count(
+    base: DataFrame,
+    ref: DataFrame,
+    name: str,
+    ref_name: str,
+    ref_cnpj: str,
+    order_by: Column | str,
+    target: str = "CNPJ",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one id, several ids with one row each, no id); see ``tag_match_count``, which jobs that need all take."""
+    return match_count_sides(tag_match_count(base, ref, name, ref_name, ref_cnpj, order_by, target))
 
 
 def _last_per_code(banks: DataFrame, code: str, order_by: Column | str, **values: Column) -> DataFrame:

@@ -26,55 +26,94 @@ BANKS = (
 )
 
 # attributes may hold a ">" in quotes; possessive loops keep the matcher's stack flat
-_ANCHOR = r"""(?is)<a(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>(.*?)</a>"""
+_ATTRIBUTES = r"""(?=[\s/])((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+_ANCHOR = rf"(?is)<a{_ATTRIBUTES}(.*?)</a>"
+_ANCHORS_AND_BASE = rf"(?is)<base{_ATTRIBUTES}|<a{_ATTRIBUTES}.*?</a>"
+_BASE = rf"(?is)<base{_ATTRIBUTES}"
 _HREF = r"""(?is)(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:"
+_ORIGIN = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*"
 _ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+_NUMBER = "^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point given as decimal digits, or as ``x`` and hexadecimal ones; null if there is none."""
+    code = F.when(F.lower(F.left(number, F.lit(1))) == "x", F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+    known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(32)), 8, "0")), "UTF-32BE"))
 
 
 def unescaped(value: Column) -> Column:
-    """Text with the named entities of HTML's own marks resolved."""
-    for entity, character in _ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(character))
-    return value
+    """Text with numeric entities and the named ones of HTML's own marks resolved, each once."""
+
+    def piece(p: Column) -> Column:
+        number = F.regexp_extract(p, _NUMBER, 1)
+        out = F.when(number != "", F.coalesce(F.concat(_character(number), F.regexp_replace(p, _NUMBER, "")), p))
+        for entity, character in _ENTITIES:
+            out = out.when(p.startswith(entity), F.concat(F.lit(character), F.substring(p, F.lit(len(entity) + 1), F.length(p))))
+        return out.otherwise(p)
+
+    return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(F.split(value, "(?=&)"), piece), "")).otherwise(value)
+
+
+def without_dots(address: Column) -> Column:
+    """A whole address without the segments ``.`` and ``..`` in its path, the latter with the segment before."""
+    origin, path = F.regexp_extract(address, _ORIGIN, 0), F.regexp_extract(address, rf"{_ORIGIN}([^?#]*)", 1)
+    segments = F.split(path, "/")
+    kept = F.aggregate(
+        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s)),
+    )
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    rest = F.substring(address, F.length(origin) + F.length(path) + 1, F.length(address))
+    whole = F.concat(origin, F.lit("/"), F.array_join(folder, "/"), rest)
+    return F.when((origin != "") & path.rlike(r"/\.\.?(/|$)"), whole).otherwise(address)
 
 
 def resolved(href: Column | str, url: Column | str) -> Column:
-    """The address a link leads to from a page: absolute, host, root or folder relative, or a fragment."""
+    """The address a link leads to from a page: absolute, host, root or folder relative, or a fragment; dots resolved."""
     link, base = strip(column(href)), column(url)
     scheme = F.regexp_extract(base, _SCHEME, 0)
-    origin = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", 0)
+    origin = F.regexp_extract(base, _ORIGIN, 0)
     path = F.regexp_extract(base, r"^[^?#]*", 0)
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(path, r"^.*/", 0))
-    return (
+    target = (
         F.when(link.rlike(_SCHEME), link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(origin, link))
         .when(link == "", base)
         .when(link.startswith("#"), F.concat(F.substring_index(base, "#", 1), link))
         .when(link.startswith("?"), F.concat(path, link))
-        .otherwise(F.concat(folder, F.regexp_replace(link, r"^(?:\./)+", "")))
+        .otherwise(F.concat(folder, link))
     )
+    return without_dots(target)
+
+
+def _href(attributes: Column) -> Column:
+    return unescaped(F.concat(*[F.regexp_extract(attributes, _HREF, i) for i in (1, 2, 3)]))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every anchor with an href: ``page_id, url, position, href, target, text``.
 
     Values may be in double, single or no quotes. ``href`` is as written, entities resolved; ``target``
-    is the address it leads to; tags in the text are removed.
+    is the address it leads to, from the page's ``<base>`` if it has one; tags in the text are removed. A page is searched
+    once.
     """
-    anchors = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("attributes"),
-        F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("text"),
+    found = pages.select("page_id", "url", F.regexp_extract_all("html", F.lit(_ANCHORS_AND_BASE), F.lit(0)).alias("_tags"))
+    is_base = lambda tag: F.lower(F.left(tag, F.lit(5))) == "<base"
+    bases = F.filter(F.transform(F.filter("_tags", is_base), lambda t: _href(F.regexp_extract(t, _BASE, 1))), lambda h: strip(h) != "")
+    anchors = F.transform(
+        F.filter("_tags", lambda t: ~is_base(t)),
+        lambda t: F.struct(F.regexp_extract(t, _ANCHOR, 1).alias("attributes"), F.regexp_extract(t, _ANCHOR, 2).alias("text")),
     )
     linked = F.filter(anchors, lambda a: a["attributes"].rlike(_HREF))
-    value = F.concat(*[F.regexp_extract("_a.attributes", _HREF, i) for i in (1, 2, 3)])
-    return pages.select("page_id", "url", F.posexplode(linked).alias("position", "_a")).select(
-        "page_id",
-        "url",
-        "position",
-        unescaped(value).alias("href"),
-        resolved(unescaped(value), "url").alias("target"),
+    base = F.coalesce(resolved(F.get(bases, F.lit(0)), "url"), F.col("url"))
+    rows = found.withColumn("_base", base).select("page_id", "url", "_base", F.posexplode(linked).alias("position", "_a"))
+    rows = rows.withColumn("href", _href(F.col("_a.attributes")))
+    return rows.select(
+        "page_id", "url", "position", "href", resolved("href", "_base").alias("target"),
         strip(unescaped(F.regexp_replace("_a.text", "(?s)<[^>]*>", ""))).alias("text"),
     )
 
@@ -82,7 +121,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
 def filter_links(
     links: DataFrame, contains: str = SECTION_FRAGMENT, exclude_text: Sequence[str] = MENU_TEXTS
 ) -> DataFrame:
-    """Links whose target holds a fragment, lead elsewhere and carry a text; first per page and target."""
+    """Links whose ``href`` holds a fragment, lead elsewhere and carry a text; first per page and ``href``."""
     wanted = links.where(
         F.contains("href", F.lit(contains))
         & (F.col("href") != F.col("url"))

@@ -170,12 +170,16 @@ def remove_by_number_batch(base: DataFrame, deny: DataFrame, key: str, deny_key:
 def denied_numbers_report(
     base: DataFrame, deny: DataFrame, key: str, deny_key: str, source: str = "source_file"
 ) -> DataFrame:
-    """Per source: rows, rows removed, distinct numbers removed, rate in percent.
+    """Figures of the rows ``remove_by_number_batch`` drops; see ``number_figures``."""
+    return number_figures(mark_denied_numbers(base, deny, key, deny_key), key, source)
+
+
+def number_figures(marked: DataFrame, key: str, source: str = "source_file") -> DataFrame:
+    """Per source of ``mark_denied_numbers``: rows, rows removed, distinct numbers removed, rate in percent.
 
     Counted per (source, number) first, so a large source or a hot number is summed up before
     the exchange.
     """
-    marked = mark_denied_numbers(base, deny, key, deny_key)
     per_number = marked.groupBy(source, trimmed_or_nan(column(key)).alias("_number")).agg(
         F.count(F.lit(1)).alias("_rows"), F.count_if("denied").alias("_denied")
     )
@@ -202,7 +206,11 @@ def mask_denied_numbers(
     base: DataFrame, deny: DataFrame, cpf_col: str, number: str, deny_cpf: str, deny_number: str
 ) -> DataFrame:
     """Replace a number by ``-`` where (person id, number) is listed; every row stays."""
-    marked = mark_denied_pairs(base, deny, cpf_col, number, deny_cpf, deny_number)
+    return mask_marked(mark_denied_pairs(base, deny, cpf_col, number, deny_cpf, deny_number), number)
+
+
+def mask_marked(marked: DataFrame, number: str) -> DataFrame:
+    """Replace the numbers of flagged rows; see ``mask_denied_numbers``."""
     masked = F.when(F.col("denied"), "-").otherwise(column(number).cast("string"))
     return marked.withColumn(number, masked).drop("denied")
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,17 +65,19 @@ def zeroed_amounts(
     df: DataFrame, totals: Mapping[str, Sequence[str]] | None = None, limit: float | None = SUSPICIOUS
 ) -> DataFrame:
     """Per total column: rows, parts that count 0 for their size, and totals that become 0 for theirs."""
-    rows = []
-    for name, parts in _present(df, totals).items():
+    present = _present(df, totals)
+    if not present:
+        raise ValueError("no total column")
+    figures = [F.count(F.lit(1)).alias("_rows")]
+    for i, parts in enumerate(present.values()):
         over = sum((over_limit(p, limit).cast("int") for p in parts), F.lit(0))
         large = F.lit(False) if limit is None else F.abs(row_total(parts, limit)) > limit
-        rows.append(df.agg(
-            F.lit(name).alias("column"), F.count(F.lit(1)).alias("rows"),
-            F.coalesce(F.sum(over), F.lit(0)).alias("zeroed_parts"), F.count_if(large).alias("zeroed_totals"),
-        ))
-    if not rows:
-        raise ValueError("no total column")
-    return reduce(DataFrame.unionAll, rows)
+        figures += [F.coalesce(F.sum(over), F.lit(0)).alias(f"_p{i}"), F.count_if(large).alias(f"_t{i}")]
+    rows = [
+        F.struct(F.lit(name).alias("column"), F.col("_rows").alias("rows"), F.col(f"_p{i}").alias("zeroed_parts"), F.col(f"_t{i}").alias("zeroed_totals"))
+        for i, name in enumerate(present)
+    ]
+    return df.agg(*figures).select(F.inline(F.array(*rows)))  # one scan for all totals
 
 
 def recompute_totals(
@@ -179,6 +179,12 @@ def lookup_coverage(df: DataFrame, code: str) -> DataFrame:
     )
 
 
+def codes_without_name(df: DataFrame, code: str) -> DataFrame:
+    """Bank codes (column ``key``) none of whose rows got a name in a lookup, from one pass over the rows."""
+    per_code = df.groupBy(bank_code(code).alias("key")).agg(F.bool_or(F.length("nome_banco") > 0).alias("_named"))
+    return per_code.where(F.col("key").isNotNull() & ~F.coalesce("_named", F.lit(False))).select("key")
+
+
 def format_counts(df: DataFrame, name: str) -> DataFrame:
     """Filled and blank values after formatting a column."""
     filled = F.coalesce(text(name), F.lit("")) != ""

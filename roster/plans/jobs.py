@@ -14,17 +14,50 @@ from roster.operators import (
     ages, calls, clean, dedupe, discover, enrich, lists, order, reports, shape,
 )
 from roster.sources import readers, writers
+from roster.session import cut_lineage
 from roster.sources.readers import ORDER, SOURCE
 
 Step = Callable[[DataFrame], DataFrame]
 
+# fixed values: prefixes of the outputs' names
+NO_DUPLICATES, LARGEST, NUMBERS_GONE, FILTERED, NAMED = (
+    "sem_duplicados_", "maior_valor_", "blacklist_lote_", "filtrado_", "com_nomes_",
+)
+KEPT, DENIED, ABSENT, LISTED, WITH_DATA, WITHOUT_DATA = "whitelist_", "blacklist_", "deny_", "allow_", "com_", "sem_"
+
+
+def _fitting(folder: readers.Folder, needed: Sequence[str]) -> list[DataFrame]:
+    """The tables of a folder that have the columns."""
+    return [t for t in readers.tables(folder) if set(needed) <= set(t.columns)]
+
 
-def _per_layout(spark: SparkSession, path: str, out: str, prefix: str, step: Step) -> None:
-    """Apply ``step`` to each table of a folder and write one output folder per input file."""
-    mode = "errorifexists"
-    for table in readers.read_sources(spark, path):
-        writers.write_per_source(step(table), out, prefix, mode=mode)
-        mode = "append"
+def _per_layout(
+    spark: SparkSession, path: str, out: str, prefix: str, step: Step, needed: Sequence[str] = (), clean: bool = True
+) -> DataFrame:
+    """Apply ``step`` to each table of a folder and write one output folder per input file, all in one job.
+
+    Files without the ``needed`` columns, and those ``step`` finds no column in (a ``ValueError``), are left out; the
+    report returned says of every file what the reader found.
+    """
+    folder = readers.probe(spark, path)
+    done, lacking = [], []
+    for table in _fitting(folder, needed):
+        try:
+            done.append(step(table))
+        except ValueError:
+            lacking.append(table)
+    writers.write_per_source(done, out, prefix, clean)
+    return _report(folder, needed, lacking)
+
+
+def _report(folder: readers.Folder, needed: Sequence[str], lacking: Sequence[DataFrame]) -> DataFrame:
+    """The folder's quality report, with the files of the tables ``lacking`` a column that had to be found."""
+    report = readers.quality_report(folder.spark, folder, needed)
+    if not lacking:
+        return report
+    shapes = [F.col("columns") == F.array(*[F.lit(c) for c in t.columns if c not in (SOURCE, ORDER)]) for t in lacking]
+    found = reduce(lambda a, b: a | b, shapes) & (F.col("status") == "ok")
+    return report.withColumn("status", F.when(found, "no fitting column").otherwise(F.col("status")))
 
 
 def _write_two(first: DataFrame, second: DataFrame, out: str, names: tuple[str, str]) -> None:
@@ -50,23 +83,20 @@ def remove_duplicates(spark: SparkSession, path: str, key: str, out: str) -> Dat
 
 def remove_duplicates_per_file(spark: SparkSession, path: str, key: str, out: str) -> DataFrame:
     """First row per person id inside each file; files without the column are in the report."""
-    def step(table: DataFrame) -> DataFrame:
-        return dedupe.dedup_first(table, key, [ORDER], within=[SOURCE])
-
-    report = readers.quality_report(spark, path, [key])
-    tables = [t for t in readers.read_sources(spark, path) if key in t.columns]
-    for n, table in enumerate(tables):
-        writers.write_per_source(step(table), out, "sem_duplicados_", mode="append" if n else "errorifexists")
-    stats = [dedupe.dedup_stats(t, key, within=[SOURCE]) for t in tables]
-    figures = reduce(DataFrame.unionByName, stats) if stats else None
-    return report.join(figures, SOURCE, "left") if figures is not None else report
-
-
-def keep_largest_per_file(spark: SparkSession, path: str, key: str, value: str, out: str) -> None:
-    """Per file and person id the row with the largest value."""
-    _per_layout(
-        spark, path, out, "maior_valor_",
-        lambda t: dedupe.dedup_max(t, key, value, [ORDER], within=[SOURCE]),
+    folder = readers.probe(spark, path)
+    tables = _fitting(folder, [key])
+    writers.write_per_source([dedupe.dedup_first(t, key, [ORDER], within=[SOURCE]) for t in tables], out, NO_DUPLICATES)
+    report = readers.quality_report(spark, folder, [key])
+    if not tables:
+        return report
+    stats = reduce(DataFrame.unionByName, [dedupe.dedup_stats(t, key, within=[SOURCE]) for t in tables])
+    return report.join(stats, SOURCE, "left")
+
+
+def keep_largest_per_file(spark: SparkSession, path: str, key: str, value: str, out: str) -> DataFrame:
+    """Per file and person id the row with the largest value; files without a column are only in the report."""
+    return _per_layout(
+        spark, path, out, LARGEST, lambda t: dedupe.dedup_max(t, key, value, [ORDER], within=[SOURCE]), [key, value]
     )
 
 
@@ -81,29 +111,29 @@ def remove_denied(
 def _flag_per_file(
     spark: SparkSession, path: str, needed: str, out: str, flag: str, prefixes: tuple[str, str], step: Step
 ) -> DataFrame:
-    """Flag the rows of every file and write both sides; files without the column are only reported.
+    """Flag the rows of every file and write both sides in one job; files without the column are only reported.
 
-    Returns, per file, what the reader says of it and the rows of both sides.
+    Returns, per file, what the reader says of it and the rows of both sides, counted from what was written.
     """
-    report = readers.quality_report(spark, path, [needed])
-    figures, mode = [], "errorifexists"
-    for table in readers.read_sources(spark, path):
-        if needed not in table.columns:
-            continue
-        marked = step(table)
-        writers.write_flagged_per_source(marked, flag, out, prefixes, mode=mode)
-        figures.append(
-            marked.groupBy(SOURCE).agg(F.count_if(~F.col(flag)).alias("rows_out"), F.count_if(flag).alias("rows_flagged"))
-        )
-        mode = "append"
-    return report.join(reduce(DataFrame.unionByName, figures), SOURCE, "left") if figures else report
+    folder = readers.probe(spark, path)
+    marked = [step(t) for t in _fitting(folder, [needed])]
+    report = readers.quality_report(spark, folder, [needed])
+    if not marked:
+        return report
+    # flagged once: the write and the figures read the same rows
+    flagged = [cut_lineage(t) for t in marked]
+    writers.write_flagged_per_source(flagged, flag, out, prefixes)
+    figures = [
+        t.groupBy(SOURCE).agg(F.count_if(~F.col(flag)).alias("rows_out"), F.count_if(flag).alias("rows_flagged")) for t in flagged
+    ]
+    return report.join(reduce(DataFrame.unionByName, figures), SOURCE, "left")
 
 
 def remove_denied_folder(spark: SparkSession, path: str, deny_path: str, out: str) -> DataFrame:
     """Kept and denied rows of every file, by the column ``CPF``; figures per file."""
     deny = readers.read_sources(spark, deny_path)
     return _flag_per_file(
-        spark, path, "CPF", out, "denied", ("whitelist_", "blacklist_"), lambda t: lists.mark_denied_folder(t, deny)
+        spark, path, "CPF", out, "denied", (KEPT, DENIED), lambda t: lists.mark_denied_folder(t, deny)
     )
 
 
@@ -124,16 +154,27 @@ def remove_denied_companies(
 def remove_denied_numbers_per_file(
     spark: SparkSession, path: str, deny_path: str, deny_key: str, out: str, key: str | None = None
 ) -> DataFrame:
-    """Drop listed numbers in every file; the number column is found unless named."""
+    """Drop listed numbers in every file; the number column is found unless named.
+
+    Returns each file's figures and, for files without such a column, the status that says so. Rows and figures come from
+    one join.
+    """
     deny = readers.read_lists(spark, deny_path)
-    figures, mode = [], "errorifexists"
-    for table in readers.read_sources(spark, path):
-        name = _column(table.drop(SOURCE, ORDER), key, discover.find_phone_column)
-        kept = lists.remove_by_number_batch(table, deny, name, deny_key)
-        writers.write_per_source(kept, out, "blacklist_lote_", mode=mode)
-        figures.append(lists.denied_numbers_report(table, deny, name, deny_key))
-        mode = "append"
-    return reduce(DataFrame.unionByName, figures)
+    folder = readers.probe(spark, path)
+    marked, figures, lacking = [], [], []
+    for table in readers.tables(folder):
+        name = key if key in table.columns else None if key else discover.find_phone_column(table.drop(SOURCE, ORDER))
+        if name is None:
+            lacking.append(table)
+            continue
+        rows = cut_lineage(lists.mark_denied_numbers(table, deny, name, deny_key))
+        marked.append(rows.where("NOT denied").drop("denied"))
+        figures.append(lists.number_figures(rows, name))
+    report = _report(folder, [key] if key else [], lacking)
+    if not marked:
+        return report
+    writers.write_per_source(marked, out, NUMBERS_GONE)
+    return report.join(reduce(DataFrame.unionByName, figures), SOURCE, "left")
 
 
 def mask_denied_numbers(
@@ -142,15 +183,15 @@ def mask_denied_numbers(
 ) -> DataFrame:
     """Replace listed numbers by a dash; returns how many were replaced."""
     base, deny = readers.read_lists(spark, path), readers.read_lists(spark, deny_path)
-    columns = (cpf_col, number, deny_cpf, deny_number)
-    writers.write_list(lists.mask_denied_numbers(base, deny, *columns), out)
-    return lists.mark_denied_pairs(base, deny, *columns).agg(F.count_if("denied").alias("replaced"))
+    marked = cut_lineage(lists.mark_denied_pairs(base, deny, cpf_col, number, deny_cpf, deny_number))
+    writers.write_list(lists.mask_marked(marked, number), out)
+    return marked.agg(F.count_if("denied").alias("replaced"))
 
 
 # filters
 
 def split_in_parts(spark: SparkSession, path: str, rows_per_part: int, out: str) -> None:
-    writers.write_parts(readers.read_lists(spark, path), rows_per_part, [ORDER], out)
+    writers.write_parts(readers.read_lists(spark, path), rows_per_part, None, out)
 
 
 def split_by_allowlist(
@@ -159,7 +200,7 @@ def split_by_allowlist(
     """Listed and absent rows of every file, with figures; a single file is a folder of one."""
     allow = readers.read_lists(spark, allow_path)
     return _flag_per_file(
-        spark, path, key, out, "allowed", ("deny_", "allow_"), lambda t: lists.mark_allowed(t, allow, key, allow_key)
+        spark, path, key, out, "allowed", (ABSENT, LISTED), lambda t: lists.mark_allowed(t, allow, key, allow_key)
     )
 
 
@@ -170,20 +211,21 @@ def split_by_value(spark: SparkSession, path: str, name: str, out: str) -> DataF
 
 
 def drop_empty_or_zero(spark: SparkSession, path: str, out: str, name: str | None = None) -> DataFrame:
-    """Drop rows without a value, file by file; a table with one column needs no name."""
-    figures, mode = [], "errorifexists"
-    for table in readers.read_sources(spark, path):
+    """Drop rows without a value, file by file; a table with one column needs no name.
+
+    Returns the figures of every file with the column, from the one pass that marks its rows.
+    """
+    folder = readers.probe(spark, path)
+    marked = []
+    for table in readers.tables(folder):
         own = [c for c in table.columns if c not in (SOURCE, ORDER)]
         chosen = name or (own[0] if len(own) == 1 else None)
-        if chosen is None or chosen not in own:
-            continue  # listed by quality_report
-        writers.write_per_source(clean.drop_empty_or_zero(table, chosen), out, "filtrado_", mode=mode)
-        marked = table.withColumn("_gone", ~F.coalesce(clean.nonzero(table, chosen), F.lit(False)))
-        figures.append(reports.batch_stats(marked, "_gone"))
-        mode = "append"
-    if not figures:
+        if chosen in own:  # the other files are listed by quality_report
+            marked.append(cut_lineage(table.withColumn("_gone", ~F.coalesce(clean.nonzero(table, chosen), F.lit(False)))))
+    if not marked:
         raise ValueError(f"no file under {path} has the column")
-    return reduce(DataFrame.unionByName, figures)
+    writers.write_per_source([t.where("NOT _gone").drop("_gone") for t in marked], out, FILTERED)
+    return reduce(DataFrame.unionByName, [reports.batch_stats(t, "_gone") for t in marked])
 
 
 def write_batch_report(stats: DataFrame, out: str, best: int = 10) -> DataFrame:
@@ -241,25 +283,20 @@ def conform_layout(spark: SparkSession, path: str, out: str) -> None:
 
 def keep_columns_alpha(spark: SparkSession, path: str, names: Sequence[str], out: str) -> None:
     """Chosen columns as A, B, C, …, by the columns each file has."""
-    mode = "errorifexists"
-    for table in readers.read_sources(spark, path):
-        if set(names) & set(table.columns):
-            kept = [c for c in table.columns if c in set(names)]
-            letters = [R.column(c).alias(shape.alpha_name(i)) for i, c in enumerate(kept)]
-            rows = table.select(SOURCE, *letters)
-            writers.write_per_source(rows, out, "", clean=False, mode=mode)
-            mode = "append"
+    def step(table: DataFrame) -> DataFrame:
+        kept = [c for c in table.columns if c in set(names)]
+        if not kept:
+            raise ValueError("none of the columns")
+        return table.select(SOURCE, ORDER, *[R.column(c).alias(shape.alpha_name(i)) for i, c in enumerate(kept)])
+
+    _per_layout(spark, path, out, "", step, clean=False)
 
 
 def identifiers_to_cpf(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Only the identifiers of every file, as ``CPF``; returns the status of each file."""
-    mode = "errorifexists"
-    for table in readers.read_sources(spark, path):
-        if "identifier" in table.columns:
-            rows = table.select(SOURCE, F.col("identifier").alias("CPF"))
-            writers.write_per_source(rows, out, "", mode=mode)
-            mode = "append"
-    return readers.quality_report(spark, path, ["identifier"])
+    return _per_layout(
+        spark, path, out, "", lambda t: t.select(SOURCE, ORDER, F.col("identifier").alias("CPF")), ["identifier"]
+    )
 
 
 # additions
@@ -269,22 +306,28 @@ def enrich_by_cpf(
 ) -> None:
     base = readers.read_lists(spark, path, with_order=False).drop(SOURCE)
     data = readers.read_lists(spark, data_path, with_order=False).drop(SOURCE)
-    _write_two(*enrich.enrich_by_cpf(base, data, key, data_key), out, ("com", "sem"))
+    marked = cut_lineage(enrich.mark_enriched(base, data, key, data_key))
+    _write_two(*[enrich.enriched_side(marked, base.columns, has) for has in (True, False)], out, ("com", "sem"))
 
 
 def enrich_folder_by_cpf(
     spark: SparkSession, path: str, data_path: str, key: str, data_key: str, out: str
-) -> None:
-    """Every file with the first data row of each id; matched and unmatched rows apart."""
+) -> DataFrame:
+    """Every file with the first data row of each id; matched and unmatched rows apart, from one join and one write.
+
+    Files without the column are only in the report, which is returned.
+    """
     data = readers.read_lists(spark, data_path).drop(SOURCE)
     first = dedupe.dedup_first(data, data_key, [ORDER]).drop(ORDER)
-    for prefix, side in (("com_", 0), ("sem_", 1)):
-        _per_layout(
-            spark, path, f"{out}/{prefix}", prefix,
-            lambda t, side=side: shape.strip_quotes_all(
-                enrich.enrich_by_cpf(t.drop(ORDER), first, key, data_key)[side]
-            ),
-        )
+    folder = readers.probe(spark, path)
+    done = []
+    for table in _fitting(folder, [key]):
+        marked = cut_lineage(enrich.mark_enriched(table, first, key, data_key))
+        for side, has in ((WITH_DATA, True), (WITHOUT_DATA, False)):
+            rows = shape.strip_quotes_all(enrich.enriched_side(marked, table.columns, has))
+            done.append(rows.withColumn("side", F.lit(side)).withColumn(SOURCE, writers.output_name(F.col(SOURCE), F.lit(side))))
+    writers.write_sources(done, out, ["side", SOURCE])
+    return readers.quality_report(spark, folder, [key])
 
 
 def merge_folder(spark: SparkSession, path: str, out: str, skip_first_line: bool = False) -> None:
@@ -303,7 +346,7 @@ def match_calls(
     """Merged calls and dialler calls without a VoIP record, as two lists; returns both reports."""
     def numbered(path: str, skip: bool) -> DataFrame:
         rows = readers.read_lists(spark, path, skip_first_line=skip)
-        return order.number_rows(rows, [ORDER], "_row").drop(ORDER, SOURCE)
+        return order.number_file_rows(rows, "_row").drop(ORDER, SOURCE)
 
     voip = numbered(voip_path, False).withColumn("_ts", R.parse_ts(voip_ts))
     dialer = numbered(dialer_path, dialer_skip_first_line).withColumn("_ts", R.parse_ts(dialer_ts))
@@ -328,8 +371,8 @@ def fill_by_company_name(
     """Company ids by name: rows with one id, with several (one row each) and with none."""
     base = readers.read_lists(spark, path).drop(SOURCE, ORDER)
     ref = readers.read_lists(spark, ref_path)
-    sides = enrich.split_by_match_count(base, ref, name, ref_name, ref_cnpj, ORDER)
-    for rows, folder in zip(sides, ("1_cnpj", "varios_cnpj", "sem_corresp")):
+    tagged = cut_lineage(enrich.tag_match_count(base, ref, name, ref_name, ref_cnpj, ORDER))
+    for rows, folder in zip(enrich.match_count_sides(tagged), ("1_cnpj", "varios_cnpj", "sem_corresp")):
         writers.write_list(rows, f"{out}/{folder}")
 
 
@@ -381,28 +424,29 @@ def join_companies(
 def bank_names(
     spark: SparkSession, path: str, banks_path: str, bank_code: str, bank_name: str, out: str,
     code: str | None = None,
-) -> None:
+) -> DataFrame:
+    """Bank names from one table; files without a code column are only in the report, which is returned."""
     banks = readers.read_lists(spark, banks_path)
 
     def step(table: DataFrame) -> DataFrame:
         own = _column(table.drop(SOURCE, ORDER), code, discover.find_bank_code_column)
         return enrich.bank_names(table, banks, own, bank_code, bank_name, ORDER)
 
-    _per_layout(spark, path, out, "com_nomes_", step)
+    return _per_layout(spark, path, out, NAMED, step)
 
 
 def bank_names_layered(
     spark: SparkSession, path: str, register_path: str, table_path: str, out: str,
     code: str | None = None,
-) -> None:
-    """Bank names from the register first, then from the short table."""
+) -> DataFrame:
+    """Bank names from the register first, then from the short table; see ``bank_names``."""
     register, table_banks = readers.read_lists(spark, register_path), readers.read_lists(spark, table_path)
 
     def step(table: DataFrame) -> DataFrame:
         own = _column(table.drop(SOURCE, ORDER), code, discover.find_bank_code_column)
         return shape.fix_bank_texts(enrich.bank_names_layered(table, register, table_banks, own, ORDER))
 
-    _per_layout(spark, path, out, "com_nomes_", step)
+    return _per_layout(spark, path, out, NAMED, step)
 
 
 def branch_banks(spark: SparkSession, path: str, out: str, uf: str | None = None) -> None:

@@ -27,7 +27,7 @@ def closest_first(points, tolerance):
 
 
 def in_rounds(points, tolerance, blocks, batch):
-    """The rounds of ``match_points`` without Spark: blocks never split rows of one phone and instant."""
+    """The rounds of ``match_points`` without Spark, cut anywhere but within an instant."""
     made, left = set(), sorted(points)
     while left:
         size, parts = -(-len(left) // blocks), [[]]
@@ -35,11 +35,14 @@ def in_rounds(points, tolerance, blocks, batch):
             if len(parts[-1]) >= size and parts[-1][-1][:2] != p[:2]:
                 parts.append([])
             parts[-1].append(p)
+        edges = {
+            n: (parts[n - 1][-1][:2] if n else None, parts[n + 1][0][:2] if n + 1 < len(parts) else None) for n in range(len(parts))
+        }
         left = []
-        for part in parts:
-            table = pd.DataFrame(part, columns=["phone", "ts", "side", "row"])
+        for n, part in enumerate(parts):
+            table = pd.DataFrame(part, columns=["phone", "ts", "side", "row"]).assign(part=n)
             cut = (table.iloc[i : i + batch] for i in range(0, len(table), batch))
-            for out in pair_partition(cut, tolerance, blocks == 1):
+            for out in pair_partition(cut, tolerance, edges, ()):
                 pairs = out[out.voip_row.notna()]
                 made |= set(zip(pairs.voip_row.astype(int), pairs.dialer_row.astype(int), pairs.distance.astype(int)))
                 still = out[out.row.notna()]
@@ -66,22 +69,22 @@ def test_chain_of_equal_distances():
     assert in_rounds(points, 10, 7, 10) == closest_first(points, 10)
 
 
-@pytest.mark.parametrize("run_rows", [40, 300, 500_000])
-def test_hot_phone_is_spread_and_paired_right(spark, run_rows):
+@pytest.mark.parametrize("tasks", [1, 9, 60])
+def test_hot_phone_is_spread_and_paired_right(spark, tasks):
     """One phone holds most calls, dense enough that no gap separates them."""
     generator = random.Random(5)
     points = [("hot", generator.randrange(20_000), n % 2, n) for n in range(1500)]
     points += [(f"p{n % 300}", generator.randrange(20_000), (n // 300) % 2, n) for n in range(1500, 2700)]
     table = spark.createDataFrame(points, "phone string, ts bigint, side bigint, row bigint").repartition(8)
-    pairs = calls.match_points(table, 60, run_rows)
+    pairs = calls.match_points(table, 60, tasks)
     assert {tuple(r) for r in pairs.collect()} == closest_first(points, 60)
     spread = table.repartitionByRange(8, "phone", "ts").where("phone = 'hot'")
     assert spread.select(F.spark_partition_id()).distinct().count() > 2
 
 
-@pytest.mark.parametrize("busy_rows", [15, 60])
-def test_instants_with_very_many_rows(spark, busy_rows):
-    """Rows of one phone and instant outnumber what one task may hold, on one side or on both."""
+@pytest.mark.parametrize("tasks", [3, 25])
+def test_instants_with_very_many_rows(spark, tasks):
+    """Rows of one phone and instant outnumber what one task gets, on one side or on both."""
     generator = random.Random(9)
     points = []
     for ts, voip, dialer in ((100, 80, 30), (130, 0, 90), (150, 20, 0), (400, 70, 0), (700, 50, 50), (735, 0, 3)):
@@ -92,10 +95,15 @@ def test_instants_with_very_many_rows(spark, busy_rows):
     generator.shuffle(numbers)
     points = [(*p, n) for p, n in zip(points, numbers)]
     table = spark.createDataFrame(points, "phone string, ts bigint, side bigint, row bigint").repartition(6)
-    pairs = calls.match_points(table, 40, 50, busy_rows)
+    pairs = calls.match_points(table, 40, tasks)
     assert {tuple(r) for r in pairs.collect()} == closest_first(points, 40)
 
 
+def test_no_points(spark):
+    none = spark.createDataFrame([], "phone string, ts bigint, side bigint, row bigint")
+    assert calls.match_points(none, 40).collect() == []
+
+
 def voip_and_dialer(spark):
     voip = spark.createDataFrame(
         [(0, "5551999990001", "2024-01-01 10:00:00", "0,0250", "30", "a"), (1, "51999990001", "2024-01-01 10:01:00", "x", "5", "b"),

@@ -1,6 +1,7 @@
 import pytest
 
 from roster import functions as R
+from roster.operators import order
 from roster.plans import jobs
 from roster.sources import readers, writers
 
@@ -47,7 +48,7 @@ def test_row_order_over_many_blocks(spark, tmp_path):
     (tmp_path / "big.csv").write_text(f"n;v\n{lines}\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        table = readers.read_lists(spark, str(tmp_path), multi_line=False)
+        table = readers.read_lists(spark, str(tmp_path))
         assert table.rdd.getNumPartitions() > 5
         assert [int(r.n) for r in table.orderBy(readers.ORDER).collect()] == list(range(20_000))
     finally:
@@ -68,7 +69,7 @@ def test_sinks(spark, folder, tmp_path):
     writers.write_id_text(table.where("cpf <> ''"), "cpf", [readers.ORDER], str(tmp_path / "ids"), 3)
     assert sorted((p.parent.name, p.read_text().strip()) for p in (tmp_path / "ids").glob("*/*.txt")) == [("part=001", "012,9,8"), ("part=002", "7")]
     writers.convert_utf8(spark, str(folder), str(tmp_path / "utf8"))
-    headers = {p.parent.name: p.read_text(encoding="utf-8").split("\n")[0] for p in (tmp_path / "utf8").glob("*/*.csv")}
+    headers = {p.parent.name: p.read_text(encoding="utf-8").split("\n")[0] for p in (tmp_path / "utf8").glob("*/part-*")}
     assert headers == {"source_file=a_utf8": "cpf;nome;fone", "source_file=b_utf8": "cpf;nome;uf", "source_file=c_utf8": "cpf;nome;fone"}
 
 
@@ -98,13 +99,13 @@ def test_jobs(spark, folder, tmp_path):
     jobs.merge_folder(spark, str(folder), str(tmp_path / "o6"))
     assert read(spark, tmp_path / "o6").count() == 5
     jobs.keep_columns_alpha(spark, str(folder), ["nome", "uf"], str(tmp_path / "o7"))
-    assert {p.parent.name: p.read_text().split("\n")[0] for p in (tmp_path / "o7").glob("*/*.csv")} == {
+    assert {p.parent.name: p.read_text().split("\n")[0] for p in (tmp_path / "o7").glob("*/part-*")} == {
         "source_file=a": "A", "source_file=b": "A;B", "source_file=c": "A",
     }
     report = jobs.remove_duplicates_per_file(spark, str(folder), "uf", str(tmp_path / "o8"))
     assert {r.source_file: (r.status, r.rows) for r in report.collect()}["b.csv"] == ("ok", 2)
     jobs.enrich_folder_by_cpf(spark, str(folder), str(deny), "cpf", "CPF", str(tmp_path / "o9"))
-    assert {p.name for p in (tmp_path / "o9/com_").glob("source*")} == {"source_file=com_a", "source_file=com_b"}
+    assert {p.name for p in (tmp_path / "o9/side=com_").glob("source*")} == {"source_file=com_a", "source_file=com_b"}
 
 
 def test_call_job(spark, tmp_path):
@@ -152,3 +153,158 @@ def test_id_text_in_one_stream(spark, tmp_path):
     writers.write_id_text(ids, "id", ["n"], str(tmp_path / "all"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "all").glob("part-*")))
     assert text == "".join(f"{i:05d}," for i in range(1000))
+
+
+def lists_of(spark, path, size=None, **how):
+    """Rows of a folder in order, as the reader and as a reader of whole files has them."""
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        rows = readers.read_lists(spark, str(path), **how)
+        return rows, [tuple(r)[:-2] for r in rows.orderBy(readers.ORDER).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("sep, code", [(";", "utf-8"), (",", "cp1252"), ("\t", "utf-8")])
+def test_line_breaks_in_values_of_one_large_file(spark, tmp_path, sep, code):
+    """Every block cuts its own records; those that go over blocks come together."""
+    import csv
+    import random
+
+    rng = random.Random(5)
+    pieces = ["a", "ção", '"', "\n", "\n\n", sep, " ", '"\n"', "x" * 30, "'", "\r\n"]
+    rows = [(str(i), "".join(rng.choices(pieces, k=rng.randrange(1, 9))) + ".", f"z{i}") for i in range(3000)]
+    rows[1500] = ("1500", "long\n" * 4000 + "end", "z")  # over several blocks
+    path = tmp_path / "one"
+    path.mkdir()
+    with open(path / "l.csv", "w", encoding=code, newline="") as f:
+        writer = csv.writer(f, delimiter=sep, lineterminator="\n", quoting=csv.QUOTE_MINIMAL)
+        writer.writerows([("k", "v", "w"), *rows])
+    table, found = lists_of(spark, path, 5000)
+    assert found == rows
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert readers.read_lists(spark, str(path)).rdd.getNumPartitions() > 10
+        assert readers.read_rejects(spark, str(path)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_with_and_without_line_breaks(spark, tmp_path):
+    """Several headers, so blocks are sized anew for the files with line breaks; strays and empty values; a junk line."""
+    (tmp_path / "a.csv").write_text('R\nk;v\n1;"x\ny"\n2;5" pipe\n3;"q"r\n4;""\n')
+    (tmp_path / "b.csv").write_text("R\nk,w\n5,z\n")
+    (tmp_path / "c.csv").write_text('R\nk;v\n"6";"""\n\n"""\n')
+    rows = readers.read_lists(spark, str(tmp_path), skip_first_line=True)
+    found = [(r.source_file, r.k, r.v, r.w) for r in rows.orderBy(readers.ORDER).collect()]
+    assert found == [
+        ("a.csv", "1", "x\ny", ""), ("a.csv", "2", '5" pipe', ""), ("a.csv", "3", '"q"r', ""), ("a.csv", "4", None, ""),
+        ("b.csv", "5", "", "z"), ("c.csv", "6", '"\n\n"', ""),
+    ]
+
+
+def test_rejected_records(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;nome;uf\n1;ana;SP\n2;bia;20;30\n3\n4;eva;RS;;\n\n5;;\n")
+    (tmp_path / "b.csv").write_text('id;nome;uf\n6;"um\ndois";SP\n7;"open;RJ\n8;x;MG\n')
+    (tmp_path / "c.csv").write_text('id;nome;uf\n9;"a;b";PR\n')
+    (tmp_path / "d.csv").write_text('id;nome;uf\n10;"a\nb";PR;"x\ny"\n')
+    folder = readers.probe(spark, str(tmp_path))
+    rows = readers.read_lists(spark, folder)
+    assert [(r.id, r.nome, r.uf) for r in rows.orderBy(readers.ORDER).collect()] == [
+        ("1", "ana", "SP"), ("3", None, None), ("4", "eva", "RS"), ("5", None, None), ("6", "um\ndois", "SP"), ("9", "a;b", "PR"),
+    ]
+    assert rows.count() == 6
+    rejects = {(r.source_file, r.reason, r.lines, r.record) for r in readers.read_rejects(spark, folder).collect()}
+    assert rejects == {
+        ("a.csv", "long", 1, "2;bia;20;30"), ("a.csv", "short", 1, "3"), ("b.csv", "unclosed", 2, '"'),
+        ("d.csv", "long", 3, '10;"a\nb";PR;"x\ny"'),
+    }
+    report = {r.source_file: (r.lines, r.short, r.long, r.unclosed, r.status) for r in readers.quality_report(spark, folder).collect()}
+    assert report == {
+        "a.csv": (7, 1, 1, 0, "rejected rows: 1"), "b.csv": (5, 0, 0, 1, "rejected rows: 1"),
+        "c.csv": (2, 0, 0, 0, "ok"), "d.csv": (4, 0, 1, 0, "rejected rows: 1"),
+    }
+
+
+def test_equal_names_in_two_folders_and_old_line_ends(spark, tmp_path):
+    for folder, end in (("x", "\r"), ("y", "\r\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "l.csv").write_bytes(end.join(["k;v", "1;a", "2;b", ""]).encode())
+    table = readers.read_lists(spark, str(tmp_path / "*"))
+    assert sorted((r.source_file, r.k, r.v) for r in table.collect()) == [
+        ("x/l.csv", "1", "a"), ("x/l.csv", "2", "b"), ("y/l.csv", "1", "a"), ("y/l.csv", "2", "b"),
+    ]
+    assert {r.source_file: r.lines for r in readers.quality_report(spark, str(tmp_path / "*")).collect()} == {"x/l.csv": 3, "y/l.csv": 3}
+
+
+def test_one_line_of_ids_is_read_by_many_tasks(spark, tmp_path):
+    ids = spark.range(5000).selectExpr("lpad(string(id), 14, '0') AS id", "id AS n")
+    writers.write_id_text(ids.coalesce(1), "id", ["n"], str(tmp_path / "all"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "all").glob("part-*")))
+    (tmp_path / "one.txt").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        back = readers.read_id_text(spark, str(tmp_path / "one.txt"))
+        assert back.rdd.getNumPartitions() > 5
+        assert sorted(r.CNPJ for r in back.collect()) == [f"{i:014d}" for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_of_several_headers_in_one_write(spark, tmp_path):
+    """Line breaks, quotes, blanks and blank lines come back as they were, in file order, below their own header."""
+    rows = {"a.csv": [("1", ' x "y"\n\n;z '), ("2", None), ("3", "ç")], "b.csv": [("9",), ("8",)]}
+    names = {"a.csv": "id;v", "b.csv": "id"}
+    for name, lines in rows.items():
+        text = "".join(";".join('"' + (v or "").replace('"', '""') + '"' for v in line) + "\n" for line in lines)
+        (tmp_path / name).write_text(names[name] + "\n" + text, encoding="utf-8")
+    folder = readers.probe(spark, str(tmp_path))
+    writers.write_per_source(readers.tables(folder), str(tmp_path / "out"), "novo_", clean=False)
+    back = readers.read_lists(spark, str(tmp_path / "out" / "*"))
+    found = [(r.source_file.split("/")[0], r.id, r.v) for r in back.orderBy(readers.ORDER).collect()]
+    assert found == [
+        ("source_file=novo_a", "1", 'x "y"\n\n;z'), ("source_file=novo_a", "2", None), ("source_file=novo_a", "3", "ç"),
+        ("source_file=novo_b", "9", ""), ("source_file=novo_b", "8", ""),
+    ]
+
+
+def test_file_order_needs_no_exchange(spark, tmp_path):
+    for n in range(4):
+        lines = "".join(f'{n}-{i};"a\nb"\n' if i % 50 == 7 and n == 2 else f"{n}-{i};x\n" for i in range(300))
+        (tmp_path / f"f{n}.csv").write_text("k;v\n" + lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        table = readers.read_lists(spark, str(tmp_path))
+        numbered = order.number_file_rows(table, "n")
+        expected = [f"{n}-{i}" for n in range(4) for i in range(300)]
+        assert [r.k for r in numbered.orderBy("n").collect()] == expected
+        assert [r.n for r in numbered.select("n").orderBy("n").collect()] == list(range(1, 1201))
+        plain = readers.read_lists(spark, str(tmp_path / "f[013].csv"))
+        parts = order.split_in_parts(plain, 250)
+        text = parts._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in text and "Exchange range" not in text and "SortMergeJoin" not in text
+        assert sorted(r["count"] for r in parts.groupBy("part").count().collect()) == [150, 250, 250, 250]
+        # rows that were exchanged fall back to sorting
+        moved = order.number_file_rows(plain.repartition(5, "k"), "n")
+        assert [r.k for r in moved.orderBy("n").collect()] == [k for k in expected if not k.startswith("2")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_file_without_the_column_does_not_end_a_job(spark, tmp_path):
+    base = tmp_path / "base"
+    base.mkdir()
+    (base / "a.csv").write_text("CPF;valor;tel\n1;2;51999990001\n1;3;51999990001\n2;1;51888880001\n")
+    (base / "b.csv").write_text("nome;uf\nx;RS\n")
+    deny = tmp_path / "deny"
+    deny.mkdir()
+    (deny / "d.csv").write_text("num\n51888880001\n")
+    report = jobs.keep_largest_per_file(spark, str(base), "CPF", "valor", str(tmp_path / "o1"))
+    assert {r.source_file: r.status for r in report.collect()} == {"a.csv": "ok", "b.csv": "missing columns: CPF, valor"}
+    assert read(spark, tmp_path / "o1").count() == 2
+    figures = jobs.remove_denied_numbers_per_file(spark, str(base), str(deny), "num", str(tmp_path / "o2"))
+    found = {r.source_file: (r.status, r.rows_in, r.rows_removed) for r in figures.collect()}
+    assert found == {"a.csv": ("ok", 3, 1), "b.csv": ("no fitting column", None, None)}
+    report = jobs.enrich_folder_by_cpf(spark, str(base), str(base / "a.csv"), "CPF", "CPF", str(tmp_path / "o3"))
+    assert {r.source_file: r.status for r in report.collect()}["b.csv"] == "missing columns: CPF"
