@@ -81,7 +81,8 @@ def match_points(points: DataFrame, tolerance: int, tasks: int | None = None) ->
     dialler row). ``tasks``: partitions of the first round, by default those of the session.
     """
     schema = ", ".join(f"{name} {kind}" for name, kind in OUTPUT.items())
-    made, left = [], points.select(*POINT)
+    # points may be dear to compute, and a range exchange reads its input twice
+    made, left = [], cut_lineage(points.select(*POINT))
     per_task = None
     while True:
         cuts = left.repartitionByRange(*POINT) if tasks is None else left.repartitionByRange(tasks, *POINT)

@@ -37,48 +37,41 @@ _ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("
 _NUMBER = "^&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 
-def _character(number: Column) -> Column:
-    """The character of a code point given as decimal digits, or as ``x`` and hexadecimal ones; null if there is none."""
-    code = F.when(F.lower(F.left(number, F.lit(1))) == "x", F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
-    known = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
-    return F.when(known, F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(32)), 8, "0")), "UTF-32BE"))
-
-
-def unescaped(value: Column) -> Column:
-    """Text with numeric entities and the named ones of HTML's own marks resolved, each once."""
-
-    def piece(p: Column) -> Column:
-        number = F.regexp_extract(p, _NUMBER, 1)
-        out = F.when(number != "", F.coalesce(F.concat(_character(number), F.regexp_replace(p, _NUMBER, "")), p))
-        for entity, character in _ENTITIES:
-            out = out.when(p.startswith(entity), F.concat(F.lit(character), F.substring(p, F.lit(len(entity) + 1), F.length(p))))
-        return out.otherwise(p)
-
-    return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(F.split(value, "(?=&)"), piece), "")).otherwise(value)
-
-
-def without_dots(address: Column) -> Column:
-    """A whole address without the segments ``.`` and ``..`` in its path, the latter with the segment before."""
-    origin, path = F.regexp_extract(address, _ORIGIN, 0), F.regexp_extract(address, rf"{_ORIGIN}([^?#]*)", 1)
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.array_append(acc, s)),
+def unescaped(name: str) -> Column:
+    """The column's text with numeric entities and the named ones of HTML's own marks resolved, each once."""
+    number = f"regexp_extract(p, r'{_NUMBER}', 1)"
+    code = f"int(if(lower(left({number}, 1)) = 'x', conv(substring({number}, 2), 16, 10), {number}))"
+    # no code point, no character: the entity stays
+    character = f"if({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111, decode(unhex(lpad(hex({code}), 8, '0')), 'UTF-32'), NULL)"
+    marks = " ".join(
+        f"WHEN startswith(p, '{entity}') THEN concat({quoted}, substring(p, {len(entity) + 1}))"
+        for entity, quoted in ((e, f"'{c}'" if c != "'" else f'"{c}"') for e, c in _ENTITIES)
     )
-    folder = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
-    rest = F.substring(address, F.length(origin) + F.length(path) + 1, F.length(address))
-    whole = F.concat(origin, F.lit("/"), F.array_join(folder, "/"), rest)
-    return F.when((origin != "") & path.rlike(r"/\.\.?(/|$)"), whole).otherwise(address)
-
-
-def resolved(href: Column | str, url: Column | str) -> Column:
-    """The address a link leads to from a page: absolute, host, root or folder relative, or a fragment; dots resolved."""
-    link, base = strip(column(href)), column(url)
+    return F.expr(f"""
+        CASE WHEN contains({name}, '&') THEN array_join(transform(split({name}, '(?=&)'), p -> CASE
+            WHEN {number} <> '' THEN coalesce(concat({character}, regexp_replace(p, r'{_NUMBER}', '')), p) {marks} ELSE p END), '')
+        ELSE {name} END""")
+
+
+def without_dots(name: str) -> Column:
+    """The column's whole address without the segments ``.`` and ``..`` in its path, the latter with the segment before."""
+    origin, path = f"regexp_extract({name}, r'{_ORIGIN}', 0)", f"regexp_extract({name}, r'{_ORIGIN}([^?#]*)', 1)"
+    kept = f"""aggregate(slice(split({path}, '/'), 2, greatest(size(split({path}, '/')) - 1, 0)), CAST(array() AS array<string>), (acc, s) ->
+        CASE WHEN s = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN s = '.' THEN acc ELSE array_append(acc, s) END)"""
+    folder = f"if({path} RLIKE r'/\\.\\.?$', array_append({kept}, ''), {kept})"
+    rest = f"substring({name}, length({origin}) + length({path}) + 1)"
+    return F.expr(f"""
+        CASE WHEN contains({name}, '/.') AND {path} RLIKE r'/\\.\\.?(/|$)' THEN concat({origin}, '/', array_join({folder}, '/'), {rest})
+        ELSE {name} END""")
+
+
+def _joined(link: Column, base: Column) -> Column:
+    """The address a link leads to from a page: absolute, host, root or folder relative, or a fragment."""
     scheme = F.regexp_extract(base, _SCHEME, 0)
     origin = F.regexp_extract(base, _ORIGIN, 0)
     path = F.regexp_extract(base, r"^[^?#]*", 0)
     folder = F.when(path == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_extract(path, r"^.*/", 0))
-    target = (
+    return (
         F.when(link.rlike(_SCHEME), link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(origin, link))
@@ -87,11 +80,17 @@ def resolved(href: Column | str, url: Column | str) -> Column:
         .when(link.startswith("?"), F.concat(path, link))
         .otherwise(F.concat(folder, link))
     )
-    return without_dots(target)
 
 
-def _href(attributes: Column) -> Column:
-    return unescaped(F.concat(*[F.regexp_extract(attributes, _HREF, i) for i in (1, 2, 3)]))
+def _with_target(rows: DataFrame, name: str, attributes: Column, base: str, href: str) -> DataFrame:
+    """Add ``href``, the value in an anchor's attributes, and ``name``, its address from ``base``.
+
+    In steps, each with a column of its own, so that Spark computes every step once per row.
+    """
+    raw = F.concat(*[F.regexp_extract(attributes, _HREF, i) for i in (1, 2, 3)])
+    rows = rows.withColumn("_raw", raw).withColumn(href, unescaped("_raw")).withColumn("_link", strip(href))
+    rows = rows.withColumn("_joined", _joined(F.col("_link"), F.col(base)))
+    return rows.withColumn(name, without_dots("_joined")).drop("_raw", "_link", "_joined")
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -103,19 +102,18 @@ def extract_links(pages: DataFrame) -> DataFrame:
     """
     found = pages.select("page_id", "url", F.regexp_extract_all("html", F.lit(_ANCHORS_AND_BASE), F.lit(0)).alias("_tags"))
     is_base = lambda tag: F.lower(F.left(tag, F.lit(5))) == "<base"
-    bases = F.filter(F.transform(F.filter("_tags", is_base), lambda t: _href(F.regexp_extract(t, _BASE, 1))), lambda h: strip(h) != "")
+    first = F.get(F.filter("_tags", lambda t: is_base(t) & F.regexp_extract(t, _BASE, 1).rlike(_HREF)), F.lit(0))
+    found = found.withColumn("_of_base", F.coalesce(F.regexp_extract(first, _BASE, 1), F.lit("")))
+    found = _with_target(found, "_base", F.col("_of_base"), "url", "_base_href")
     anchors = F.transform(
         F.filter("_tags", lambda t: ~is_base(t)),
         lambda t: F.struct(F.regexp_extract(t, _ANCHOR, 1).alias("attributes"), F.regexp_extract(t, _ANCHOR, 2).alias("text")),
     )
     linked = F.filter(anchors, lambda a: a["attributes"].rlike(_HREF))
-    base = F.coalesce(resolved(F.get(bases, F.lit(0)), "url"), F.col("url"))
-    rows = found.withColumn("_base", base).select("page_id", "url", "_base", F.posexplode(linked).alias("position", "_a"))
-    rows = rows.withColumn("href", _href(F.col("_a.attributes")))
-    return rows.select(
-        "page_id", "url", "position", "href", resolved("href", "_base").alias("target"),
-        strip(unescaped(F.regexp_replace("_a.text", "(?s)<[^>]*>", ""))).alias("text"),
-    )
+    rows = found.select("page_id", "url", "_base", F.posexplode(linked).alias("position", "_a"))
+    rows = _with_target(rows, "target", F.col("_a.attributes"), "_base", "href")
+    rows = rows.withColumn("_plain", F.regexp_replace("_a.text", "(?s)<[^>]*>", ""))
+    return rows.select("page_id", "url", "position", "href", "target", strip(unescaped("_plain")).alias("text"))
 
 
 def filter_links(

@@ -47,20 +47,29 @@ class Reading:
 
 @dataclass(frozen=True)
 class Folder:
-    """What the probe found out: a row per file in ``files``, and the files to read, by kind, in file-name order.
+    """What the probe found out: a row per file in ``files``, and the files to read, by kind, in order of their paths.
 
     ``files``: path, source_file, encoding, sep, head (the header line), lines, torn. Files without any line have no head.
     """
 
-    files: DataFrame
+    seen: DataFrame
     blocks: DataFrame
+    names: tuple[str, ...]
     readings: tuple[Reading, ...]
     root: str
     header_line: int
 
     @property
     def spark(self) -> SparkSession:
-        return self.files.sparkSession
+        return self.blocks.sparkSession
+
+    @property
+    def files(self) -> DataFrame:
+        listed = self.spark.createDataFrame([(n,) for n in self.names], "path string").select(_decoded(F.col("path")).alias("path"))
+        return (
+            listed.join(self.seen, "path", "left").withColumn(SOURCE, _source(F.col("path"), self.root))
+            .withColumns({"encoding": F.coalesce("encoding", F.lit(UTF8)), "sep": F.coalesce("sep", F.lit(",")), "lines": F.coalesce("lines", F.lit(0))})
+        )
 
 
 def find_separator(line: str) -> str:
@@ -118,7 +127,6 @@ def probe(
     paths = [path] if isinstance(path, str) else list(path)
     # the listing Spark's readers make on the driver anyway; scans don't show empty files
     names = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).inputFiles()
-    listed = spark.createDataFrame([(n,) for n in names], "path string").select(_decoded(F.col("path")).alias("path"))
     blocks = cut_lineage(scan_blocks(text_lines(spark, paths, glob), header_line))
     seen = blocks.groupBy(_decoded(F.col("path")).alias("path")).agg(
         F.every("valid").alias("valid"), F.sum("lines").alias("lines"), F.max("head").alias("head"),
@@ -137,30 +145,24 @@ def probe(
     torn = F.col("torn0")
     for k, s in enumerate(SEPARATORS):
         torn = F.when(F.col("sep") == s, F.col(f"torn{k}")).otherwise(torn)
-    files = (
-        listed.join(seen, "path", "left")
-        .withColumn("encoding", F.lit(encoding) if encoding else F.when(F.coalesce("valid", F.lit(True)), UTF8).otherwise(SINGLE_BYTE))
+    seen = (
+        seen.withColumn("encoding", F.lit(encoding) if encoding else F.when(F.col("valid"), UTF8).otherwise(SINGLE_BYTE))
         .withColumn("text", F.when(F.col("encoding") == SINGLE_BYTE, single).otherwise(F.make_valid_utf8(F.col("head").cast("string"))))
         .withColumn("head", F.nullif(first, F.lit("")))
         .withColumn("sep", F.lit(sep) if sep else F.coalesce(found, F.lit(",")))
         .select(
-            "path", "encoding", "sep", "head", F.when(old, F.col("lines") + F.col("returns")).otherwise(F.coalesce("lines", F.lit(0))).alias("lines"),
+            "path", "encoding", "sep", "head", F.when(old, F.col("lines") + F.col("returns")).otherwise(F.col("lines")).alias("lines"),
             F.coalesce(torn & ~old, F.lit(False)).alias("torn"),
         )
     )
-    files = cut_lineage(files)
-    ends = files.agg(F.min("path"), F.max("path")).first()
-    shared = os.path.commonprefix([p for p in ends if p is not None])
+    shared = os.path.commonprefix([_plain_path(n) for n in names])
     root = shared[: shared.rfind("/") + 1]
-    files = files.withColumn(SOURCE, _source(F.col("path"), root))
-    kinds = files.where("head IS NOT NULL").groupBy("head", "sep", "encoding", "torn").agg(
-        F.min(SOURCE).alias("first"), F.array_sort(F.collect_list("path")).alias("paths")
-    )
+    kinds = seen.where("head IS NOT NULL").groupBy("head", "sep", "encoding", "torn").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     readings = tuple(
         Reading(_header(k["head"], k["sep"]), k["sep"], k["encoding"], k["torn"], tuple(k["paths"]))
-        for k in kinds.orderBy("first").collect()  # a row for each kind of file
+        for k in sorted(kinds.collect(), key=lambda k: k["paths"][0])  # a row for each kind of file
     )
-    return Folder(files, blocks, readings, root, header_line)
+    return Folder(seen, blocks, tuple(names), readings, root, header_line)
 
 
 def _schema(names: Sequence[str]) -> StructType:

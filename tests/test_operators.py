@@ -1,6 +1,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roster import functions as R
@@ -290,6 +293,64 @@ def test_anchor_forms(spark):
     ]
 
 
+def test_resolved_addresses(spark):
+    """Golden pages: dot segments, numeric entities, a base element, entities that are none."""
+    pages = [
+        (1, "http://h.org/a/b/c.html", '<a href="../x">1</a><a href="./y/./z?q=../r">2</a><a href="/../../w/..">3</a><a href="..">4</a>'
+         '<a href="http://o.org/p/../q/#f/../g">5</a><a href="mailto:a/../b">6</a>'),
+        (2, "http://h.org", '<base target="_top"><BASE HREF="/root/sub/"><a href="n&#38;m&#x26;o">A&#233;&#x1F600;&amp;#38;&lt;</a><a href="&#0;&#xD800;&#9999999;&bad;">x</a>'),
+        (3, "http://h.org/d/e", '<a href="f">&nbsp;t&#8364;</a>'),
+    ]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    got = [(r.page_id, r.href, r.target, r.text) for r in links.extract_links(df).orderBy("page_id", "position").collect()]
+    assert got == [
+        (1, "../x", "http://h.org/a/x", "1"), (1, "./y/./z?q=../r", "http://h.org/a/b/y/z?q=../r", "2"), (1, "/../../w/..", "http://h.org/", "3"),
+        (1, "..", "http://h.org/a/", "4"), (1, "http://o.org/p/../q/#f/../g", "http://o.org/q/#f/../g", "5"), (1, "mailto:a/../b", "mailto:a/../b", "6"),
+        (2, "n&m&o", "http://h.org/root/sub/n&m&o", "Aé😀&#38;<"),
+        (2, "&#0;&#xD800;&#9999999;&bad;", "http://h.org/root/sub/&#0;&#xD800;&#9999999;&bad;", "x"), (3, "f", "http://h.org/d/f", "t€"),
+    ]
+
+
+def test_bounded_preview(spark):
+    """A task hands on at most ``examples`` values a column."""
+    df = spark.range(0, 10_000, 1, 4).select(F.col("id").alias("k"), (F.col("id") % 7).cast("string").alias("a"), F.concat(F.lit("v"), 9_999 - F.col("id")).alias("b"))
+    shown = discover.column_preview(df.repartition(4, "a").select("a", "b", "k"), "k")
+    found = sorted((r.column, r.rank, r.value) for r in shown.where("column <> 'k'").collect())
+    assert found == [("a", i + 1, str(i)) for i in range(5)] + [("b", i + 1, f"v{9_999 - i}") for i in range(5)]
+    placed = df.withColumn("o", F.struct("k"))
+    assert [r.value for r in discover.column_preview(placed.select("a", "o"), "o", 2).where("position = 0").orderBy("rank").collect()] == ["0", "1"]
+    firsts = [m for m in plan(shown).split("\n") if "MapInArrow" in m]
+    assert firsts
+
+
+def test_kept_sketches_are_united(spark):
+    days = [spark.range(n * 3000, n * 3000 + 6000).select((F.col("id") % 20_000).cast("string").alias("cpf"), F.lit(f"d{n}").alias("day")) for n in range(5)]
+    kept = [dedupe.key_sketches(d, "cpf", ["day"]) for d in days]
+    united = dedupe.sketched_count(reduce(DataFrame.unionByName, kept)).first()
+    assert united.rows == 30_000 and abs(united.unique_keys - 18_000) < 18_000 * 4 * 1.04 / 128
+    alone = {r.day: r.unique_keys for r in dedupe.sketched_count(reduce(DataFrame.unionByName, kept), ["day"]).collect()}
+    assert all(abs(n - 6000) < 6000 * 4 * 1.04 / 128 for n in alone.values()) and len(alone) == 5
+
+
+def test_sides_come_from_one_join(spark, tmp_path):
+    spark.range(100).selectExpr("concat('Nome ', id) AS nome", "string(id) AS cpf").write.parquet(str(tmp_path / "base"))
+    spark.range(300).selectExpr("concat('nome ', id % 50) AS n", "lpad(string(id % 120), 14, '0') AS c", "string(id % 40) AS k", "id").write.parquet(str(tmp_path / "ref"))
+    base, ref = spark.read.parquet(str(tmp_path / "base")), spark.read.parquet(str(tmp_path / "ref"))
+    tagged = enrich.tag_match_count(base, ref, "nome", "n", "c", "id")._jdf.queryExecution().executedPlan().toString()
+    assert tagged.count("FileScan") == 1 and tagged.count("Join") == 2  # the other scan made the pairs
+    marked = enrich.mark_enriched(base, ref, "cpf", "k")._jdf.queryExecution().executedPlan().toString()
+    assert marked.count("FileScan") == 2 and marked.count("Join") == 1
+
+
+def test_blank_ids_match_nothing(spark):
+    base = spark.createDataFrame([("", "a"), (" ", "b"), (None, "c"), ("7", "d")], "cpf string, v string")
+    data = spark.createDataFrame([("", 1), ("-", 2), (None, 3), ("07", 4)], "cpf string, w int")
+    matched, unmatched = enrich.enrich_by_cpf(base, data, "cpf", "cpf")
+    assert rows(matched, "v", "w") == [("d", 4)] and rows(unmatched, "v") == [("a",), ("b",), ("c",)]
+    zeros, _ = enrich.enrich_by_cpf(base, data, "cpf", "cpf", normalise=R.cpf)
+    assert zeros.count() == 5
+
+
 def test_zeroed_amounts_are_counted(spark):
     df = spark.createDataFrame([("1", "200000", "x"), ("90000", "90000", "x")], "a string, b string, t string")
     assert rows(reports.zeroed_amounts(df, {"t": ["a", "b"]}), "rows", "zeroed_parts", "zeroed_totals") == [(2, 1, 1)]
