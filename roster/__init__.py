@@ -1,8 +1 @@
 """Contact, customer and call list preparation on Spark DataFrames."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions reach the workers whole, so the package need not be installed there
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roster.functions.text import column, strip, text
 
 # Fixed values.
-NUMBER = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+NUMBER_SIGNS = "0123456789.+-eE"
 SUSPICIOUS = 100000.0  # amounts above this are taken as reading errors
 TARIFF_PER_MINUTE = 0.05
 TARIFF_MINIMUM = 0.025
@@ -20,9 +20,10 @@ MONTH, WEEK, DAY, HOUR, MINUTE = 30 * 86400, 7 * 86400, 86400, 3600, 60
 def plain_number(c: Column | str) -> Column:
     """Double for plain decimal text (point, optional exponent), else null.
 
-    The pattern keeps out forms a cast would take, such as ``1d``, ``NaN`` or ``Infinity``.
+    Of texts with other characters a cast would take some, such as ``1d``, ``NaN`` or ``Infinity``.
     """
-    return F.regexp_extract(text(c), NUMBER, 1).try_cast("double")
+    value = strip(c)
+    return F.when(F.translate(value, NUMBER_SIGNS, "") == "", value.try_cast("double"))
 
 
 def _swap(value: Column, old: str, new: str) -> Column:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roster.functions.text import column, strip, text
+from roster.session import ship
+
+ship(__name__)
 
 # Name parts that mark columns, in order of trust.
 PHONE_WORDS = ("telefone", "fone", "phone", "celular", "mobile", "numero", "num", "number")

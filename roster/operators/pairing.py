@@ -17,6 +17,10 @@ from collections.abc import Collection, Iterator, Mapping
 import numpy as np
 import pandas as pd
 
+from roster.session import ship
+
+ship(__name__)
+
 VOIP, DIALER = 0, 1
 _FAR = np.iinfo(np.int64).max
 

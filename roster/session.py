@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(module: str) -> None:
+    """Let a module's functions reach the workers whole, so that these need not have the package installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(app: str = "roster", cores: int | str = "*", memory: str = "16g") -> SparkSession:
     """Session for tests and the bench; on a cluster pass your own session to the operators."""
     return (

@@ -21,6 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roster.session import ship
+
+ship(__name__)
+
 SEPARATORS = (";", ",", "\t")  # fixed value: candidates, earlier wins a tie
 #: A value with more bytes of lines than this is taken as one whose quote was never closed.
 RECORD_BYTES = 8 << 20

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from roster.functions.text import column, slug, text
 from roster.operators.order import split_in_parts
 from roster.operators.shape import clean_id_columns
+from roster.session import ship
 from roster.sources.readers import LISTS, ORDER, SOURCE, Folder, read_sources
 
+ship(__name__)
+
 BOM = "\ufeff"
 
 
