@@ -1,4 +1,4 @@
-"""Call matching: clicks stand in for VoIP calls, purchases for dialler calls."""
+"""Call matching: every event has a side; clicks, views and signups stand in for VoIP calls, the others for dialler calls."""
 
 from pyspark.sql import functions as F
 
@@ -8,11 +8,12 @@ from roster import functions as R
 from roster.operators import calls, reports
 
 TOLERANCE = 14400
+VOIP, DIALER = ("click", "view", "signup"), ("purchase", "error")
 
 
-def _calls(t, kind, prefix):
+def _calls(t, kinds, prefix):
     """Calls with text times (whole seconds), text prices and durations."""
-    return t.events.where(F.col("event_type") == kind).select(
+    return t.events.where(F.col("event_type").isin(*kinds)).select(
         F.col("event_id").alias("row"),
         joined(prefix, F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("fone"),
         R.parse_ts(F.date_format("ts", "dd/MM/yyyy HH:mm:ss")).alias("ts"),
@@ -22,11 +23,11 @@ def _calls(t, kind, prefix):
 
 
 def voip(t):
-    return _calls(t, "click", "+55 (51) 9").withColumnRenamed("fone", "numero")
+    return _calls(t, VOIP, "+55 (51) 9").withColumnRenamed("fone", "numero")
 
 
 def dialer(t):
-    return _calls(t, "purchase", "(51) 9").withColumnRenamed("price", "agente")
+    return _calls(t, DIALER, "(51) 9").withColumnRenamed("price", "agente")
 
 
 def pairs(t):
@@ -34,8 +35,8 @@ def pairs(t):
 
 
 # Closest-first pairing as a fold over the candidates of each phone in order of distance.
-PAIRS = f"""v AS (SELECT event_id, user_id, date_trunc('second', ts) AS ts, value FROM events WHERE event_type = 'click'),
-d AS (SELECT event_id, user_id, date_trunc('second', ts) AS ts, value FROM events WHERE event_type = 'purchase'),
+PAIRS = f"""v AS (SELECT event_id, user_id, date_trunc('second', ts) AS ts, value FROM events WHERE event_type IN {VOIP}),
+d AS (SELECT event_id, user_id, date_trunc('second', ts) AS ts, value FROM events WHERE event_type IN {DIALER}),
 cand AS (SELECT v.user_id AS u, v.event_id AS i, d.event_id AS j, abs(epoch_us(v.ts) - epoch_us(d.ts)) AS dist,
     row_number() OVER (PARTITION BY v.user_id ORDER BY abs(epoch_us(v.ts) - epoch_us(d.ts)), v.event_id, d.event_id) AS n
   FROM v JOIN d ON v.user_id = d.user_id AND abs(epoch_us(v.ts) - epoch_us(d.ts)) <= {TOLERANCE}000000),
@@ -73,12 +74,12 @@ def _(t):
 
 @query(
     "calls_absent",
-    """SELECT event_id AS row FROM events WHERE event_type = 'signup' AND user_id NOT IN
-    (SELECT user_id FROM events WHERE event_type = 'click' AND value > 150)""",
+    f"""SELECT event_id AS row FROM events WHERE event_type IN {DIALER} AND user_id NOT IN
+    (SELECT user_id FROM events WHERE event_type IN {VOIP} AND value > 150)""",
 )
 def _(t):
     called = voip(t).where(R.parse_decimal("price") > 150)
-    return calls.calls_absent(_calls(t, "signup", "(51) 9"), called, "fone", "numero").select("row")
+    return calls.calls_absent(dialer(t), called, "fone", "numero").select("row")
 
 
 def _cohort(name, where):
@@ -102,16 +103,16 @@ def _(t):
 
 @query(
     "absent_report",
-    """SELECT count(*) AS rows, count(DISTINCT user_id) AS phones,
+    f"""SELECT count(*) AS rows, count(DISTINCT user_id) AS phones,
       strftime(min(ts), '%d/%m/%Y %H:%M:%S') AS first_ts, strftime(max(ts), '%d/%m/%Y %H:%M:%S') AS last_ts, 0::BIGINT AS bad_ts,
       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS seconds,
       round(CAST(sum(CASE WHEN value >= 1 THEN greatest(0.025, CAST(value AS DECIMAL(18,2)) / 60 * 0.05) ELSE 0 END) AS DOUBLE), 4) AS charge,
       count(*) FILTER (WHERE value >= 1) AS charged_rows, count(*) FILTER (WHERE value < 1) AS free_rows
-    FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND value > 150)""",
+    FROM events WHERE event_type IN {DIALER} AND user_id NOT IN (SELECT user_id FROM events WHERE event_type IN {VOIP} AND value > 150)""",
 )
 def _(t):
     called = voip(t).where(R.parse_decimal("price") > 150)
-    absent = calls.calls_absent(_calls(t, "signup", "(51) 9"), called, "fone", "numero")
+    absent = calls.calls_absent(dialer(t), called, "fone", "numero")
     report = calls.absent_report(absent, "fone", "ts", "seconds")
     return report.withColumns(
         {"first_ts": R.ts_br("first_ts"), "last_ts": R.ts_br("last_ts"), "charge": F.round("charge", 4)}

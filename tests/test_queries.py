@@ -43,3 +43,23 @@ def test_entry(spark):
 def test_query(spark, db, check, name):
     ours = QUERIES[name](spark, str(FOLDER)).toPandas()
     assert name not in ORACLES or check.compare(ours, db.execute(ORACLES[name]).df()).startswith("ok")
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers don't find the package by their folder or path; its functions are sent to them."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from queries import QUERIES
+from roster.session import local_session
+spark = local_session("elsewhere", 2, "2g")
+for name in ("match_calls", "values_with_line_breaks", "column_preview", "several_headers_written"):
+    assert QUERIES[name](spark, {str(FOLDER)!r}).count() > 0
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]

@@ -308,3 +308,17 @@ def test_a_file_without_the_column_does_not_end_a_job(spark, tmp_path):
     assert found == {"a.csv": ("ok", 3, 1), "b.csv": ("no fitting column", None, None)}
     report = jobs.enrich_folder_by_cpf(spark, str(base), str(base / "a.csv"), "CPF", "CPF", str(tmp_path / "o3"))
     assert {r.source_file: r.status for r in report.collect()}["b.csv"] == "missing columns: CPF"
+
+
+def test_a_job_scans_a_folder_twice(spark, tmp_path, monkeypatch):
+    """The probe reads all bytes once, and so do the rows; the report and the rows share the probe."""
+    for n in range(3):
+        (tmp_path / f"f{n}.csv").write_text("CPF;v\n1;2\n")
+    scans = []
+    for name in ("text_lines", "_scan"):
+        real = getattr(readers, name)
+        monkeypatch.setattr(readers, name, lambda *a, _real=real, _name=name, **k: scans.append(_name) or _real(*a, **k))
+    folder = readers.probe(spark, str(tmp_path))
+    assert len(folder.readings) == 1 and len(folder.readings[0].paths) == 3  # one row at the driver for three equal files
+    assert readers.read_lists(spark, folder).count() == 3
+    assert scans == ["text_lines", "_scan"]
