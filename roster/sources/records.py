@@ -299,8 +299,8 @@ def fault(record: Column, sep: str, columns: int) -> Column:
     bare = F.replace(record, F.lit('""'), F.lit(""))
     plain = F.regexp_replace(bare, rf'(^|{s})"[^"]*+"(?={s}|$)', "$1")
     fields = F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
-    # quoted values left their separators, so empty ones count as filled only if they had text
-    blank_end = F.length(record) - F.length(F.rtrim(F.replace(record, F.lit("\r"), F.lit("")), F.lit(sep)))
+    line = F.rtrim(record, F.lit("\r"))
+    blank_end = F.length(line) - F.length(F.rtrim(line, F.lit(sep)))  # separators with nothing after them
     return (
         F.when(plain.rlike(rf'(?:^|{s})"[^"]*$'), "unclosed")
         .when(fields - blank_end > columns, "long")
