@@ -59,4 +59,4 @@ def test_queries_agree_with_sql(spark, name):
 
 
 def test_names():
-    assert [int(n.split("_")[0][2:]) for n in sorted(QUERIES, key=lambda n: int(n.split("_")[0][2:]))] == list(range(1, 11))
+    assert [int(n.split("_")[0][2:]) for n in sorted(QUERIES, key=lambda n: int(n.split("_")[0][2:]))] == list(range(1, 14))
