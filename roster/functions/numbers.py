@@ -22,8 +22,15 @@ def plain_number(c: Column | str) -> Column:
 
     Of texts with other characters a cast would take some, such as ``1d``, ``NaN`` or ``Infinity``.
     """
-    value = strip(c)
-    return F.when(F.translate(value, NUMBER_SIGNS, "") == "", value.try_cast("double"))
+    return stripped_number(strip(c))
+
+
+def stripped_number(c: Column | str) -> Column:
+    """``plain_number`` of a text without white space around it."""
+    value = text(c)
+    # an empty text is no number either way, but a cast that fails is slow
+    signs_only = (value != "") & (F.translate(value, NUMBER_SIGNS, "") == "")
+    return F.when(signs_only, value.try_cast("double"))
 
 
 def _swap(value: Column, old: str, new: str) -> Column:
@@ -96,20 +103,30 @@ def excel_text(amount: Column | str, places: int = 2) -> Column:
     return F.coalesce(fixed(amount, places), F.lit(""))
 
 
-def to_float_capped(c: Column | str, limit: float | None = SUSPICIOUS) -> Column:
-    """Number for totals: blank and bad text count 0, and so does anything above ``limit``, if there is one."""
-    value = plain_number(_localised(text(c)))
+def amount_text(c: Column | str) -> Column:
+    """The text that ``stripped_number`` reads as the number for totals."""
+    return strip(_localised(text(c)))
+
+
+def capped(amount: Column | str, limit: float | None = SUSPICIOUS) -> Column:
+    """``to_float_capped`` of a text whose amount is already read."""
+    value = column(amount)
     if limit is None:
         return F.coalesce(value, F.lit(0.0))
     kept = value * (F.abs(value) <= limit).cast("double") + 0.0
     return F.coalesce(kept, F.lit(0.0))
 
 
-def over_limit(c: Column | str, limit: float | None = SUSPICIOUS) -> Column:
-    """Is this a number that ``to_float_capped`` takes as 0 because of its size?"""
+def to_float_capped(c: Column | str, limit: float | None = SUSPICIOUS) -> Column:
+    """Number for totals: blank and bad text count 0, and so does anything above ``limit``, if there is one."""
+    return capped(stripped_number(amount_text(c)), limit)
+
+
+def over_limit(amount: Column | str, limit: float | None = SUSPICIOUS) -> Column:
+    """Is this amount a number that ``capped`` takes as 0 because of its size?"""
     if limit is None:
         return F.lit(False)
-    return F.coalesce(F.abs(plain_number(_localised(text(c)))) > limit, F.lit(False))
+    return F.coalesce(F.abs(column(amount)) > limit, F.lit(False))
 
 
 def br_money2(c: Column | str) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roster.functions.ids import bank_code
-from roster.functions.numbers import SUSPICIOUS, over_limit, parse_decimal, rounded, to_float_capped
+from roster.functions.numbers import SUSPICIOUS, amount_text, capped, over_limit, parse_decimal, rounded, stripped_number
 from roster.functions.text import column, strip, text
 from roster.operators.calls import exact
 from roster.operators.discover import find_total_columns
@@ -48,11 +48,23 @@ def date_span(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
-def row_total(parts: Sequence[str], limit: float | None = SUSPICIOUS) -> Column:
-    """Sum of the parts of a row; parts that are unreadable or above ``limit`` count 0."""
+def _read_amounts(df: DataFrame, parts: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Rows with the number of each part, null if unreadable, and the names of these columns by part.
+
+    Texts are cleaned in one projection and read in the next: each step refers to the one before
+    several times, and as a column it is computed once.
+    """
+    names = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+    texts, amounts = {p: f"_part_text{i}" for p, i in names.items()}, {p: f"_part{i}" for p, i in names.items()}
+    cleaned = df.withColumns({x: amount_text(p) for p, x in texts.items()})
+    return cleaned.withColumns({n: stripped_number(texts[p]) for p, n in amounts.items()}).drop(*texts.values()), amounts
+
+
+def row_total(amounts: Iterable[Column | str], limit: float | None = SUSPICIOUS) -> Column:
+    """Sum of the amounts of a row; those that are null or above ``limit`` count 0."""
     total = F.lit(0.0)
-    for name in parts:
-        total = total + to_float_capped(name, limit)
+    for amount in amounts:
+        total = total + capped(amount, limit)
     return total
 
 
@@ -68,16 +80,17 @@ def zeroed_amounts(
     present = _present(df, totals)
     if not present:
         raise ValueError("no total column")
+    read, amounts = _read_amounts(df, sum(present.values(), []))
     figures = [F.count(F.lit(1)).alias("_rows")]
     for i, parts in enumerate(present.values()):
-        over = sum((over_limit(p, limit).cast("int") for p in parts), F.lit(0))
-        large = F.lit(False) if limit is None else F.abs(row_total(parts, limit)) > limit
+        over = sum((over_limit(amounts[p], limit).cast("int") for p in parts), F.lit(0))
+        large = F.lit(False) if limit is None else F.abs(row_total([amounts[p] for p in parts], limit)) > limit
         figures += [F.coalesce(F.sum(over), F.lit(0)).alias(f"_p{i}"), F.count_if(large).alias(f"_t{i}")]
     rows = [
         F.struct(F.lit(name).alias("column"), F.col("_rows").alias("rows"), F.col(f"_p{i}").alias("zeroed_parts"), F.col(f"_t{i}").alias("zeroed_totals"))
         for i, name in enumerate(present)
     ]
-    return df.agg(*figures).select(F.inline(F.array(*rows)))  # one scan for all totals
+    return read.agg(*figures).select(F.inline(F.array(*rows)))  # one scan for all totals
 
 
 def recompute_totals(
@@ -92,22 +105,24 @@ def recompute_totals(
     present = _present(df, totals)
     if not present:
         return df
+    read, amounts = _read_amounts(df, sum(present.values(), []))
     sums = {t: f"_t{i}" for i, t in enumerate(present)}
-    summed = df.withColumns({sums[t]: row_total(parts, limit) for t, parts in present.items()})
-    shown = {
-        t: rounded(F.col(s), 2) if limit is None else F.when(F.abs(F.col(s)) <= limit, rounded(F.col(s), 2)).otherwise(0.0)
-        for t, s in sums.items()
-    }
-    return summed.withColumns(shown).drop(*sums.values())
+    summed = read.withColumns({sums[t]: row_total([amounts[p] for p in parts], limit) for t, parts in present.items()})
+    if limit is not None:
+        summed = summed.withColumns({s: F.when(F.abs(F.col(s)) <= limit, F.col(s)).otherwise(0.0) for s in sums.values()})
+    shown = summed.withColumns({t: rounded(F.col(s), 2) for t, s in sums.items()})
+    return shown.drop(*sums.values(), *amounts.values())
 
 
 def conversion_check(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Per column: values that are neither blank nor ``0`` but read as 0."""
+    read, amounts = _read_amounts(df, names)
+
     def failed(name: str) -> Column:
         value = F.coalesce(strip(name), F.lit(""))
-        return F.count_if((to_float_capped(name) == 0) & ~value.isin("", "0"))
+        return F.count_if((capped(amounts[name]) == 0) & ~value.isin("", "0"))
 
-    counts = df.agg(
+    counts = read.agg(
         F.count(F.lit(1)).alias("_rows"), *[failed(c).alias(f"_n{i}") for i, c in enumerate(names)]
     )
     rows = [

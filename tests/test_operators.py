@@ -355,3 +355,24 @@ def test_zeroed_amounts_are_counted(spark):
     df = spark.createDataFrame([("1", "200000", "x"), ("90000", "90000", "x")], "a string, b string, t string")
     assert rows(reports.zeroed_amounts(df, {"t": ["a", "b"]}), "rows", "zeroed_parts", "zeroed_totals") == [(2, 1, 1)]
     assert rows(reports.recompute_totals(df, {"t": ["a", "b"]}, limit=None), "t") == [(180000.0,), (200001.0,)]
+
+
+def test_totals_read_each_part_once(spark, tmp_path):
+    data = [(" 1.234,50 ", "10", "\u00a0", "x", "y"), ("-200000", "-0", "erro", "x", "y"), ("99.999,99", "0.01", None, "x", "y"), ("1e999", "1d", "", "x", "y")]
+    spark.createDataFrame(data, "a string, b string, c string, t string, u string").write.parquet(f"{tmp_path}/parts")
+    df = spark.read.parquet(f"{tmp_path}/parts")
+    totals = {"t": ["a", "b", "c"], "u": ["b", "a", "b"]}
+    out = reports.recompute_totals(df, totals)
+    assert out.columns == df.columns
+    assert rows(out, "a", "t", "u") == [
+        (" 1.234,50 ", 1244.5, 1254.5), ("-200000", 0.0, 0.0), ("1e999", 0.0, 0.0), ("99.999,99", 100000.0, 0.0),
+    ]
+    assert rows(reports.recompute_totals(df, totals, limit=None).where("a <> '1e999'"), "t", "u") == [
+        (-200000.0, -200000.0), (100000.0, 100000.01), (1244.5, 1254.5),
+    ]
+    assert rows(reports.recompute_totals(df, {"t": []}), "t", "u") == [(0.0, "y")] * 4
+    assert rows(reports.zeroed_amounts(df, totals), "column", "rows", "zeroed_parts", "zeroed_totals") == [("t", 4, 2, 1), ("u", 4, 2, 2)]
+    assert rows(reports.conversion_check(df, ["a", "b", "c"]), "column", "errors") == [("a", 1), ("b", 2), ("c", 1)]
+    for read, parts in ((out, 3), (reports.zeroed_amounts(df, totals), 3)):
+        assert plan(read).count("replace(replace(") == parts and plan(read).count("try_cast(") == parts
+    assert plan(reports.conversion_check(df, ["a", "b", "c"])).count("replace(replace(") == 3
